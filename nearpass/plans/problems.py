@@ -6,10 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearpass.operators.heavy_keys import heavy_keys, key_states
+from nearpass.operators.spikes import implausible_readings
 from nearpass.operators.snapshots import delivery_order, snapshot_changes, validity_intervals
 from nearpass.session import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = implausible_readings(table(spark, sf, "sso_observation"))
+    return found.select(F.col("reading").alias("observation_id")).distinct()
+
+
+def p1_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Each implausible reading with every reason."""
+    return implausible_readings(table(spark, sf, "sso_observation")).withColumnRenamed("reading", "observation_id")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return snapshot_changes(table(spark, sf, "elements"), table(spark, sf, "mpcorb_snapshot"))
 
@@ -32,7 +43,7 @@ def p4_per_body(spark: SparkSession, sf: str) -> DataFrame:
     return states.where(F.col("key").isNotNull()).select("position", F.col("key").alias("number"), F.col("n").alias("encounters"), F.round("nearest", 9).alias("nearest_au"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_intervals": p3_intervals, "p4_found": p4_found, "p4_per_body": p4_per_body}
+QUERIES = {"p1_found": p1_found, "p1_kinds": p1_kinds, "p3_found": p3_found, "p3_intervals": p3_intervals, "p4_found": p4_found, "p4_per_body": p4_per_body}
 
 _DELIVERIES = """
 order_of AS (
