@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearpass.functions.timescale import parse_event_jd, utc_to_tdb
@@ -32,9 +32,14 @@ def p2_bounded(spark: SparkSession, sf: str) -> DataFrame:
     return percentiles_of(counts, "bin_id", PROBS)
 
 
+def _tdb(text: Column) -> Column:
+    """The lambda binds the parsed date once; written out, the leap second chain would repeat it."""
+    return F.transform(F.array(parse_event_jd(text)), utc_to_tdb)[0]
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    events = table(spark, sf, "goffin_2014_encounters").select("recno", F.least("pert", "targ").alias("lo"), F.greatest("pert", "targ").alias("hi"), parse_event_jd(F.col("event_date")).alias("jd_utc"), "pert", "targ")
-    events = events.where(F.col("pert").isNotNull() & F.col("targ").isNotNull()).withColumn("jd", utc_to_tdb(F.col("jd_utc")))
+    events = table(spark, sf, "goffin_2014_encounters").select("recno", F.least("pert", "targ").alias("lo"), F.greatest("pert", "targ").alias("hi"), _tdb(F.col("event_date")).alias("jd"), "pert", "targ")
+    events = events.where(F.col("pert").isNotNull() & F.col("targ").isNotNull())
     records = table(spark, sf, "encounters_catalog").where(F.col("number_1").isNotNull() & F.col("number_2").isNotNull())
     records = records.select("encounter_id", F.least("number_1", "number_2").alias("lo"), F.greatest("number_1", "number_2").alias("hi"), F.col("jd_tdb").alias("jd"))
     found = nearest_in_time(events, records, ["lo", "hi"], "jd", "jd", "recno", "encounter_id", 31.0)
