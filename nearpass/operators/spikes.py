@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearpass.session import broadcast_if_small
+from nearpass.session import broadcast_if_small, shuffle_partitions, stage
 
 _MAS = 3.6e6  # milliarcseconds in a degree
 
@@ -309,14 +309,17 @@ def implausible_readings(df: DataFrame, rules: SpikeRules | None = None, source:
     timed = F.col("epoch").isNotNull() & ~F.isnan("epoch")
     outside = ((F.col("ra") < 0) | (F.col("ra") >= 360)) & ~F.isnan("ra") | (F.abs("dec") > 90) & ~F.isnan("dec")
     untimed = named.where(~timed).where(outside).select("reading", F.lit("range").alias("kind"))
-    judged = (
+    # numbered partitions: merging them by bytes would leave the fits to a few tasks
+    judged = stage(
         _blocks(named.where(timed).drop("label"), rules)
+        .repartition(shuffle_partitions(df.sparkSession), "source", "block")
         .groupBy("source", "block")
-        .applyInPandas(_per_block(rules), "source bigint, reading bigint, kind string, value double, freedom double")
+        .applyInPandas(_per_block(rules), "source bigint, reading bigint, kind string, value double, freedom double"),
+        "spikes",
     )
-    scatter = F.sqrt(F.sum(F.when(F.col("kind") == "scatter", F.col("value"))) / F.nullif(F.sum("freedom"), F.lit(0.0)))
-    of_source = judged.groupBy("source").agg(scatter.alias("scatter"), F.collect_list(F.when(F.col("kind") != "scatter", F.struct("reading", "kind", "value"))).alias("found"))
-    found = of_source.select("scatter", F.explode("found").alias("f")).select("f.*", "scatter")
+    scatter = F.sqrt(F.sum("value") / F.nullif(F.sum("freedom"), F.lit(0.0)))
+    of_source = judged.where(F.col("kind") == "scatter").groupBy("source").agg(scatter.alias("scatter"))
+    found = judged.where(F.col("kind") != "scatter").join(of_source, "source")
     sure = found.where((F.col("kind") != "path") | (F.col("value") > rules.times_scatter * F.coalesce("scatter", F.lit(0.0)))).select("reading", "kind")
 
     labels = named.where(F.col("label").isNotNull() & ~F.isnan("label")).select("source", "reading", "label").dropDuplicates()

@@ -50,6 +50,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     return current
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, for steps whose cost is not in their bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
