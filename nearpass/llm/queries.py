@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearpass.functions.timescale import parse_event_jd, utc_to_tdb
+from nearpass.llm.leakage import LeakRules, leaked_items
 from nearpass.llm.nearest_time import nearest_in_time
 from nearpass.llm.percentiles import merge_counts, percentiles_of, value_counts
 from nearpass.llm.topn import top_n
@@ -54,7 +55,11 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return top_n(rows, "number_1", "encounter_id", order, 3).select("number_1", "encounter_id")
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_merged_pieces": p2_merged_pieces, "p2_bounded": p2_bounded, "p5_found": p5_found, "p6_found": p6_found}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"), LeakRules(window=12, max_edits=0)).select("doc_id", "item_id")
+
+
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_merged_pieces": p2_merged_pieces, "p2_bounded": p2_bounded, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
 
 _ONCE = """WITH once AS (SELECT DISTINCT number_1, number_2, t_min_kepler_jd, bin_id,
   CASE WHEN NOT isnan(delta_dist_au) THEN delta_dist_au + 0.0 END AS v FROM refined)"""
