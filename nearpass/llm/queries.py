@@ -9,6 +9,7 @@ from nearpass.functions.timescale import parse_event_jd, utc_to_tdb
 from nearpass.llm.leakage import LeakRules, leaked_items
 from nearpass.llm.nearest_time import nearest_in_time
 from nearpass.llm.percentiles import merge_counts, percentiles_of, value_counts
+from nearpass.llm.subjects import document_subjects
 from nearpass.llm.topn import top_n
 from nearpass.session import table
 
@@ -59,7 +60,18 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"), LeakRules(window=12, max_edits=0)).select("doc_id", "item_id")
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_merged_pieces": p2_merged_pieces, "p2_bounded": p2_bounded, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return document_subjects(table(spark, sf, "documents"), table(spark, sf, "subject_labels"), table(spark, sf, "subjects"))
+
+
+def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and code points per subject; a document of several subjects counts in each."""
+    found = p9_found(spark, sf)
+    sizes = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return found.join(sizes, "doc_id").groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
+
+
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_merged_pieces": p2_merged_pieces, "p2_bounded": p2_bounded, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p9_found": p9_found, "p9_composition": p9_composition}
 
 _ONCE = """WITH once AS (SELECT DISTINCT number_1, number_2, t_min_kepler_jd, bin_id,
   CASE WHEN NOT isnan(delta_dist_au) THEN delta_dist_au + 0.0 END AS v FROM refined)"""

@@ -16,15 +16,18 @@ def joined(text: str) -> str:
     return _BREAK_HYPHEN.sub("", text.translate(_INVISIBLE))
 
 
+def word_runs(plain: str) -> list[str]:
+    """Longest runs of letters and digits of normalised text."""
+    return _WORD.findall(plain)
+
+
 def words(text: str | None) -> list[str]:
     """Longest runs of letters and digits after NFKC and case folding; none for null."""
     if not text:
         return []
-    return _WORD.findall(unicodedata.normalize("NFKC", joined(text)).casefold())
+    return word_runs(unicodedata.normalize("NFKC", joined(text)).casefold())
 
 
-def sentences(text: str | None) -> list[str]:
+def split_sentences(plain: str) -> list[str]:
     """Pieces that end in a full stop, question or exclamation mark, or at an empty line."""
-    if not text:
-        return []
-    return [s for s in _END.split(joined(text)) if s and not s.isspace()]
+    return [s for s in _END.split(plain) if s and not s.isspace()]
