@@ -80,3 +80,14 @@ def _remove(spark: SparkSession, path: str) -> None:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when ``df`` holds at most ``max_rows`` rows; else leave the join to AQE."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition rows whose cost is not in their bytes, if the scan has few partitions.
+
+    A table that already comes in at least as many partitions as the session shuffles
+    into is left where it is, so a large corpus is not moved.
+    """
+    wanted = shuffle_partitions(df.sparkSession)
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if have >= wanted else df.repartition(wanted, *keys)
