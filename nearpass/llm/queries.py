@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nearpass.functions.timescale import parse_event_jd, utc_to_tdb
 from nearpass.llm.leakage import LeakRules, leaked_items
 from nearpass.llm.nearest_time import nearest_in_time
+from nearpass.llm.packing import packed_corpus, utilisation
 from nearpass.llm.percentiles import merge_counts, percentiles_of, value_counts
 from nearpass.llm.subjects import document_subjects
 from nearpass.llm.topn import top_n
@@ -56,6 +57,15 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return top_n(rows, "number_1", "encounter_id", order, 3).select("number_1", "encounter_id")
 
 
+def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return packed_corpus(table(spark, sf, "documents"), table(spark, sf, "pack_capacity"))
+
+
+def p7_used(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return utilisation(p7_packed(spark, sf))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"), LeakRules(window=12, max_edits=0)).select("doc_id", "item_id")
 
@@ -71,7 +81,7 @@ def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(sizes, "doc_id").groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_merged_pieces": p2_merged_pieces, "p2_bounded": p2_bounded, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p9_found": p9_found, "p9_composition": p9_composition}
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_merged_pieces": p2_merged_pieces, "p2_bounded": p2_bounded, "p5_found": p5_found, "p6_found": p6_found, "p7_packed": p7_packed, "p7_used": p7_used, "p8_found": p8_found, "p9_found": p9_found, "p9_composition": p9_composition}
 
 _ONCE = """WITH once AS (SELECT DISTINCT number_1, number_2, t_min_kepler_jd, bin_id,
   CASE WHEN NOT isnan(delta_dist_au) THEN delta_dist_au + 0.0 END AS v FROM refined)"""

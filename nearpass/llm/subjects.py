@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearpass.llm.words import joined, split_sentences, word_runs
-from nearpass.session import stage
+from nearpass.session import spread, stage
 
 _CLASS = "\x00"  # opens a class item; no word does
 _NONE = _CLASS + "none"
@@ -107,7 +107,7 @@ def _sampled(texts: DataFrame, rules: SubjectRules) -> DataFrame:
                     out.append((label, sorted(items[int(k * step)])))
             yield pd.DataFrame(out, columns=["label", "items"])
 
-    return stage(texts.select("label", "text").mapInPandas(cut, "label string, items array<string>"), "subjects")
+    return stage(spread(texts.select("label", "doc_id", "text"), "doc_id").mapInPandas(cut, "label string, items array<string>"), "subjects")
 
 
 def _first(ids: DataFrame, rules: SubjectRules) -> DataFrame:
@@ -257,7 +257,7 @@ def subject_shares(documents: DataFrame, model: RuleModel, rules: SubjectRules |
                 out += [(doc, model.classes[k], n, len(sentences)) for k, n in held.items()]
             yield pd.DataFrame(out, columns=["doc_id", "subject", "treating", "sentences"]).astype({"doc_id": "int64", "treating": "int64", "sentences": "int64"})
 
-    texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    texts = spread(documents.select("doc_id", "text"), "doc_id").where("doc_id IS NOT NULL AND text IS NOT NULL")
     return texts.mapInPandas(score, "doc_id bigint, subject string, treating bigint, sentences bigint")
 
 
