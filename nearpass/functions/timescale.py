@@ -42,9 +42,12 @@ def utc_to_tdb(jd_utc: Column) -> Column:
 
 
 def tdb_to_utc(jd_tdb: Column) -> Column:
-    """Inverse of ``utc_to_tdb`` outside the second of a leap."""
-    first = jd_tdb - (tai_minus_utc_s(jd_tdb) + TT_MINUS_TAI_S) / 86400.0
-    return jd_tdb - (tai_minus_utc_s(first) + TT_MINUS_TAI_S) / 86400.0
+    """Inverse of ``utc_to_tdb``; each leap second is looked up at its TDB instant."""
+    chain = F.lit((10.0 + TT_MINUS_TAI_S) / 86400.0)
+    for day, seconds in LEAP_SECONDS:
+        offset = (seconds + TT_MINUS_TAI_S) / 86400.0
+        chain = F.when(jd_tdb >= _day_jd(day) + offset, F.lit(offset)).otherwise(chain)
+    return jd_tdb - chain
 
 
 def tcb_to_tdb(jd_tcb: Column) -> Column:

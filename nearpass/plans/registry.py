@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from nearpass.plans import problems
+from nearpass.plans import detection, problems
 
-_MODULES = (problems,)
+_MODULES = (detection, problems)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
-FLAGSHIP = "p4_found"
+FLAGSHIP = "encounter_detect"
