@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -73,38 +75,61 @@ def distance_bands(df: DataFrame, dist: str, value: str, width: float) -> DataFr
     return df.where(d.isNotNull() & v.isNotNull()).groupBy((F.floor(d / width) * width).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("spread"))
 
 
-def crossings(df: DataFrame, threshold: float) -> DataFrame:
-    """Rows that a correction moves across the threshold, and the headline bias."""
-    k, n = clean(F.col("dist_au_kepler")), clean(F.col("dist_au_nbody"))
-    both = df.where(k.isNotNull() & n.isNotNull())
-    return both.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(n - k).alias("mean_bias"), F.median(n - k).alias("median_bias"), F.stddev_samp(n - k).alias("spread"),
-        F.count_if((k < threshold) & (n >= threshold)).alias("left"), F.count_if((k >= threshold) & (n < threshold)).alias("entered"),
-    )
-
+def ranked(df: DataFrame, by: str, tie: list[str] | None = None) -> DataFrame:
+    """Adds ``rank`` (from 0) and ``total`` by value, without a window over the whole table.
 
-def error_quantiles(df: DataFrame, group: str | None, value: str, probs: tuple[float, ...]) -> DataFrame:
-    """Interpolated quantiles of |value| (Spark's exact ``percentile`` over value counts)."""
-    v = F.abs(clean(F.col(value)))
-    rows = df.where(v.isNotNull())
-    aggs = [F.percentile(v, F.lit(p)).alias(f"q{str(p).replace('0.', '')}") for p in probs]
-    grouped = rows.groupBy(group) if group else rows.groupBy()
-    return grouped.agg(F.count(F.lit(1)).alias("n"), F.max(v).alias("largest"), *aggs)
+    Rows are range-partitioned; a row's rank is its place in its partition plus the sizes of
+    the partitions before, one small row each. The split is staged, so places and sizes
+    belong to the same partitions whatever is computed again.
+    """
+    tie = tie or []
+    cut = stage(df.repartitionByRange(by, *tie).withColumn("_pid", F.spark_partition_id()), "ranked")
+    sizes = cut.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_pid", (F.sum("_n").over(W.orderBy("_pid")) - F.col("_n")).alias("_before"))
+    total = sizes.agg(F.sum("_n").alias("total"))
+    place = F.row_number().over(W.partitionBy("_pid").orderBy(by, *tie))
+    out = cut.withColumn("_place", place).join(F.broadcast(before), "_pid").crossJoin(F.broadcast(total))  # a row per partition; one row
+    return out.withColumn("rank", F.col("_before") + F.col("_place") - 1).drop("_pid", "_place", "_before")
 
 
 def quintiles(df: DataFrame, by: str, tie: str) -> DataFrame:
-    """``fifth`` as ``ntile(5)`` by value and ``tie``, without a window over the whole table.
+    """``fifth`` as ``ntile(5)`` by value and ``tie``."""
+    rows = ranked(df, by, [tie])
+    r, q, m = F.col("rank"), F.floor(F.col("total") / 5), F.col("total") % 5
+    fifth = F.when(r < (q + 1) * m, F.floor(r / (q + 1)) + 1).otherwise(m + F.floor((r - (q + 1) * m) / F.greatest(q, F.lit(1))) + 1)
+    return rows.withColumn("fifth", fifth.cast("int")).drop("rank", "total")
+
+
+def quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:
+    """One row ``n, largest`` and an interpolated quantile per name; null and NaN left out.
 
-    Rows are range-partitioned; a row's rank is its place in its partition plus the sizes
-    of the partitions before. The sizes are one small row each. The split is staged, so
-    places and sizes belong to the same partitions.
+    Only the rows at the two ranks around each quantile leave their partition.
     """
-    cut = stage(df.repartitionByRange(by, tie).withColumn("_pid", F.spark_partition_id()), "quintiles")
-    sizes = cut.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_pid", (F.sum("_n").over(W.orderBy("_pid")) - F.col("_n")).alias("_before"))
-    total = sizes.agg(F.sum("_n").alias("_total"))
-    place = F.row_number().over(W.partitionBy("_pid").orderBy(by, tie))
-    ranked = cut.withColumn("_place", place).join(F.broadcast(before), "_pid").crossJoin(F.broadcast(total))  # a row per partition; one row
-    r, q, m = F.col("_before") + F.col("_place") - 1, F.floor(F.col("_total") / 5), F.col("_total") % 5
-    fifth = F.when(r < (q + 1) * m, F.floor(r / (q + 1)) + 1).otherwise(m + F.floor((r - (q + 1) * m) / F.greatest(q, F.lit(1))) + 1)
-    return ranked.withColumn("fifth", fifth.cast("int")).drop("_pid", "_place", "_before", "_total")
+    rows = ranked(df.select(clean(F.col(value)).alias("_v")).where("_v IS NOT NULL"), "_v")
+    at = {name: p * (F.col("total") - 1) for name, p in probs.items()}
+    wanted = [f(h) == F.col("rank") for h in at.values() for f in (F.floor, F.ceil)]
+    last = F.col("rank") == F.col("total") - 1
+    kept = rows.where(reduce(Column.__or__, wanted) | last)
+    picked = kept.agg(
+        F.max("total").alias("n"), F.max("_v").alias("largest"),
+        *[F.max(F.when(F.col("rank") == f(h), F.col("_v"))).alias(f"_{name}_{s}") for name, h in at.items() for s, f in (("lo", F.floor), ("hi", F.ceil))],
+    )
+    share = {name: p * (F.col("n") - 1) - F.floor(p * (F.col("n") - 1)) for name, p in probs.items()}
+    return picked.select(F.coalesce("n", F.lit(0)).alias("n"), "largest", *[(F.col(f"_{k}_lo") + (F.col(f"_{k}_hi") - F.col(f"_{k}_lo")) * share[k]).alias(k) for k in probs])
+
+
+def error_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:
+    """Quantiles of |value|."""
+    return quantiles(df.select(F.abs(F.col(value)).alias("v")), "v", probs)
+
+
+def crossings(df: DataFrame, threshold: float) -> DataFrame:
+    """Rows that a correction moves across the threshold, and the headline bias."""
+    both = df.select(clean(F.col("dist_au_kepler")).alias("k"), clean(F.col("dist_au_nbody")).alias("m")).dropna()
+    moved = both.withColumn("shift", F.col("m") - F.col("k"))
+    counts = moved.agg(
+        F.avg("shift").alias("mean_bias"), F.stddev_samp("shift").alias("spread"),
+        F.count_if((F.col("k") < threshold) & (F.col("m") >= threshold)).alias("left"), F.count_if((F.col("k") >= threshold) & (F.col("m") < threshold)).alias("entered"),
+    )
+    middle = quantiles(moved, "shift", {"median_bias": 0.5}).select("n", "median_bias")
+    return counts.crossJoin(F.broadcast(middle))  # one row each

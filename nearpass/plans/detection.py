@@ -16,7 +16,7 @@ from nearpass.session import table
 
 START, END, STEP = 2457200.5, 2457212.5, 0.5
 RADIUS = 0.05
-_COLUMNS = ["designation", "h_mag", "epoch_jd", "mean_anomaly_deg", "argperi_deg", "node_deg", "i_deg", "ecc", "a_au"]
+_COLUMNS = ["designation", "h_mag", "g_slope", "epoch_jd", "mean_anomaly_deg", "argperi_deg", "node_deg", "i_deg", "ecc", "a_au"]
 
 
 def current_elements(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,7 +172,7 @@ p{s} AS (SELECT *, r_{s} * (cos(radians(o_{s})) * cos(u_{s}) - sin(radians(o_{s}
 
 _PAIRED = {"n": "number", "a": "a_au", "e": "ecc", "i": "i_deg", "o": "node_deg", "w": "argperi_deg", "ma": "mean_anomaly_deg", "ep": "epoch_jd", "h": "h_mag"}
 _SWAPPED = ", ".join(f"CASE WHEN swap THEN {c}_{3 - s} ELSE {c}_{s} END AS {c}_{s}" for c in _PAIRED for s in (1, 2))
-_ELONG = "degrees(acos(greatest(-1, least(1, (({x} - ex) * -ex + ({y} - ey) * -ey + {z} * 0) / (sqrt(({x} - ex) ** 2 + ({y} - ey) ** 2 + {z} ** 2) * sqrt(ex * ex + ey * ey))))))"
+_ELONG = "CASE WHEN {z} IS NOT NULL THEN degrees(acos(greatest(-1, least(1, (({x} - ex) * -ex + ({y} - ey) * -ey + {z} * 0) / (sqrt(({x} - ex) ** 2 + ({y} - ey) ** 2 + {z} ** 2) * sqrt(ex * ex + ey * ey)))))) END"
 _PHASE = "2.5 * log10(0.85 * exp(-3.33 * pow(tan(radians(20) / 2), 0.63)) + 0.15 * exp(-1.87 * pow(tan(radians(20) / 2), 1.22)))"
 _LEAP = "(32.184 + CASE WHEN {t} >= 2457754.5 THEN 37 WHEN {t} >= 2457204.5 THEN 36 WHEN {t} >= 2456109.5 THEN 35 WHEN {t} >= 2454832.5 THEN 34 ELSE 33 END) / 86400"
 _UTC = f"jd_tdb - {_LEAP.format(t='(jd_tdb - ' + _LEAP.format(t='jd_tdb') + ')')}"

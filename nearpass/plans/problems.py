@@ -40,7 +40,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 def p4_per_body(spark: SparkSession, sf: str) -> DataFrame:
     """Encounters and nearest distance of every body in either position."""
     states = key_states(table(spark, sf, "encounters_catalog"), ["number_1", "number_2"], "encounter_id", "dist_au")
-    return states.where(F.col("key").isNotNull()).select("position", F.col("key").alias("number"), F.col("n").alias("encounters"), F.round("nearest", 9).alias("nearest_au"))
+    return states.where(F.col("key").isNotNull()).select("position", F.col("key").alias("number"), F.col("n").alias("encounters"), F.col("nearest").alias("nearest_au"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_kinds": p1_kinds, "p3_found": p3_found, "p3_intervals": p3_intervals, "p4_found": p4_found, "p4_per_body": p4_per_body}
@@ -87,6 +87,6 @@ HAVING count(*) >= 0.02 * (SELECT count(*) FROM once)""",
     "p4_per_body": """
 WITH once AS (SELECT DISTINCT encounter_id, number_1, number_2, dist_au FROM encounters_catalog WHERE encounter_id IS NOT NULL),
 long AS (SELECT 'number_1' AS position, number_1 AS number, dist_au FROM once UNION ALL SELECT 'number_2', number_2, dist_au FROM once)
-SELECT position, number, count(*) AS encounters, round(min(CASE WHEN NOT isnan(dist_au) THEN dist_au END), 9) AS nearest_au
+SELECT position, number, count(*) AS encounters, min(CASE WHEN NOT isnan(dist_au) THEN dist_au END) AS nearest_au
 FROM long WHERE number IS NOT NULL GROUP BY position, number""",
 }
