@@ -139,7 +139,7 @@ def _mine(transactions: DataFrame, classes: list[str], rules: SubjectRules) -> R
         by_word.join(F.broadcast(of_class), "label")  # a row per subject
         .withColumn("of_word", F.sum("n").over(_over("word")))
         .where((F.col("label") != _NONE) & (F.col("of_word") >= least))
-        .where(F.col("n") / F.col("of_word") >= rules.lift * F.col("of_class") / total)
+        .where(F.col("n") / F.col("of_word") >= F.least(rules.lift * F.col("of_class") / total, 0.5 + F.col("of_class") / total / 2))  # a subject of most sentences can't be lifted far
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("_"))
         .select("word")
@@ -185,7 +185,11 @@ def _prune(support: dict, joint: dict, classes: list[str], rules: SubjectRules)
 
 
 def _calibrate(model: RuleModel, sample: DataFrame) -> RuleModel:
-    """Fit probability = logistic(slope * margin + offset) on a histogram of margins."""
+    """Fit probability = logistic(slope * margin + offset) on a histogram of margins.
+
+    The probability is net of label noise: a document's label that is wrong or holds for only
+    some of its sentences lowers the hits of certain sentences as well.
+    """
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -199,25 +203,40 @@ def _calibrate(model: RuleModel, sample: DataFrame) -> RuleModel:
     bins = sample.mapInPandas(score, "margin double, right bigint").groupBy("margin").agg(F.sum("right").alias("right"), F.count(F.lit(1)).alias("n")).toPandas()
     if bins.empty:
         return model
+    bins = bins.sort_values("margin")
     x, k, n = bins["margin"].to_numpy(), bins["right"].to_numpy() + 0.0, bins["n"].to_numpy() + 0.0
+    upper = np.cumsum(n[::-1])[::-1] <= n.sum() / 2 + n[-1]  # the more certain half shows how far the labels hold at all
+    ceiling = max(k[upper].sum() / n[upper].sum(), 0.5)
+    model.slope, model.offset = _logistic(x, np.minimum(k / ceiling, n), n)
+    return model
+
+
+def _logistic(x: np.ndarray, k: np.ndarray, n: np.ndarray, prior: float = 20.0) -> tuple[float, float]:
+    """Slope (positive) and offset for k of n at x, drawn to 1 and 0 with the weight of ``prior``."""
     a, b = 1.0, 0.0
-    for _ in range(50):  # Newton steps with a weak prior towards slope 1, offset 0
+
+    def loss(a: float, b: float) -> float:
+        z = a * x + b
+        return float((n * np.logaddexp(0, z) - k * z).sum() + prior * ((a - 1) ** 2 + b * b) / 2)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = np.array([((k - n * p) * x).sum() - (a - 1), (k - n * p).sum() - b])
+        g = np.array([((k - n * p) * x).sum() - prior * (a - 1), (k - n * p).sum() - prior * b])
         w = n * p * (1 - p)
-        h = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 1]])
-        step = np.clip(np.linalg.solve(h, g), -1, 1)
+        h = np.array([[(w * x * x).sum() + prior, (w * x).sum()], [(w * x).sum(), w.sum() + prior]])
+        step, now = np.linalg.solve(h, g), loss(a, b)
+        while np.abs(step).max() > 1e-9 and loss(a + step[0], b + step[1]) > now:
+            step /= 2
         a, b = a + step[0], b + step[1]
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-8:
             break
-    model.slope, model.offset = float(max(a, 1e-3)), float(b)
-    return model
+    return float(max(a, 1e-3)), float(b)
 
 
-def _relabel(model: RuleModel, least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _relabel(model: RuleModel) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [model.subject(set(items), least)[0] for items in frame["items"]]
+            found = [model.subject(set(items), 0.0)[0] for items in frame["items"]]  # any rule counts; the next round judges it
             yield pd.DataFrame({"label": [model.classes[k] if k >= 0 else _NONE for k in found], "items": frame["items"]})
 
     return run
@@ -235,7 +254,7 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, r
     if rules.rounds > 1:
         open_sample = _any(documents, rules).select("items")
         for _ in range(rules.rounds - 1):
-            guessed = stage(open_sample.mapInPandas(_relabel(model, rules.probability), "label string, items array<string>"), "relabelled")
+            guessed = stage(open_sample.mapInPandas(_relabel(model), "label string, items array<string>"), "relabelled")
             model = _calibrate(_mine(guessed, classes, rules), labelled)
     return model
 
