@@ -123,6 +123,13 @@ def mass_candidates(df: DataFrame, max_dist: float, min_diameter: float, max_vel
     return rows.withColumn("score", score).withColumn("mass_unknown", ~F.col("number_1").isin(*KNOWN_MASS))
 
 
+def secondary_perturbers(df: DataFrame, primary: int, targets: DataFrame, max_dist: float, start_jd: float, end_jd: float) -> DataFrame:
+    """Other bodies that met any of the ``number`` targets in a window, with a known-mass tag."""
+    rows = df.where((clean(F.col("dist_au")) <= max_dist) & F.col("jd_tdb").between(start_jd, end_jd))
+    met = sides(rows, "encounter_id", "jd_tdb", "dist_au").where(F.col("partner").isNotNull() & (F.col("partner") != primary))
+    return met.join(targets.select("number").distinct(), "number", "left_semi").withColumn("massive", F.col("partner").isin(*KNOWN_MASS))
+
+
 def family_pairs(df: DataFrame, elements: DataFrame, max_da: float, max_de: float, max_di: float) -> DataFrame:
     """Encounters of two bodies on like orbits (relative a, e, i)."""
     orbit = elements.select("number", "a_au", "ecc", "i_deg")

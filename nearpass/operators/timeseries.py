@@ -109,3 +109,22 @@ def jackknife(df: DataFrame, key: str, value: Column) -> DataFrame:
     strongest = F.greatest(F.pow(F.col("hi") - F.col("mean"), 2), F.pow(F.col("mean") - F.col("lo"), 2))
     n = F.col("n")
     return base.where(n >= 3).select(key, "n", "mean", F.sqrt(F.greatest(ss, F.lit(0.0)) / (n * (n - 1))).alias("jackknife_sigma"), F.when(ss > 0, strongest / ss).alias("top_share"))
+
+
+def step_specificity(df: DataFrame, key: str, x: str, y: str, at: Column, offsets: list[float]) -> DataFrame:
+    """How much better a step fits at ``at`` than at the best shifted instant.
+
+    ``specificity``: BIC gain at ``at`` minus the largest gain at the offsets; ``flag`` above 2. Offsets are
+    rows of sums, so all instants are tried in one aggregation.
+    """
+    tried = df.withColumn("_at", F.explode(F.array(*[at + F.lit(float(o)) for o in [0.0, *offsets]]))).withColumn("_real", F.col("_at") == at)
+    tried = tried.withColumn("_k", F.struct(key, "_real", "_at"))
+    gains = step_bic(tried, "_k", x, y, F.col("_at"))
+    best = gains.groupBy(F.col(f"_k.{key}").alias(key)).agg(F.max(F.when(F.col("_k._real"), F.col("delta_bic"))).alias("real"), F.max(F.when(~F.col("_k._real"), F.col("delta_bic"))).alias("other"))
+    return best.withColumn("specificity", F.col("real") - F.col("other")).withColumn("flag", F.coalesce(F.col("specificity") > 2.0, F.lit(False)))
+
+
+def percentile_rank(population: DataFrame, group: str, value: str, probes: DataFrame) -> DataFrame:
+    """Share of a group's values strictly below a probe ``group, probe``; null for an empty group."""
+    met = probes.join(population.where(F.col(value).isNotNull()).select(group, F.col(value).alias("_v")), group, "left")
+    return met.groupBy(group, "probe").agg(F.avg((F.col("_v") < F.col("probe")).cast("double")).alias("rank"))

@@ -11,6 +11,7 @@ from nearpass.functions.physics import clean, diameter
 from nearpass.functions.timescale import gaia_epoch_to_tdb, jd_to_iso_date, tdb_to_tcb, utc_to_tdb
 from nearpass.operators.characterize import characterize
 from nearpass.operators.detect import DetectRules, detect_encounters, named_encounters, propagate, scan, snapshot_for_window, time_grid, usable_elements, vertex, with_orbits
+from nearpass.operators.fits import nbody_refine
 from nearpass.operators.spatial import radial_overlap
 from nearpass.session import table
 
@@ -83,6 +84,13 @@ def encounter_refine_recentre(spark: SparkSession, sf: str) -> DataFrame:
     return named_encounters(detect_encounters(elements, "number", START, END, rules), elements)
 
 
+def nbody_refined(spark: SparkSession, sf: str) -> DataFrame:
+    """Detected pairs refined once more under the giant planets."""
+    elements = current_elements(spark, sf)
+    pairs = with_orbits(detect_encounters(elements, "number", START, END, DetectRules(threshold_au=RADIUS, coarse_days=STEP, v_max_km_s=2.0)), elements, "number")
+    return nbody_refine(pairs, ["idx_i", "idx_j"])
+
+
 def orbit_classes(spark: SparkSession, sf: str) -> DataFrame:
     return current_elements(spark, sf).select("number", orbit_class(F.col("a_au"), F.col("ecc")).alias("orbit_class"))
 
@@ -121,7 +129,7 @@ QUERIES = {
     "encounter_detect": detect, "snapshot_selection": snapshot_selection, "time_grid": grid, "kepler_propagate": kepler_propagate,
     "encounter_prefiltered": encounter_prefiltered, "encounter_radial_overlap": encounter_radial_overlap,
     "encounter_refine_vertex": encounter_refine_vertex, "encounter_refine_recentre": encounter_refine_recentre,
-    "orbit_classes": orbit_classes, "diameter_priority": diameter_priority, "characterized": characterized, "time_scales": time_scales,
+    "nbody_refined": nbody_refined, "orbit_classes": orbit_classes, "diameter_priority": diameter_priority, "characterized": characterized, "time_scales": time_scales,
 }
 
 _MID = (START + END) / 2

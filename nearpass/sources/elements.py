@@ -122,7 +122,7 @@ def pipe_pairs(lines: DataFrame, name: str, targets: str) -> DataFrame:
     bare = F.trim(F.col(targets))
     cut = bare.endswith("...")
     items = F.filter(F.transform(F.split(F.regexp_replace(bare, r"\.\.\.$", ""), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
-    return lines.where(F.trim(name).rlike(r"^\d+")).select(F.regexp_extract(F.trim(name), r"^(\d+)", 1).cast("int").alias("perturber"), F.explode(items).alias("target"), cut.alias("truncated"))
+    return lines.where(F.trim(name).rlike(r"^\d+\b") & ~F.trim(name).rlike(r"^\d{4} [A-Z]{2}\d*$")).select(F.regexp_extract(F.trim(name), r"^(\d+)", 1).cast("int").alias("perturber"), F.explode(items).alias("target"), cut.alias("truncated"))
 
 
 def interval_gaps(chunks: DataFrame, low: str, high: str) -> DataFrame:
