@@ -93,6 +93,35 @@ def integrate(state: np.ndarray, start_jd: float, times: np.ndarray, accel: Call
     return out
 
 
+def giants_pull(planets: tuple[str, ...]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Like ``acceleration``, for ``(n, b, 3)`` positions at ``n`` different times."""
+
+    def at(jd: np.ndarray, r: np.ndarray) -> np.ndarray:
+        total = -GM_SUN * r / ((r * r).sum(-1, keepdims=True)) ** 1.5
+        for name in planets:
+            a, e, i, node, peri, lon, rate, inverse = PLANETS[name]
+            s = elements_to_state(a, e, i, node, peri - node, lon + rate * (jd - 2451545.0) / 36525.0 - peri, jd, jd)[:, None, :3]
+            gap = s - r
+            total = total + GM_SUN / inverse * (gap / ((gap * gap).sum(-1, keepdims=True)) ** 1.5 - s / ((s * s).sum(-1, keepdims=True)) ** 1.5)
+        return total
+
+    return at
+
+
+def advance(state: np.ndarray, t: np.ndarray, target: np.ndarray, accel: Callable[[np.ndarray, np.ndarray], np.ndarray], step: float) -> np.ndarray:
+    """``(n, b, 6)`` states from times ``t`` to ``target``, all n at once with their own step lengths."""
+    n = max(1, int(np.ceil(np.abs(target - t).max(initial=0.0) / step)))
+    h = ((target - t) / n)[:, None, None]
+    r, v, now = state[..., :3].copy(), state[..., 3:].copy(), t.astype(float).copy()
+    for _ in range(n):
+        for w in _YOSHIDA:
+            r = r + 0.5 * w * h * v
+            v = v + w * h * accel(now + 0.5 * w * h[:, 0, 0], r)
+            r = r + 0.5 * w * h * v
+            now = now + w * h[:, 0, 0]
+    return np.concatenate([r, v], -1)
+
+
 def energy(state: np.ndarray) -> np.ndarray:
     """Two-body energy per mass."""
     r, v = state[..., :3], state[..., 3:]

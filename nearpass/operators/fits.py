@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearpass.functions.dynamics import GIANTS, Perturber, acceleration, energy, integrate
+from nearpass.functions.dynamics import GIANTS, Perturber, acceleration, advance, energy, giants_pull, integrate
 from nearpass.functions.kepler import elements_to_state, positions
 from nearpass.session import shuffle_partitions
 
@@ -250,32 +250,42 @@ def nbody_refine(pairs: DataFrame, ident: list[str], planets: tuple[str, ...] =
     """
     from nearpass.operators.detect import vertex_np
 
-    def one(row: pd.Series, accel: Callable) -> tuple:
-        epochs = (row["epoch_jd_i"], row["epoch_jd_j"])
-        if epochs[0] != epochs[1]:
-            raise ValueError("the two orbits have different epochs")
-        state = np.stack([elements_to_state(*[row[f"{c}_{s}"] for c in ORBIT], epochs[0], epochs[0]) for s in "ij"])
-        t = row["jd_tdb"] + np.arange(-round(window_days / sample_days), round(window_days / sample_days) + 1) * sample_days
-        path = integrate(state, epochs[0], t, accel, 2.0)
-        d = np.linalg.norm(path[:, 0, :3] - path[:, 1, :3], axis=1)
-        k = int(np.clip(d.argmin(), 1, len(t) - 2))
-        at, deep = vertex_np(t[None, k - 1 : k + 2], d[None, k - 1 : k + 2])
-        speed = float(np.linalg.norm(path[k, 0, 3:] - path[k, 1, 3:]))
-        free = integrate(state, epochs[0], t[[k]], acceleration(()), 2.0)
-        drift = float(np.abs(energy(free[0]) / energy(state) - 1).max())
-        return float(at[0]), float(deep[0]), speed, drift, bool(np.isfinite(deep[0]) and drift < 1e-7), bool(abs(at[0] - row["jd_tdb"]) > 0.95 * window_days), None
+    names = ["t_min_nbody_jd", "dist_au_nbody", "rel_vel_nbody", "nbody_energy_drift", "nbody_converged", "near_boundary", "error_message"]
+    half = round(window_days / sample_days)
+
+    def batch(rows: pd.DataFrame) -> pd.DataFrame:
+        epoch, centre = rows["epoch_jd_i"].to_numpy(float), rows["jd_tdb"].to_numpy(float)
+        first = np.stack([elements_to_state(*[rows[f"{c}_{s}"].to_numpy(float) for c in ORBIT], epoch, epoch) for s in "ij"], 1)
+        pull, t = giants_pull(planets), centre - half * sample_days
+        state = advance(first, epoch, t, pull, 2.0)
+        path = [state]
+        for k in range(1, 2 * half + 1):
+            now = centre + (k - half) * sample_days
+            path.append(advance(path[-1], t, now, pull, max(sample_days, 0.1)))
+            t = now
+        track = np.stack(path, 1)
+        d = np.linalg.norm(track[:, :, 0, :3] - track[:, :, 1, :3], axis=-1)
+        n = np.arange(len(rows))
+        k = np.clip(np.where(np.isfinite(d), d, np.inf).argmin(1), 1, 2 * half - 1)
+        pick = k[:, None] + np.array([-1, 0, 1])
+        at, deep = vertex_np(centre[:, None] + (pick - half) * sample_days, np.take_along_axis(d, pick, 1))
+        speed = np.linalg.norm(track[n, k, 0, 3:] - track[n, k, 1, 3:], axis=-1)
+        free = advance(first, epoch, centre, giants_pull(()), 2.0)  # the integrator's own error
+        drift = np.abs(energy(free) / energy(first) - 1).max(1)
+        ok = np.isfinite(deep)
+        return pd.DataFrame({"t_min_nbody_jd": at, "dist_au_nbody": deep, "rel_vel_nbody": speed, "nbody_energy_drift": drift, "nbody_converged": ok & (drift < 1e-7), "near_boundary": np.abs(at - centre) > 0.95 * window_days, "error_message": np.where(ok, None, "the integration left the finite numbers")}, index=rows.index)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        accel = acceleration(planets)
-        names = ["t_min_nbody_jd", "dist_au_nbody", "rel_vel_nbody", "nbody_energy_drift", "nbody_converged", "near_boundary", "error_message"]
         for frame in frames:
-            out = []
-            for _, row in frame.iterrows():
-                try:
-                    out.append(one(row, accel))
-                except (ValueError, FloatingPointError) as error:
-                    out.append((None, None, None, None, False, False, str(error)[:200]))
-            yield pd.concat([frame[[*ident, "jd_tdb"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+            frame = frame.reset_index(drop=True)
+            out = pd.DataFrame({c: pd.Series([None] * len(frame), dtype=object) for c in names})
+            fair = frame["epoch_jd_i"] == frame["epoch_jd_j"]
+            out.loc[~fair, ["nbody_converged", "near_boundary"]] = False
+            out.loc[~fair, "error_message"] = "the two orbits have different epochs"
+            for k in range(0, int(fair.sum()), 2000):
+                rows = frame[fair].iloc[k : k + 2000]
+                out.loc[rows.index, names] = batch(rows).astype(object)
+            yield pd.concat([frame[[*ident, "jd_tdb"]], out], axis=1)
 
     keys = ", ".join(f"{c} bigint" for c in ident)
     spread = pairs.repartition(shuffle_partitions(pairs.sparkSession), *ident)

@@ -24,10 +24,11 @@ _MAS = 3.6e6  # milliarcseconds in a degree
 
 @dataclass(frozen=True)
 class SpikeRules:
-    """Thresholds. ``bend`` bounds the apparent acceleration, ``rate`` the apparent speed."""
+    """Thresholds. A deviation must also be ``significant`` given the fit's own error. ``bend`` bounds the apparent acceleration, ``rate`` the apparent speed."""
 
     times_scatter: float = 10.0
     ordinary: float = 6.0
+    significant: float = 4.0
     run: int = 4
     solid: int = 4
     visit_gap: float = 1.0
@@ -108,7 +109,13 @@ def robust_components(x: np.ndarray, y: np.ndarray, known_x: np.ndarray, known_y
         weight = rules.prior_rows * max(float(below.mean()), 1e-30)
         if turn < 6 and below.any():
             profile = (top + weight * slot) / (below + weight)
-    off = [np.where(k, v - f["centre"][:, None] - f["rate"][:, None] * profile, 0.0) for (v, k), f in zip(((x, known_x), (y, known_y)), fits, strict=True)]
+    off = []
+    for (v, k), f in zip(((x, known_x), (y, known_y)), fits, strict=True):
+        gap = np.where(k, v - f["centre"][:, None] - f["rate"][:, None] * profile, 0.0)
+        # a line drawn out far beyond its points proves little: allow for its own error there
+        lever = 1.0 / np.maximum(f["n"], 1)[:, None] + (profile - f["mean"][:, None]) ** 2 / np.where(f["spread"] > 0, f["spread"], np.nan)[:, None]
+        sure = np.abs(gap) > rules.significant * scale * np.sqrt(1.0 + np.where(f["good"], 0.0, np.nan_to_num(lever, nan=1e12)))
+        off.append(np.where(sure, gap, 0.0))
     return {"off_x": off[0], "off_y": off[1], "fit_x": fits[0], "fit_y": fits[1], "scale": scale, "sums": sums, "freedom": freedom, "profile": profile}
 
 
