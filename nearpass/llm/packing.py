@@ -36,7 +36,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, batch: int =
     """``doc_id, n_tokens`` of whole texts; null and empty texts have none and are left out.
 
     The tokenizer file must be at the same path on every executor. Strings of special
-    tokens inside a text are ordinary text.
+    tokens inside a text are ordinary text. A document given twice counts once.
     """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,8 +52,9 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, batch: int =
                 sizes += [len(e.ids) for e in model.encode_batch_fast(texts[k : k + batch], add_special_tokens=False)]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": np.array(sizes, dtype=np.int64)})
 
-    texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").dropDuplicates(["doc_id"])
-    return texts.mapInPandas(count, "doc_id bigint, n_tokens bigint").where("n_tokens > 0")
+    texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    counted = texts.mapInPandas(count, "doc_id bigint, n_tokens bigint").where("n_tokens > 0")
+    return counted.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))  # counts are deduplicated, texts aren't moved for it
 
 
 class _Lengths:
