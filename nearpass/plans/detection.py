@@ -142,7 +142,7 @@ _K = "0.01720209895"
 
 def _positions_sql(steps: str, decimals: int) -> str:
     return f"""
-mean AS (SELECT number, s, {START} + s * {STEP} AS t_jd, els.* EXCLUDE (number), (radians(mean_anomaly_deg) + {_K} / pow(a_au, 1.5) * ({START} + s * {STEP} - epoch_jd)) AS raw FROM els, {steps}),
+mean AS (SELECT number, s, {START}::DOUBLE + s * {STEP}::DOUBLE AS t_jd, els.* EXCLUDE (number), (radians(mean_anomaly_deg) + {_K} / pow(a_au, 1.5) * ({START} + s * {STEP} - epoch_jd)) AS raw FROM els, {steps}),
 turned AS (SELECT *, raw - 2 * pi() * floor(raw / (2 * pi())) AS ma FROM mean),
 solved AS (SELECT *, list_reduce(list_prepend(ma, range(1, 16)::DOUBLE[]), lambda q, k: q + (ma - q + ecc * sin(q)) / (1 - ecc * cos(q))) AS big_e FROM turned),
 placed AS (SELECT *, a_au * (1 - ecc * cos(big_e)) AS r, radians(argperi_deg) + 2 * atan2(sqrt(1 + ecc) * sin(big_e / 2), sqrt(1 - ecc) * cos(big_e / 2)) AS u, radians(node_deg) AS o, radians(i_deg) AS i FROM solved),

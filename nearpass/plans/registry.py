@@ -7,4 +7,4 @@ from nearpass.plans import catalogue, detection, problems, series
 _MODULES = (detection, catalogue, series, problems)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
-FLAGSHIP = "encounter_detect"
+FLAGSHIP = "characterized"
