@@ -212,8 +212,8 @@ def mass_status_column(mass: Column, sigma_total: Column, n_sigma: float = 3.0)
 
 def with_total_sigma(masses: DataFrame, mass: str, sigma: str, calibrators: DataFrame) -> DataFrame:
     """Adds ``sigma_total`` with the systematic share of calibrators' relative errors (``number, relative_error``)."""
-    floor = calibrators.agg(F.sqrt(F.avg(F.pow("relative_error", 2))).alias("_f"))
-    return masses.crossJoin(F.broadcast(floor)).withColumn("sigma_total", F.sqrt(F.pow(sigma, 2) + F.pow(F.coalesce("_f", F.lit(0.0)) * F.col(mass), 2))).drop("_f")  # one row
+    floor = calibrators.agg(F.sqrt(F.avg(F.pow("relative_error", 2)))).scalar()
+    return masses.withColumn("sigma_total", F.sqrt(F.pow(sigma, 2) + F.pow(F.coalesce(floor, F.lit(0.0)) * F.col(mass), 2)))
 
 
 def orbit_fits(observations: DataFrame, seeds: DataFrame, key: str, sigma_mas: float = 5.0, max_obs: int = 20_000) -> DataFrame:

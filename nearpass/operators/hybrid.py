@@ -86,9 +86,9 @@ def ranked(df: DataFrame, by: str, tie: list[str] | None = None) -> DataFrame:
     cut = stage(df.repartitionByRange(by, *tie).withColumn("_pid", F.spark_partition_id()), "ranked")
     sizes = cut.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_pid", (F.sum("_n").over(W.orderBy("_pid")) - F.col("_n")).alias("_before"))
-    total = sizes.agg(F.sum("_n").alias("total"))
+    total = sizes.agg(F.sum("_n")).scalar()
     place = F.row_number().over(W.partitionBy("_pid").orderBy(by, *tie))
-    out = cut.withColumn("_place", place).join(F.broadcast(before), "_pid").crossJoin(F.broadcast(total))  # a row per partition; one row
+    out = cut.withColumn("_place", place).join(F.broadcast(before), "_pid").withColumn("total", total)  # a row per partition
     return out.withColumn("rank", F.col("_before") + F.col("_place") - 1).drop("_pid", "_place", "_before")
 
 
@@ -131,5 +131,5 @@ def crossings(df: DataFrame, threshold: float) -> DataFrame:
         F.avg("shift").alias("mean_bias"), F.stddev_samp("shift").alias("spread"),
         F.count_if((F.col("k") < threshold) & (F.col("m") >= threshold)).alias("left"), F.count_if((F.col("k") >= threshold) & (F.col("m") < threshold)).alias("entered"),
     )
-    middle = quantiles(moved, "shift", {"median_bias": 0.5}).select("n", "median_bias")
-    return counts.crossJoin(F.broadcast(middle))  # one row each
+    middle = quantiles(moved, "shift", {"median_bias": 0.5})
+    return counts.withColumns({c: middle.select(c).scalar() for c in ("n", "median_bias")})

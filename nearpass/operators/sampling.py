@@ -50,10 +50,9 @@ def eligible_nulls(elements: DataFrame, close: DataFrame, like: int, exclude: li
 
     ``close``: ``number`` of bodies that do meet the target.
     """
-    centre = elements.where(F.col("number") == like).agg(F.min("a_au").alias("_a0"))
-    near = elements.crossJoin(F.broadcast(centre))  # one row
-    near = near.where((F.abs(F.col("a_au") - F.col("_a0")) <= width_au) & F.col("h_mag").between(h_low, h_high) & ~F.col("number").isin(like, *exclude))
-    return near.drop("_a0").join(close.select("number").distinct(), "number", "left_anti")
+    centre = elements.where(F.col("number") == like).agg(F.min("a_au")).scalar()
+    near = elements.where((F.abs(F.col("a_au") - centre) <= width_au) & F.col("h_mag").between(h_low, h_high) & ~F.col("number").isin(like, *exclude))
+    return near.join(close.select("number").distinct(), "number", "left_anti")
 
 
 def null_draw(eligible: DataFrame, n: int, seed: int) -> DataFrame:

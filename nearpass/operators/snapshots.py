@@ -71,7 +71,7 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, key: str = "number",
     order = delivery_order(snapshots, rows, rows_path=rows_path).cache()
     intervals = validity_intervals(rows, order, key, value, tol, rows_path)
     by_key = W.partitionBy(key).orderBy("first_seq")
-    last = order.agg(F.max("seq").alias("_last"))
+    last = order.agg(F.max("seq")).scalar()
     marked = intervals.withColumn("_before", F.lag("last_seq").over(by_key)).withColumn("_after", F.lead("first_seq").over(by_key))
     adjacent = F.col("_before") == F.col("first_seq") - 1
     start = F.when(F.col("first_seq") > 1, F.struct(F.col("first_seq").alias("seq"), F.when(adjacent, "changed").otherwise("added").alias("change_kind")))
@@ -80,7 +80,7 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, key: str = "number",
         F.struct((F.col("last_seq") + 1).alias("seq"), F.lit("removed").alias("change_kind")),
     )
     return (
-        marked.crossJoin(F.broadcast(last))  # one row
+        marked.withColumn("_last", last)
         .select(key, F.explode(F.array_compact(F.array(start, end))).alias("_event"))
         .select(key, "_event.*")
         .join(broadcast_if_small(order), "seq")

@@ -95,8 +95,8 @@ def icc_anova(df: DataFrame, key: str, cluster: str, value: Column) -> DataFrame
 def leave_one_out_floor(df: DataFrame, ident: str, error: Column) -> DataFrame:
     """Root mean square of all calibrators' errors without each one's own."""
     rows = df.where(error.isNotNull()).select(ident, (error * error).alias("_q"))
-    total = rows.agg(F.sum("_q").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    return rows.crossJoin(F.broadcast(total)).select(ident, F.sqrt((F.col("_sum") - F.col("_q")) / F.nullif(F.col("_n") - 1, F.lit(0))).alias("floor"))  # one row
+    total, n = rows.agg(F.sum("_q")).scalar(), rows.agg(F.count(F.lit(1))).scalar()
+    return rows.select(ident, F.sqrt((total - F.col("_q")) / F.nullif(n - 1, F.lit(0))).alias("floor"))
 
 
 def jackknife(df: DataFrame, key: str, value: Column) -> DataFrame:
