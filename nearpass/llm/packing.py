@@ -17,9 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearpass.session import broadcast_if_small, spread, stage
+from nearpass.session import spread, stage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: The capacities are a stated, short list; more than this many are an error.
+MAX_CAPACITIES = 1000
 PACKED = "capacity_tokens bigint, container string, step_group string, tier int, doc_id bigint, part bigint, start_token bigint, n_tokens bigint, position bigint"
 
 
@@ -146,9 +148,11 @@ def pack_documents(counts: DataFrame, capacities: DataFrame, rules: PackRules |
     """
     rules = rules or PackRules()
     sized = stage(counts.select("doc_id", "n_tokens"), "tokens")
-    limits = broadcast_if_small(capacities.select(F.col("capacity_tokens").cast("bigint").alias("capacity_tokens")).where("capacity_tokens > 0").distinct(), 1000)
+    limits = [r.c for r in capacities.select(F.col("capacity_tokens").cast("bigint").alias("c")).where("c > 0").distinct().limit(MAX_CAPACITIES + 1).collect()]
+    if len(limits) > MAX_CAPACITIES:
+        raise ValueError(f"more than {MAX_CAPACITIES} capacities")
     pieces = (
-        sized.join(limits)  # a stated, counted set of capacities
+        sized.withColumn("capacity_tokens", F.explode(F.array(*[F.lit(c).cast("bigint") for c in sorted(limits)]).cast("array<bigint>")))
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_tokens") - 1) / F.col("capacity_tokens")))))
         .withColumn("start_token", F.col("part") * F.col("capacity_tokens"))
         .withColumn("n_tokens", F.least("capacity_tokens", F.col("n_tokens") - F.col("start_token")))

@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearpass.llm.words import joined, split_sentences, word_runs
-from nearpass.session import spread, stage
+from nearpass.session import broadcast_if_small, spread, stage
 
 _CLASS = "\x00"  # opens a class item; no word does
 _NONE = _CLASS + "none"
+#: Subjects are a stated, short list; more than this many are an error.
+MAX_SUBJECTS = 10_000
 
 
 @dataclass(frozen=True)
@@ -117,7 +119,7 @@ def _first(ids: DataFrame, rules: SubjectRules) -> DataFrame:
 
 def _labelled(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rules: SubjectRules) -> DataFrame:
     """Sample of the documents with exactly one known subject."""
-    known = labels.join(F.broadcast(subjects.select("subject").distinct().limit(10_000)), "subject", "left_semi")
+    known = labels.join(broadcast_if_small(subjects.select("subject").distinct()), "subject", "left_semi")
     clear = known.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("subject").alias("label"), F.max("subject").alias("_other")).where("label = _other").drop("_other")
     return _sampled(documents.select("doc_id", "text").where("text IS NOT NULL").join(_first(clear, rules), "doc_id"), rules)
 
@@ -245,7 +247,9 @@ def _relabel(model: RuleModel) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd
 def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rules: SubjectRules | None = None) -> RuleModel:
     """Mine, prune and calibrate the rules; without usable labels there are none."""
     rules = rules or SubjectRules()
-    classes = sorted(r.subject for r in subjects.select("subject").where("subject IS NOT NULL").distinct().limit(10_000).collect())
+    classes = sorted(r.subject for r in subjects.select("subject").where("subject IS NOT NULL").distinct().limit(MAX_SUBJECTS + 1).collect())
+    if len(classes) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     labelled = _labelled(documents, labels, subjects, rules)
     model = RuleModel(classes)
     if not labelled.limit(1).count():
