@@ -60,8 +60,7 @@ def percentiles_of(counts: DataFrame, group: str, probs: dict[str, float]) -> Da
     lost executor. A hot group is spread over many partitions. No step gathers a group.
     """
     sorted_counts = (
-        counts.where(F.col("value").isNotNull())
-        .select(group, "value", "n")
+        counts.select(group, "value", "n")  # a group without values keeps its null row
         .repartitionByRange(group, "value")
         .withColumn("pid", F.spark_partition_id())
     )
@@ -81,6 +80,6 @@ def percentiles_of(counts: DataFrame, group: str, probs: dict[str, float]) -> Da
     )
     found = running.select(group, "total", "value", F.explode("hit.prob").alias("prob"))
     answers = found.groupBy(group).agg(F.max("total").alias("n"), *[F.max(F.when(F.col("prob") == name, F.col("value"))).alias(name) for name in probs])
-    absent = counts.groupBy(group).agg(F.sum("n").alias("_n")).where(F.col("_n") == 0)
+    absent = blocks.where(F.col("total") == 0).select(group).distinct()
     empty = absent.select(group, F.lit(0).cast("bigint").alias("n"), *[F.lit(None).cast("double").alias(name) for name in probs])
     return answers.select(group, F.col("n").cast("bigint").alias("n"), *probs).unionByName(empty)
