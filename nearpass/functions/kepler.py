@@ -58,7 +58,7 @@ def solve_kepler(mean: np.ndarray, ecc: np.ndarray, steps: int = NEWTON_STEPS) -
     for _ in range(steps):
         move = (mean - big_e + ecc * np.sin(big_e)) / (1.0 - ecc * np.cos(big_e))
         big_e += move
-        if not move.size or np.abs(move).max() < 1e-15:
+        if not move.size or np.abs(move).max() < 1e-11:  # the next step would be smaller than a double can show
             break
     return big_e
 

@@ -21,12 +21,12 @@ def radius_self_join(df: DataFrame, ident: str, dims: list[str], radius: float,
     for d in dims:
         usable = usable.where(F.col(d).isNotNull() & ~F.isnan(d))
     extra = [c for c in keep if c not in (ident, *dims)]
-    cell = lambda x: F.floor(x / (2.0 * radius)).cast("int")
+    cell = lambda x: F.floor(x / (2.0 * radius)).cast("bigint")
     build = usable.select(*by, *[cell(F.col(d)).alias(c) for d, c in zip(dims, cells, strict=True)], F.col(ident).alias("idx_j"), *[F.col(c).alias(f"{c}_j") for c in [*dims, *extra]])
     probe = usable.select(*by, F.col(ident).alias("idx_i"), *[F.col(c).alias(f"{c}_i") for c in [*dims, *extra]])
     for d, c in zip(dims, cells, strict=True):
         x = F.col(f"{d}_i")
-        probe = probe.withColumn(c, F.explode(F.array_distinct(F.array(cell(x - radius), cell(x + radius)))))
+        probe = probe.withColumn(c, F.explode(F.sequence(cell(x - radius), cell(x + radius))))
     squared = sum(((F.col(f"{d}_i") - F.col(f"{d}_j")) * (F.col(f"{d}_i") - F.col(f"{d}_j")) for d in dims), F.lit(0.0))
     met = probe.join(build, [*by, *cells]).where(F.col("idx_i") < F.col("idx_j")).withColumn("dist", F.sqrt(squared)).where(F.col("dist") <= radius)
     return met.select(*by, "idx_i", "idx_j", "dist", *[f"{c}_{s}" for c in keep for s in ("i", "j")])

@@ -124,3 +124,13 @@ def test_monte_carlo_distance(spark):
     d = np.linalg.norm(positions(*TRUE, EPOCH, EPOCH) - positions(*(TRUE + [0, 0, 0, 0, 0, 0.1]), EPOCH, EPOCH))
     assert got[1].median_au == pytest.approx(d, rel=1e-4) and got[1].p16_au < got[1].median_au < got[1].p84_au
     assert got[3].median_au is None and got[3].note == "no covariance"
+
+
+def test_total_sigma_adds_the_calibrators_share(spark):
+    masses = spark.createDataFrame([(1, 10.0, 3.0)], "number int, mass double, sigma double")
+    calibrators = spark.createDataFrame([(4, 0.3), (5, -0.5)], "number int, relative_error double")
+    got = fits.with_total_sigma(masses, "mass", "sigma", calibrators).first().sigma_total
+    assert got == pytest.approx(math.sqrt(9 + (math.sqrt(0.17) * 10) ** 2))
+    assert fits.with_total_sigma(masses, "mass", "sigma", calibrators.limit(0)).first().sigma_total == 3.0
+    status = masses.select(fits.mass_status_column(F.col("mass"), F.col("sigma")).alias("s")).first().s
+    assert status == "measured"
