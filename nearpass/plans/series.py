@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from nearpass.functions.physics import clean, ra_dec_deg, tangent_residual_mas
 from nearpass.operators import catalog, fits
 from nearpass.operators import timeseries as ts
 from nearpass.plans.detection import ELEMENTS_SQL, current_elements
-from nearpass.session import table
+from nearpass.session import checkpoint_root, table
 from nearpass.sources import elements as src
+from nearpass.streaming import live
 
 SPLIT_EPOCH = 2100.0
 
@@ -119,9 +122,19 @@ def secondary_perturbers(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.secondary_perturbers(rows, 1, targets, 0.03, 2457023.5, 2457388.5).select("encounter_id", "number", "partner", "massive")
 
 
+def gate_streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """The gate of required bodies kept as a running aggregate over the catalogue read as a stream."""
+    name = f"gate_{uuid.uuid4().hex}"
+    batch = table(spark, sf, "encounters_catalog")
+    stream = live.encounter_stream(spark, f"{sf}/encounters_catalog.parquet", batch.schema)
+    query = live.gate_stream(stream.select("number_1", "number_2", "dist_au"), name, f"{checkpoint_root(spark)}/nearpass/{name}")
+    query.awaitTermination()
+    return spark.table(name)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (fov_sessions, before_after_welch, step_model_bic, icc_anova, jackknife_sigma, loo_floor, sky_residuals, spacecraft_direction, fixed_width_round_trip, json_payload, pipe_list, step_specificity, bootstrap_sigma, mass_status, percentile_rank, secondary_perturbers)
+    for f in (fov_sessions, before_after_welch, step_model_bic, icc_anova, jackknife_sigma, loo_floor, sky_residuals, spacecraft_direction, fixed_width_round_trip, json_payload, pipe_list, step_specificity, bootstrap_sigma, mass_status, percentile_rank, secondary_perturbers, gate_streamed)
 }
 
 _READ = "r AS (SELECT DISTINCT source_id, observation_id, transit_id, number_mp, epoch, CASE WHEN NOT isnan(ra) THEN ra END AS ra, CASE WHEN NOT isnan(dec) THEN dec END AS dec, CASE WHEN NOT isnan(g_mag) THEN g_mag END AS g, x_gaia, y_gaia, z_gaia FROM sso_observation)"
@@ -170,4 +183,5 @@ m AS (SELECT *, greatest(0, r1 - CASE WHEN sv > 0 THEN sc * sc / sv ELSE 0 END)
 d AS (SELECT source_id, spot, CASE WHEN n >= 10 AND ss >= 3 AND n - ss >= 3 THEN (n * ln(greatest(r1 / n, 1e-300)) + 2 * ln(n)) - (n * ln(greatest(r2 / n, 1e-300)) + 3 * ln(n)) END AS g FROM m),
 b AS (SELECT source_id, max(g) FILTER (spot = 0) AS a, max(g) FILTER (spot <> 0) AS o FROM d GROUP BY 1)
 SELECT source_id, round(a, 3) AS real, round(o, 3) AS other, round(a - o, 3) AS specificity, coalesce(a - o > 2, false) AS flag FROM b""",
+    "gate_streamed": "SELECT number, count(*) AS n, min(CASE WHEN NOT isnan(dist_au) THEN dist_au END) AS nearest_au FROM (SELECT number_1 AS number, dist_au FROM encounters_catalog UNION ALL SELECT number_2, dist_au FROM encounters_catalog) WHERE number IN (1, 2, 4, 10) GROUP BY 1",
 }

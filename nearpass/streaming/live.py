@@ -12,7 +12,12 @@ from nearpass.operators.characterize import characterize
 
 
 def encounter_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:  # noqa: ANN001
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """A folder of Parquet files as they arrive; a single file is a stream of one."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isFile():
+        return reader.option("pathGlobFilter", target.getName()).parquet(str(target.getParent().toString()))
+    return reader.parquet(path)
 
 
 def characterize_stream(stream: DataFrame, elements: DataFrame, physical: DataFrame | None, out: str, checkpoint: str) -> StreamingQuery:
