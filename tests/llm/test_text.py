@@ -200,3 +200,15 @@ def test_a_pair_of_words_rules_where_single_words_cannot(spark):
     assert model.single["density"][0] == 0 and model.single["clock"][0] == 1 and "prior" not in model.single
     assert Counter(model.classes[model.subject(i, 0.5)[0]] for i in sentence_items("A prior density. The clock.")) == {"a": 1, "b": 1}
     assert isinstance(pd.DataFrame(list(model.single)), pd.DataFrame)
+
+
+def test_very_long_texts(spark):
+    """A passage at the end of 200,000 words is found, and its sentences count as any other."""
+    passage = " ".join(VOCAB[:15])
+    text = "filler word " * 100_000 + passage
+    assert set(leaks(spark, [(1, text), (2, "x" * 1_000_000)], [(7, passage)])) == {(1, 7)}
+    docs, _, labels = corpus(120, 3)
+    docs.append((900, "We checked the unit test against the lint rule. " * 20_000, "", 0))
+    subjects = spark.createDataFrame([(s, "") for s in TERMS], "subject string, description string")
+    out = document_subjects(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, subject string"), subjects)
+    assert [r.subject for r in out.where("doc_id = 900").collect()] == ["code"]
