@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from nearpass.functions.kepler import positions
 from nearpass.functions.physics import AU_KM, DAY_S
 from nearpass.operators.spatial import min_per_pair, prefilter, radius_self_join
-from nearpass.session import broadcast_if_small, spread, stage
+from nearpass.session import broadcast_if_small, shuffle_partitions, stage
 
 ORBIT = ["a_au", "ecc", "i_deg", "node_deg", "argperi_deg", "mean_anomaly_deg", "epoch_jd"]
 RECENTRES = 4
@@ -88,7 +88,7 @@ def propagate(elements: DataFrame, ident: str, start_jd: float, end_jd: float, s
 def scan(elements: DataFrame, ident: str, start_jd: float, end_jd: float, rules: DetectRules) -> DataFrame:
     """Candidates ``idx_i, idx_j, t_coarse_jd, d_coarse_au``: closest coarse step of each pair within the query radius."""
     # both sides of the self-join read the written trajectories; a lazy plan would propagate twice
-    places = stage(propagate(spread(elements, ident), ident, start_jd, end_jd, rules.coarse_days, rules.decimals), "trajectories")
+    places = stage(propagate(elements.repartition(shuffle_partitions(elements.sparkSession), ident), ident, start_jd, end_jd, rules.coarse_days, rules.decimals), "trajectories")
     near = radius_self_join(places, ident, ["x", "y", "z"], rules.query_radius(), by=["step_idx"], keep=["t_jd"])
     near = near.select("idx_i", "idx_j", F.col("t_jd_i").alias("t_coarse_jd"), (F.round("dist", rules.decimals - 1) if rules.decimals else F.col("dist")).alias("d_coarse_au"))
     best = min_per_pair(near, ["idx_i", "idx_j"], "d_coarse_au", "t_coarse_jd")

@@ -102,11 +102,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition rows whose cost is not in their bytes, if the scan has few partitions.
+    """Hash-partition rows whose cost is not in their bytes, if a scan has few partitions.
 
-    A table that already comes in at least as many partitions as the session shuffles
-    into is left where it is, so a large corpus is not moved.
+    A table that already comes in at least as many partitions as the session shuffles into
+    is left where it is, so a large corpus is not moved; nor is the result of a shuffle, whose
+    partitions can't be counted without running it.
     """
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return df
     wanted = shuffle_partitions(df.sparkSession)
-    have = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if have >= wanted else df.repartition(wanted, *keys)
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted else df.repartition(wanted, *keys)

@@ -279,3 +279,16 @@ def test_streams_match_batch(spark, tmp_path):
     got = {r.number: (r.n, r.nearest_au) for r in spark.table("gate").collect()}
     want = {r.number: (r.n, r.nearest_au) for r in catalog.major_body_gate(df).where("NOT missing").collect()}
     assert got == want
+
+
+def test_spread_moves_only_scans_of_few_partitions(spark, tmp_path):
+    from nearpass.session import spread
+
+    one = spark.range(100).coalesce(1)
+    one.write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    assert spread(scan, "id").rdd.getNumPartitions() == 4
+    wide = spark.range(0, 100, 1, 9)
+    assert spread(wide, "id") is wide
+    shuffled = scan.groupBy("id").count()
+    assert spread(shuffled, "id") is shuffled
