@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearpass.llm.words import joined, split_sentences, word_runs
-from nearpass.session import broadcast_if_small, spread, stage
+from nearpass.session import broadcast_if_small, shuffle_partitions, spread, stage
 
 _CLASS = "\x00"  # opens a class item; no word does
 _NONE = _CLASS + "none"
@@ -109,7 +109,7 @@ def _sampled(texts: DataFrame, rules: SubjectRules) -> DataFrame:
                     out.append((label, sorted(items[int(k * step)])))
             yield pd.DataFrame(out, columns=["label", "items"])
 
-    return stage(spread(texts.select("label", "doc_id", "text"), "doc_id").mapInPandas(cut, "label string, items array<string>"), "subjects")
+    return stage(texts.select("label", "doc_id", "text").repartition(shuffle_partitions(texts.sparkSession), "doc_id").mapInPandas(cut, "label string, items array<string>"), "subjects")
 
 
 def _first(ids: DataFrame, rules: SubjectRules) -> DataFrame:
