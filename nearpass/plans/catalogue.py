@@ -19,9 +19,12 @@ def raw(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "encounters_catalog")
 
 
-def once(spark: SparkSession, sf: str) -> DataFrame:
-    """Every encounter once, however many runs wrote it."""
-    return raw(spark, sf).drop("run_id").distinct()
+def once(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Every encounter once, however many runs wrote it, with the columns a query needs.
+
+    Only these are read and shuffled, and rows are hash-partitioned by the encounter, not by a body.
+    """
+    return raw(spark, sf).select("encounter_id", *columns).distinct()
 
 
 def refined(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,60 +41,60 @@ def filter_bodies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def top_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.top_encounters(once(spark, sf), 10).select("encounter_id", "dist_au")
+    return catalog.top_encounters(once(spark, sf, "dist_au"), 10).select("encounter_id", "dist_au")
 
 
 def top_fastest(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.top_encounters(once(spark, sf), 10, "rel_vel_km_s", ascending=False).select("encounter_id", "rel_vel_km_s")
+    return catalog.top_encounters(once(spark, sf, "rel_vel_km_s"), 10, "rel_vel_km_s", ascending=False).select("encounter_id", "rel_vel_km_s")
 
 
 def catalog_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.catalog_stats(once(spark, sf))
+    return catalog.catalog_stats(once(spark, sf, "gaia_observable", "dist_au"))
 
 
 def class_breakdown(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.class_breakdown(once(spark, sf))
+    return catalog.class_breakdown(once(spark, sf, "class_1", "class_2"))
 
 
 def monthly_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.monthly_counts(once(spark, sf))
+    return catalog.monthly_counts(once(spark, sf, "date_utc"))
 
 
 def distance_cdf(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.distance_cdf(once(spark, sf), BOUNDS)
+    return catalog.distance_cdf(once(spark, sf, "dist_au"), BOUNDS)
 
 
 def distance_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.equal_width_histogram(once(spark, sf), "dist_au", 0.0, 0.05, 25)
+    return catalog.equal_width_histogram(once(spark, sf, "dist_au"), "dist_au", 0.0, 0.05, 25)
 
 
 def speed_histogram_clipped(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.equal_width_histogram(once(spark, sf), "rel_vel_km_s", 0.0, 10.0, 20, clip=True)
+    return catalog.equal_width_histogram(once(spark, sf, "rel_vel_km_s"), "rel_vel_km_s", 0.0, 10.0, 20, clip=True)
 
 
 def major_body_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.major_body_gate(once(spark, sf))
+    return catalog.major_body_gate(once(spark, sf, "number_1", "number_2", "dist_au"))
 
 
 def perturber_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.perturber_ranking(once(spark, sf))
+    return catalog.perturber_ranking(once(spark, sf, "number_1", "number_2", "dist_au"))
 
 
 def nearest_targets(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.nearest_targets(once(spark, sf), 5, 0.03).select("number", "partner", "dist_au", "rank")
+    return catalog.nearest_targets(once(spark, sf, "number_1", "number_2", "dist_au"), 5, 0.03).select("number", "partner", "dist_au", "rank")
 
 
 def mass_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = catalog.mass_candidates(once(spark, sf), 0.02, 100.0, 5.0)
+    rows = catalog.mass_candidates(once(spark, sf, "number_1", "dist_au", "diameter_1_km", "rel_vel_km_s", "gaia_observable"), 0.02, 100.0, 5.0)
     return rows.select("encounter_id", F.round("score", 2).alias("score"), "mass_unknown")
 
 
 def family_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.family_pairs(once(spark, sf), current_elements(spark, sf), 0.02, 0.05, 2.0).select("encounter_id", F.round(F.abs(F.col("a_1") - F.col("a_2")), 8).alias("delta_a"))
+    return catalog.family_pairs(once(spark, sf, "number_1", "number_2"), current_elements(spark, sf), 0.02, 0.05, 2.0).select("encounter_id", F.round(F.abs(F.col("a_1") - F.col("a_2")), 8).alias("delta_a"))
 
 
 def pair_minima(spark: SparkSession, sf: str) -> DataFrame:
-    return crossmatch.pair_minima(once(spark, sf))
+    return crossmatch.pair_minima(once(spark, sf, "number_1", "number_2", "dist_au"))
 
 
 def catalog_diff(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,12 +109,12 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 def literature_match(spark: SparkSession, sf: str) -> DataFrame:
     """Published events against the catalogue, best by distance within 31 days."""
-    there = crossmatch.with_pair_key(once(spark, sf), "number_1", "number_2").withColumnRenamed("jd_tdb", "jd")
+    there = crossmatch.with_pair_key(once(spark, sf, "number_1", "number_2", "jd_tdb", "dist_au"), "number_1", "number_2").withColumnRenamed("jd_tdb", "jd")
     return crossmatch.match_events(_events(spark, sf), there, 31.0).select("recno", "encounter_id")
 
 
 def literature_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    base = once(spark, sf)
+    base = once(spark, sf, "number_1", "number_2", "dist_au")
     return crossmatch.literature_outcomes(_events(spark, sf), crossmatch.pair_minima(base), crossmatch.universe_of(base), THRESHOLD)
 
 
@@ -182,14 +185,14 @@ def error_quantiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def velocity_quintiles(spark: SparkSession, sf: str) -> DataFrame:
-    rows = once(spark, sf).where(clean(F.col("rel_vel_km_s")).isNotNull())
+    rows = once(spark, sf, "rel_vel_km_s", "dist_au").where(clean(F.col("rel_vel_km_s")).isNotNull())
     fifths = hybrid.quintiles(rows.select("encounter_id", "rel_vel_km_s", "dist_au"), "rel_vel_km_s", "encounter_id")
     return fifths.groupBy("fifth").agg(F.count(F.lit(1)).alias("n"), F.min("rel_vel_km_s").alias("slowest"), F.max("rel_vel_km_s").alias("fastest"), F.round(F.avg(clean(F.col("dist_au"))), 8).alias("mean_dist"))
 
 
 def stage_subset(spark: SparkSession, sf: str) -> DataFrame:
     """Encounters worth a costlier solution, by reason."""
-    rows = once(spark, sf)
+    rows = once(spark, sf, "rel_vel_km_s", "diameter_1_km", "dist_au", "class_2")
     reason = F.when(clean(F.col("rel_vel_km_s")) < 1.0, "slow").when((clean(F.col("diameter_1_km")) > 100) & (clean(F.col("dist_au")) < 0.01), "big_close").when(F.col("class_2") == "NEA", "nea")
     return rows.withColumn("reason", reason).where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min(clean(F.col("dist_au"))).alias("nearest"), F.round(F.avg((clean(F.col("dist_au")) < 0.01).cast("double")), 8).alias("close_share"))
 
@@ -213,12 +216,12 @@ def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hash_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.hash_sample(once(spark, sf).select("encounter_id", "dist_au"), ["encounter_id"], 100, seed=7)
+    return sampling.hash_sample(once(spark, sf, "dist_au").select("encounter_id", "dist_au"), ["encounter_id"], 100, seed=7)
 
 
 def systematic_sample(spark: SparkSession, sf: str) -> DataFrame:
     """Every tenth encounter of each month."""
-    rows = once(spark, sf).select("encounter_id", F.substring("date_utc", 1, 7).alias("month"))
+    rows = once(spark, sf, "date_utc").select("encounter_id", F.substring("date_utc", 1, 7).alias("month"))
     return sampling.systematic_sample(rows, "encounter_id", 10, ["month"])
 
 

@@ -18,9 +18,10 @@ from nearpass.streaming import live
 SPLIT_EPOCH = 2100.0
 
 
-def readings(spark: SparkSession, sf: str) -> DataFrame:
-    """Every reading once."""
-    return table(spark, sf, "sso_observation").select("source_id", "observation_id", "transit_id", "number_mp", "epoch", clean(F.col("ra")).alias("ra"), clean(F.col("dec")).alias("dec"), clean(F.col("g_mag")).alias("g_mag"), "x_gaia", "y_gaia", "z_gaia").distinct()
+def readings(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Every reading once, with the columns a query needs."""
+    rows = table(spark, sf, "sso_observation").select("source_id", "observation_id", "epoch", *[clean(F.col(c)).alias(c) if c in ("ra", "dec", "g_mag") else c for c in columns])
+    return rows.distinct()
 
 
 def fov_sessions(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,21 +31,21 @@ def fov_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def before_after_welch(spark: SparkSession, sf: str) -> DataFrame:
-    out = ts.before_after(readings(spark, sf), "source_id", F.col("g_mag"), F.col("epoch") < SPLIT_EPOCH, F.col("epoch") >= SPLIT_EPOCH)
+    out = ts.before_after(readings(spark, sf, "g_mag"), "source_id", F.col("g_mag"), F.col("epoch") < SPLIT_EPOCH, F.col("epoch") >= SPLIT_EPOCH)
     return out.select("source_id", "n_before", "n_after", *[F.round(c, 10).alias(c) for c in ("mean_before", "mean_after")], F.round("welch_t", 5).alias("welch_t"), "significant")
 
 
 def step_model_bic(spark: SparkSession, sf: str) -> DataFrame:
-    rows = readings(spark, sf).withColumn("x", (F.col("epoch") - SPLIT_EPOCH) / 1000.0)
+    rows = readings(spark, sf, "g_mag").withColumn("x", (F.col("epoch") - SPLIT_EPOCH) / 1000.0)
     return ts.step_bic(rows, "source_id", "x", "g_mag", F.lit(0.0)).select("source_id", "n", F.round("delta_bic", 4).alias("delta_bic"))
 
 
 def icc_anova(spark: SparkSession, sf: str) -> DataFrame:
-    return ts.icc_anova(readings(spark, sf), "source_id", "transit_id", F.col("g_mag") - 18.0).select("source_id", "k", "n", F.round("icc", 5).alias("icc"))
+    return ts.icc_anova(readings(spark, sf, "transit_id", "g_mag"), "source_id", "transit_id", F.col("g_mag") - 18.0).select("source_id", "k", "n", F.round("icc", 5).alias("icc"))
 
 
 def jackknife_sigma(spark: SparkSession, sf: str) -> DataFrame:
-    out = ts.jackknife(readings(spark, sf), "source_id", F.col("g_mag") - 18.0)
+    out = ts.jackknife(readings(spark, sf, "g_mag"), "source_id", F.col("g_mag") - 18.0)
     return out.select("source_id", "n", F.round("mean", 10).alias("mean"), F.round("jackknife_sigma", 10).alias("jackknife_sigma"), F.round("top_share", 5).alias("top_share"))
 
 
@@ -56,7 +57,7 @@ def loo_floor(spark: SparkSession, sf: str) -> DataFrame:
 
 def sky_residuals(spark: SparkSession, sf: str) -> DataFrame:
     """Largest residual of each source's readings against its own first reading of the transit."""
-    rows = readings(spark, sf).where("ra >= 0 AND ra < 360 AND abs(dec) <= 90")
+    rows = readings(spark, sf, "transit_id", "ra", "dec").where("ra >= 0 AND ra < 360 AND abs(dec) <= 90")
     first = rows.groupBy("source_id", "transit_id").agg(F.min(F.struct("epoch", "observation_id", "ra", "dec")).alias("f"))
     both = rows.join(first, ["source_id", "transit_id"])
     east, north = tangent_residual_mas(F.col("ra"), F.col("dec"), F.col("f.ra"), F.col("f.dec"))
@@ -65,7 +66,7 @@ def sky_residuals(spark: SparkSession, sf: str) -> DataFrame:
 
 def spacecraft_direction(spark: SparkSession, sf: str) -> DataFrame:
     """Direction of the spacecraft from the Sun at the first reading of each transit."""
-    first = readings(spark, sf).groupBy("source_id", "transit_id").agg(F.min(F.struct("epoch", "observation_id", "x_gaia", "y_gaia", "z_gaia")).alias("f"))
+    first = readings(spark, sf, "transit_id", "x_gaia", "y_gaia", "z_gaia").groupBy("source_id", "transit_id").agg(F.min(F.struct("epoch", "observation_id", "x_gaia", "y_gaia", "z_gaia")).alias("f"))
     ra, dec = ra_dec_deg({"x": F.col("f.x_gaia"), "y": F.col("f.y_gaia"), "z": F.col("f.z_gaia")})
     return first.select("source_id", "transit_id", F.round(ra, 6).alias("ra"), F.round(dec, 6).alias("dec"))
 
@@ -92,13 +93,13 @@ def pipe_list(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def step_specificity(spark: SparkSession, sf: str) -> DataFrame:
-    rows = readings(spark, sf).withColumn("x", (F.col("epoch") - SPLIT_EPOCH) / 1000.0)
+    rows = readings(spark, sf, "g_mag").withColumn("x", (F.col("epoch") - SPLIT_EPOCH) / 1000.0)
     out = ts.step_specificity(rows, "source_id", "x", "g_mag", F.lit(0.0), [k / 20.0 for k in range(-10, 11) if k])
     return out.select("source_id", *[F.round(c, 3).alias(c) for c in ("real", "other", "specificity")], "flag")
 
 
 def bootstrap_sigma(spark: SparkSession, sf: str) -> DataFrame:
-    return fits.bootstrap_means(readings(spark, sf), "source_id", "observation_id", "g_mag", replicates=100)
+    return fits.bootstrap_means(readings(spark, sf, "g_mag"), "source_id", "observation_id", "g_mag", replicates=100)
 
 
 def mass_status(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,7 +118,7 @@ def percentile_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 def secondary_perturbers(spark: SparkSession, sf: str) -> DataFrame:
     """Bodies other than number 1 that met its targets in 2015."""
-    rows = table(spark, sf, "encounters_catalog").drop("run_id").distinct()
+    rows = table(spark, sf, "encounters_catalog").select("encounter_id", "number_1", "number_2", "dist_au", "jd_tdb").distinct()
     targets = catalog.sides(rows).where("number = 1 AND partner IS NOT NULL").select(F.col("partner").alias("number"))
     return catalog.secondary_perturbers(rows, 1, targets, 0.03, 2457023.5, 2457388.5).select("encounter_id", "number", "partner", "massive")
 
