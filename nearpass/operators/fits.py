@@ -95,9 +95,30 @@ def whitened(residual: np.ndarray, sigma: np.ndarray, group: np.ndarray, common:
     return out
 
 
-def predict(elements: np.ndarray, epoch: float, t: np.ndarray, observer: np.ndarray, perturber: Perturber | None = None, planets: tuple[str, ...] = (), step: float = 2.0) -> np.ndarray:
-    """RA, Dec at the observation times: two-body in closed form, or integrated with perturbers."""
+#: Fixed value: speed of light, AU per day.
+LIGHT_AU_DAY = 173.144632674
+
+
+def retarded(place: Callable[[np.ndarray], np.ndarray], t: np.ndarray, observer: np.ndarray, steps: int = 4) -> np.ndarray:
+    """Ecliptic positions at the time the light left; each step shrinks the error by v/c."""
+    left = np.array(t, float)
+    eye = np.stack([observer[:, 0], np.cos(_EPS) * observer[:, 1] + np.sin(_EPS) * observer[:, 2], -np.sin(_EPS) * observer[:, 1] + np.cos(_EPS) * observer[:, 2]], 1)
+    for _ in range(steps):
+        left = t - np.linalg.norm(place(left) - eye, axis=1) / LIGHT_AU_DAY
+    return place(left)
+
+
+def aberrated(direction: np.ndarray, velocity: np.ndarray) -> np.ndarray:
+    """Unit directions as seen by an observer moving at ``velocity`` (AU/day), to first order in v/c."""
+    u = direction / np.linalg.norm(direction, axis=-1, keepdims=True) + velocity / LIGHT_AU_DAY
+    return u / np.linalg.norm(u, axis=-1, keepdims=True)
+
+
+def predict(elements: np.ndarray, epoch: float, t: np.ndarray, observer: np.ndarray, perturber: Perturber | None = None, planets: tuple[str, ...] = (), step: float = 2.0, light_time: bool = False) -> np.ndarray:
+    """RA, Dec at the observation times: two-body in closed form (with light time on demand), or integrated with perturbers."""
     if perturber is None and not planets:
+        if light_time:
+            return sky(retarded(lambda when: positions(*elements[:6], epoch, when), t, observer), observer)
         return sky(positions(*elements[:6], epoch, t), observer)
     state = elements_to_state(*elements[:6], epoch, epoch)[None]
     order, back = np.unique(t, return_inverse=True)

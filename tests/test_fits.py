@@ -134,3 +134,18 @@ def test_total_sigma_adds_the_calibrators_share(spark):
     assert fits.with_total_sigma(masses, "mass", "sigma", calibrators.limit(0)).first().sigma_total == 3.0
     status = masses.select(fits.mass_status_column(F.col("mass"), F.col("sigma")).alias("s")).first().s
     assert status == "measured"
+
+
+def test_light_time_and_aberration():
+    t = np.linspace(EPOCH, EPOCH + 300, 20)
+    o = observer(t)
+    place = lambda when: positions(*TRUE, EPOCH, when)
+    eps = np.radians(23.4392911)
+    eye = np.stack([o[:, 0], np.cos(eps) * o[:, 1] + np.sin(eps) * o[:, 2], -np.sin(eps) * o[:, 1] + np.cos(eps) * o[:, 2]], 1)
+    seen = fits.retarded(place, t, o)
+    delay = np.linalg.norm(seen - eye, axis=1) / fits.LIGHT_AU_DAY
+    assert np.abs(seen - place(t - delay)).max() < 1e-12
+    shift = fits.sky_residual_mas(fits.predict(TRUE, EPOCH, t, o, light_time=True), fits.predict(TRUE, EPOCH, t, o))
+    assert 1000 < np.linalg.norm(shift, axis=1).max() < 60_000
+    turned = fits.aberrated(np.array([[0.0, 0.0, 2.0]]), np.array([[0.0172, 0.0, 0.0]]))
+    assert np.degrees(np.arcsin(turned[0, 0])) * 3600 == pytest.approx(20.5, abs=0.1)
