@@ -329,10 +329,30 @@ def bootstrap_means(df: DataFrame, key: str, ident: str, value: str, replicates:
     return means.groupBy(key).agg(F.stddev_samp("m").alias("sigma"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
+def _root(row: pd.Series, side: str) -> np.ndarray:
+    """A square root of a body's element covariance; a matrix that isn't quite positive gets a jitter."""
+    full = row.get(f"covariance_{side}")
+    if full is not None:
+        matrix = np.asarray(full, float).reshape(6, 6)
+        if not np.isfinite(matrix).all():
+            raise ValueError("no covariance")
+        for jitter in (0.0, 1e-12, 1e-9, 1e-6):
+            try:
+                return np.linalg.cholesky(matrix + jitter * np.diag(np.abs(np.diag(matrix)) + 1e-300))
+            except np.linalg.LinAlgError:
+                continue
+        raise ValueError("covariance is not positive")
+    sigma = np.array([row.get(f"sigma_{c}_{side}", np.nan) for c in ORBIT], dtype=float)
+    if not np.isfinite(sigma).all():
+        raise ValueError("no covariance")
+    return np.diag(sigma)
+
+
 def monte_carlo_distance(pairs: DataFrame, draws: int = 500, seed: int = 0) -> DataFrame:
-    """Spread of a pair's distance from element sigmas (``sigma_<c>_i/_j``): median, sigma, 16 and 84 percent.
+    """Spread of a pair's distance: median, sigma, 16 and 84 percent, from independent draws per body.
 
-    Fewer than 50 finite draws, or no sigmas, give nulls and a note.
+    Each body brings a covariance of its six elements (``covariance_i/_j``, 36 numbers by row) or their
+    sigmas (``sigma_<c>_i/_j``). Fewer than 50 finite draws, or neither of them, give nulls and a note.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -343,10 +363,7 @@ def monte_carlo_distance(pairs: DataFrame, draws: int = 500, seed: int = 0) -> D
                 try:
                     places = []
                     for s in "ij":
-                        sigma = row[[f"sigma_{c}_{s}" for c in ORBIT]].to_numpy(float)
-                        if not np.isfinite(sigma).all():
-                            raise ValueError("no covariance")
-                        x = row[[f"{c}_{s}" for c in ORBIT]].to_numpy(float) + rng.normal(size=(draws, 6)) * sigma
+                        x = row[[f"{c}_{s}" for c in ORBIT]].to_numpy(float) + rng.normal(size=(draws, 6)) @ _root(row, s).T
                         x[(x[:, 0] <= 0) | (x[:, 1] < 0) | (x[:, 1] >= 1)] = np.nan
                         places.append(positions(*x.T, row[f"epoch_jd_{s}"], row["jd_tdb"]))
                     d = np.linalg.norm(places[0] - places[1], axis=1)

@@ -149,3 +149,16 @@ def test_light_time_and_aberration():
     assert 1000 < np.linalg.norm(shift, axis=1).max() < 60_000
     turned = fits.aberrated(np.array([[0.0, 0.0, 2.0]]), np.array([[0.0172, 0.0, 0.0]]))
     assert np.degrees(np.arcsin(turned[0, 0])) * 3600 == pytest.approx(20.5, abs=0.1)
+
+
+def test_monte_carlo_with_full_covariances(spark):
+    """Fully correlated a and M leave another spread than independent ones."""
+    sigma = np.array([1e-5, 1e-6, 1e-5, 1e-5, 1e-5, 1e-3])
+    same = np.outer(sigma, sigma) * (np.eye(6) + 0.999 * (np.eye(6)[::-1] * ((np.arange(6)[:, None] % 5) == 0)))
+    names = [f"{c}_{s}" for s in "ij" for c in fits.ORBIT]
+    values = [*map(float, TRUE), *map(float, TRUE + [0, 0, 0, 0, 0, 0.1])]
+    rows = [(k, k + 1, EPOCH + 400, EPOCH, EPOCH, *values, c, c) for k, c in ((1, np.diag(sigma**2).ravel().tolist()), (3, same.ravel().tolist()), (5, [float("nan")] * 36), (7, (-np.eye(6)).ravel().tolist()))]
+    schema = "idx_i bigint, idx_j bigint, jd_tdb double, epoch_jd_i double, epoch_jd_j double, " + ", ".join(f"{n} double" for n in names) + ", covariance_i array<double>, covariance_j array<double>"
+    got = {r.idx_i: r for r in fits.monte_carlo_distance(spark.createDataFrame(rows, schema), 400).collect()}
+    assert got[1].sigma_au > 0 and got[3].sigma_au > 0 and abs(got[3].sigma_au / got[1].sigma_au - 1) > 0.1
+    assert got[5].note == "no covariance" and got[7].note == "covariance is not positive"
