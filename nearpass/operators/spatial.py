@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def radius_self_join(df: DataFrame, ident: str, dims: list[str], radius: float, by: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """``by..., idx_i, idx_j, dist`` of all pairs at most ``radius`` apart, each once with ``idx_i < idx_j``.
 
-    Rows meet in cells of edge ``2 * radius``: one side stands in its own cell, the other in
+    Rows meet in cells of edge ``4 * radius``: one side stands in its own cell, the other in
     every cell its ball reaches, one or two along each axis (3.4 in space on average), so
     each pair meets exactly once from the smaller id. It is an equi-join on ``by`` and cell, which Spark
     shuffles, or splits where a cell is crowded; no pair of bodies in far cells is formed.
@@ -21,7 +21,7 @@ def radius_self_join(df: DataFrame, ident: str, dims: list[str], radius: float,
     for d in dims:
         usable = usable.where(F.col(d).isNotNull() & ~F.isnan(d))
     extra = [c for c in keep if c not in (ident, *dims)]
-    cell = lambda x: F.floor(x / (2.0 * radius)).cast("bigint")
+    cell = lambda x: F.floor(x / (4.0 * radius)).cast("bigint")
     build = usable.select(*by, *[cell(F.col(d)).alias(c) for d, c in zip(dims, cells, strict=True)], F.col(ident).alias("idx_j"), *[F.col(c).alias(f"{c}_j") for c in [*dims, *extra]])
     probe = usable.select(*by, F.col(ident).alias("idx_i"), *[F.col(c).alias(f"{c}_i") for c in [*dims, *extra]])
     for d, c in zip(dims, cells, strict=True):

@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from nearpass.config import PipelineConfig, Window
 from nearpass.functions.kepler import orbit_class
 from nearpass.functions.physics import clean, diameter
 from nearpass.functions.timescale import gaia_epoch_to_tdb, jd_to_iso_date, tdb_to_tcb, utc_to_tdb
 from nearpass.operators.characterize import characterize
-from nearpass.operators.detect import DetectRules, detect_encounters, named_encounters, propagate, scan, snapshot_for_window, time_grid, usable_elements, vertex, with_orbits
+from nearpass.operators.detect import DetectRules, named_encounters, propagate, refine, scan, snapshot_for_window, time_grid, usable_elements, vertex, with_orbits
 from nearpass.operators.fits import nbody_refine
 from nearpass.operators.spatial import radial_overlap
-from nearpass.session import table
+from nearpass.plans.pipeline import scan_blocks
+from nearpass.session import shuffle_partitions, stage, stage_folder, table
 
+#: The window of the queries with SQL, which is quadratic in the bodies.
 START, END, STEP = 2457200.5, 2457212.5, 0.5
+SHORT = Window(START, END)
+#: The reference's window, 2014-07-25 to 2017-05-28 UTC, in TDB: 2077 steps.
+FULL = Window(2456863.5 + 67.184 / 86400, 2457901.5 + 69.184 / 86400)
 RADIUS = 0.05
+#: Positions that a block of time holds.
+BLOCK_ROWS = 1_000_000
 _COLUMNS = ["designation", "h_mag", "g_slope", "epoch_jd", "mean_anomaly_deg", "argperi_deg", "node_deg", "i_deg", "ecc", "a_au"]
 
 
-def current_elements(spark: SparkSession, sf: str) -> DataFrame:
+def current_elements(spark: SparkSession, sf: str, window: Window = SHORT) -> DataFrame:
     """One row per numbered body of the delivery nearest to the window."""
-    chosen = snapshot_for_window(table(spark, sf, "mpcorb_snapshot"), START, END).select(F.col("path").alias("snapshot_path"))
+    chosen = snapshot_for_window(table(spark, sf, "mpcorb_snapshot"), window.start_jd, window.end_jd).select(F.col("path").alias("snapshot_path"))
     rows = usable_elements(table(spark, sf, "elements").join(F.broadcast(chosen), "snapshot_path", "left_semi"))  # one path
     return rows.groupBy("number").agg(*[F.min(c).alias(c) for c in _COLUMNS])
 
@@ -31,8 +41,18 @@ def coarse_rules(**changes: object) -> DetectRules:
     return DetectRules(threshold_au=RADIUS, coarse_days=STEP, refine=False, decimals=9, **changes)
 
 
-def detect(spark: SparkSession, sf: str) -> DataFrame:
-    found = scan(current_elements(spark, sf), "number", START, END, coarse_rules())
+def candidates(elements: DataFrame, rules: DetectRules, window: Window) -> DataFrame:
+    """Closest coarse step of each pair; a long window goes in blocks of as many steps as the bodies allow."""
+    if window == SHORT:
+        return scan(elements, "number", START, END, rules)
+    spark = elements.sparkSession
+    elements = stage(elements, "bodies")
+    steps = max(1, BLOCK_ROWS // max(1, elements.count()))
+    return scan_blocks(elements, PipelineConfig(window, detect=rules, block_days=steps * rules.coarse_days), stage_folder(spark, "candidates"))
+
+
+def detect(spark: SparkSession, sf: str, window: Window = SHORT) -> DataFrame:
+    found = candidates(current_elements(spark, sf, window), coarse_rules(), window)
     return found.select("idx_i", "idx_j", F.col("t_coarse_jd").alias("t_jd"), F.col("d_coarse_au").alias("dist_au"))
 
 
@@ -40,8 +60,8 @@ def snapshot_selection(spark: SparkSession, sf: str) -> DataFrame:
     return snapshot_for_window(table(spark, sf, "mpcorb_snapshot"), START, END)
 
 
-def grid(spark: SparkSession, sf: str) -> DataFrame:
-    return time_grid(spark, START, END, STEP)
+def grid(spark: SparkSession, sf: str, window: Window = SHORT) -> DataFrame:
+    return time_grid(spark, window.start_jd, window.end_jd, STEP)
 
 
 def kepler_propagate(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,46 +69,60 @@ def kepler_propagate(spark: SparkSession, sf: str) -> DataFrame:
     return at.select("number", *[F.round(c, 8).alias(c) for c in "xyz"])
 
 
-def encounter_prefiltered(spark: SparkSession, sf: str) -> DataFrame:
-    found = scan(current_elements(spark, sf), "number", START, END, coarse_rules(max_da=0.5, max_di=30.0))
+def kepler_propagate_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Every body at every step of the reference's window."""
+    elements = current_elements(spark, sf, FULL)
+    at = propagate(elements.repartition(shuffle_partitions(spark), "number"), "number", FULL.start_jd, FULL.end_jd, STEP)
+    return at.select("number", "step_idx", *[F.round(c, 8).alias(c) for c in "xyz"])
+
+
+def encounter_prefiltered(spark: SparkSession, sf: str, window: Window = SHORT) -> DataFrame:
+    found = candidates(current_elements(spark, sf, window), coarse_rules(max_da=0.5, max_di=30.0), window)
     return found.select("idx_i", "idx_j", F.col("d_coarse_au").alias("dist_au"))
 
 
-def encounter_radial_overlap(spark: SparkSession, sf: str) -> DataFrame:
+def encounter_radial_overlap(spark: SparkSession, sf: str, window: Window = SHORT) -> DataFrame:
     """Detected pairs whose orbits' heliocentric ranges come within the threshold."""
-    pairs = with_orbits(detect(spark, sf), current_elements(spark, sf), "number")
+    pairs = with_orbits(detect(spark, sf, window), current_elements(spark, sf, window), "number")
     side = lambda s: (F.col(f"a_au_{s}") * (1 - F.col(f"ecc_{s}")), F.col(f"a_au_{s}") * (1 + F.col(f"ecc_{s}")))
     return pairs.where(radial_overlap(*side("i"), *side("j"), RADIUS)).select("idx_i", "idx_j")
 
 
-def encounter_refine_vertex(spark: SparkSession, sf: str) -> DataFrame:
+def encounter_refine_vertex(spark: SparkSession, sf: str, window: Window = SHORT) -> DataFrame:
     """Parabola through the coarse minimum and its neighbours, for minima inside the grid."""
-    elements = current_elements(spark, sf)
-    places = propagate(elements, "number", START, END, STEP, 9)
+    elements = current_elements(spark, sf, window)
+    places = propagate(elements.repartition(shuffle_partitions(spark), "number"), "number", window.start_jd, window.end_jd, STEP, 9)
     at = lambda s: places.select(F.col("number").alias(f"idx_{s}"), "step_idx", "t_jd", F.struct("x", "y", "z").alias(f"p_{s}"))
-    pairs = detect(spark, sf).select("idx_i", "idx_j", F.col("t_jd").alias("t_min"))
-    both = pairs.join(at("i"), "idx_i").join(at("j").drop("t_jd"), ["idx_j", "step_idx"])
+    pairs = detect(spark, sf, window).select("idx_i", "idx_j", F.col("t_jd").alias("t_min"))
+    near = F.round((F.col("t_min") - window.start_jd) / STEP).cast("bigint")
+    three = pairs.withColumn("step_idx", F.explode(F.sequence(near - 1, near + 1)))
+    both = three.join(at("i"), ["idx_i", "step_idx"]).join(at("j").drop("t_jd"), ["idx_j", "step_idx"])
     gap = F.round(F.sqrt(sum(((F.col(f"p_i.{c}") - F.col(f"p_j.{c}")) * (F.col(f"p_i.{c}") - F.col(f"p_j.{c}")) for c in "xyz"), F.lit(0.0))), 8)
     w = W.partitionBy("idx_i", "idx_j").orderBy("step_idx")
     rows = both.withColumn("d", gap)
-    rows = rows.select("idx_i", "idx_j", "t_min", "t_jd", "d", *[f("d").over(w).alias(n) for f, n in ((F.lag, "d0"), (F.lead, "d2"))], *[f("t_jd").over(w).alias(n) for f, n in ((F.lag, "t0"), (F.lead, "t2"))])
-    rows = rows.where((F.col("t_jd") == F.col("t_min")) & F.col("d0").isNotNull() & F.col("d2").isNotNull())
+    rows = rows.select("idx_i", "idx_j", "step_idx", near.alias("mid"), "t_jd", "d", *[f("d").over(w).alias(n) for f, n in ((F.lag, "d0"), (F.lead, "d2"))], *[f("t_jd").over(w).alias(n) for f, n in ((F.lag, "t0"), (F.lead, "t2"))])
+    rows = rows.where((F.col("step_idx") == F.col("mid")) & F.col("d0").isNotNull() & F.col("d2").isNotNull())
     t, d = vertex(F.col("t0"), F.col("t_jd"), F.col("t2"), F.col("d0"), F.col("d"), F.col("d2"))
     return rows.select("idx_i", "idx_j", F.round(t, 5).alias("t_jd"), F.round(d, 7).alias("dist_au"))
 
 
+def refined_pairs(elements: DataFrame) -> DataFrame:
+    """Widened scan of the reference's window in blocks, and fine refinement."""
+    rules = DetectRules(threshold_au=RADIUS, coarse_days=STEP, v_max_km_s=25.0)
+    rules.check()
+    return refine(candidates(elements, rules, FULL), elements, "number", rules)
+
+
 def encounter_refine_recentre(spark: SparkSession, sf: str) -> DataFrame:
-    """The full pipeline: widened scan, fine refinement, names."""
-    elements = current_elements(spark, sf)
-    rules = DetectRules(threshold_au=RADIUS, coarse_days=STEP, v_max_km_s=2.0)
-    return named_encounters(detect_encounters(elements, "number", START, END, rules), elements)
+    """The full pipeline over the reference's window: widened scan, fine refinement, names."""
+    elements = current_elements(spark, sf, FULL)
+    return named_encounters(refined_pairs(elements), elements)
 
 
 def nbody_refined(spark: SparkSession, sf: str) -> DataFrame:
-    """Detected pairs refined once more under the giant planets."""
-    elements = current_elements(spark, sf)
-    pairs = with_orbits(detect_encounters(elements, "number", START, END, DetectRules(threshold_au=RADIUS, coarse_days=STEP, v_max_km_s=2.0)), elements, "number")
-    return nbody_refine(pairs, ["idx_i", "idx_j"])
+    """Detected pairs of the reference's window refined once more under the giant planets."""
+    elements = current_elements(spark, sf, FULL)
+    return nbody_refine(with_orbits(refined_pairs(elements), elements, "number"), ["idx_i", "idx_j"])
 
 
 def orbit_classes(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,7 +162,10 @@ def time_scales(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "encounter_detect": detect, "snapshot_selection": snapshot_selection, "time_grid": grid, "kepler_propagate": kepler_propagate,
     "encounter_prefiltered": encounter_prefiltered, "encounter_radial_overlap": encounter_radial_overlap,
-    "encounter_refine_vertex": encounter_refine_vertex, "encounter_refine_recentre": encounter_refine_recentre,
+    "encounter_refine_vertex": encounter_refine_vertex, "time_grid_full": partial(grid, window=FULL), "kepler_propagate_full": kepler_propagate_full,
+    "encounter_detect_full": partial(detect, window=FULL), "encounter_prefiltered_full": partial(encounter_prefiltered, window=FULL),
+    "encounter_radial_overlap_full": partial(encounter_radial_overlap, window=FULL), "encounter_refine_vertex_full": partial(encounter_refine_vertex, window=FULL),
+    "encounter_refine_recentre": encounter_refine_recentre,
     "nbody_refined": nbody_refined, "orbit_classes": orbit_classes, "diameter_priority": diameter_priority, "characterized": characterized, "time_scales": time_scales,
 }
 

@@ -12,6 +12,7 @@ from nearpass.operators.catalog import major_body_gate
 from nearpass.operators.characterize import characterize
 from nearpass.operators.detect import named_encounters, refine, scan, usable_elements
 from nearpass.operators.spatial import min_per_pair
+from nearpass.session import scratch
 from nearpass.sources.sinks import done_chunks, read_chunks, stage_key, write_catalog, write_chunks
 
 
@@ -34,8 +35,8 @@ def scan_blocks(elements: DataFrame, config: PipelineConfig, path: str) -> DataF
     done = {r.chunk_id for r in done_chunks(spark, path).collect()}
     for chunk, begin, end in time_blocks(config.window.start_jd, config.window.end_jd, rules.coarse_days, config.block_days):
         if chunk not in done:
-            rows = scan(elements, "number", begin, end, rules).withColumn("chunk_id", F.lit(chunk).cast("bigint"))
-            write_chunks(spark.createDataFrame([(chunk,)], "chunk_id bigint"), rows, path)
+            with scratch(spark):  # a block's trajectories go before the next are made
+                write_chunks(spark.createDataFrame([(chunk,)], "chunk_id bigint"), scan(elements, "number", begin, end, rules).withColumn("chunk_id", F.lit(chunk).cast("bigint")), path)
     return min_per_pair(read_chunks(spark, path), ["idx_i", "idx_j"], "d_coarse_au", "t_coarse_jd")
 
 

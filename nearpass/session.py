@@ -7,9 +7,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a dimension may be broadcast after it has been counted.
 BROADCAST_ROWS = 200_000
+#: Paths of the stages that are there.
+_STAGED: list[str] = []
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -81,12 +86,36 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     files outlive any executor. The folder is removed when the driver exits.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/nearpass/{label}-{uuid.uuid4().hex}"
+    path = stage_folder(spark, label)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed when the driver exits."""
+    path = f"{checkpoint_root(spark)}/nearpass/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    atexit.register(_remove, spark, path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Stages made inside are removed at its end, and shuffle files of plans that are gone.
+
+    Nothing lazy may still read them then.
+    """
+    before = len(_STAGED)
+    try:
+        yield
+    finally:
+        for path in _STAGED[before:]:
+            _remove(spark, path)
+        del _STAGED[before:]
+        gc.collect()  # shuffle files stay until the driver's garbage is collected
+        spark._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark._jvm
