@@ -21,13 +21,17 @@ RECENTRES = 4
 
 @dataclass(frozen=True)
 class DetectRules:
-    """Distances in AU, steps in days; ``refine`` off keeps coarse rows within the query radius."""
+    """Distances in AU, steps in days; ``refine`` off keeps coarse rows within the query radius.
+
+    ``v_max_km_s`` bounds the relative speeds for which no pair is lost between coarse steps; 0 is for
+    queries about the coarse steps themselves.
+    """
 
     threshold_au: float = 0.05
     coarse_days: float = 0.5
     fine_days: float = 120.0 / 86400.0
     window_days: float = 0.25
-    v_max_km_s: float = 0.0
+    v_max_km_s: float = 25.0
     max_da: float | None = None
     max_di: float | None = None
     refine: bool = True

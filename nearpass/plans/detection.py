@@ -38,7 +38,7 @@ def current_elements(spark: SparkSession, sf: str, window: Window = SHORT) -> Da
 
 
 def coarse_rules(**changes: object) -> DetectRules:
-    return DetectRules(threshold_au=RADIUS, coarse_days=STEP, refine=False, decimals=9, **changes)
+    return DetectRules(threshold_au=RADIUS, coarse_days=STEP, v_max_km_s=0.0, refine=False, decimals=9, **changes)
 
 
 def candidates(elements: DataFrame, rules: DetectRules, window: Window) -> DataFrame:
@@ -108,7 +108,7 @@ def encounter_refine_vertex(spark: SparkSession, sf: str, window: Window = SHORT
 
 def refined_pairs(elements: DataFrame) -> DataFrame:
     """Widened scan of the reference's window in blocks, and fine refinement."""
-    rules = DetectRules(threshold_au=RADIUS, coarse_days=STEP, v_max_km_s=25.0)
+    rules = DetectRules(threshold_au=RADIUS, coarse_days=STEP)
     rules.check()
     return refine(candidates(elements, rules, FULL), elements, "number", rules)
 

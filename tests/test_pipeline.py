@@ -2,10 +2,12 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from nearpass.config import PipelineConfig, Window, build, deep_merge, load_config
+from nearpass.functions.kepler import positions
 from nearpass.operators.detect import DetectRules, detect_encounters, scan
 from nearpass.plans import pipeline
 from nearpass.plans.pipeline import run, scan_blocks, time_blocks
@@ -63,6 +65,22 @@ def test_resumed_pipeline_equals_one_plan(spark, tmp_path, monkeypatch):
     assert len(calls) == before + 2  # another window shares no block
 
 
+def test_default_rules_lose_no_pair_near_the_threshold(spark, tmp_path):
+    targets = [0.0490, 0.0499, 0.04995, 0.04999, 0.05002]
+    rows = []
+    for k, d in enumerate(targets):  # two circular orbits that cross at 18.8 km/s, nearest midway between two steps
+        half = float(np.degrees(np.arcsin(d / (5 * np.cos(np.radians(30))))))
+        rows += [(2 * k + 1, 2.5, 0, 30, 60 * k, 0, half, 15.0), (2 * k + 2, 2.5, 0, 30, 60 * k + 180, 0, 180 - half, 16.0)]
+    t = np.arange(2456997.75, 2457002.25, 0.001)
+    xyz = [positions(*r[1:7], 2457000.0, t) for r in rows]
+    deep = {(2 * k + 1, 2 * k + 2): np.linalg.norm(xyz[2 * k] - xyz[2 * k + 1], axis=1).min() for k in range(len(targets))}
+    assert list(deep.values()) == pytest.approx(targets, abs=1e-6)
+    run(bodies(spark, rows), PipelineConfig(Window(2456997.75, 2457002.25)), f"{tmp_path}/work", f"{tmp_path}/catalog")
+    got = {(min(r.number_1, r.number_2), max(r.number_1, r.number_2)): r.dist_au for r in spark.read.parquet(f"{tmp_path}/catalog").collect()}
+    assert set(got) == {k for k, d in deep.items() if d <= 0.05}
+    assert all(abs(got[k] - deep[k]) < 1e-6 for k in got)
+
+
 def test_observation_reader(spark, tmp_path):
     df = spark.createDataFrame([(1, 10.0, 1.0, 2.0, "false"), (1, 20.0, 1.0, 2.0, "true"), (2, 10.0, 1.0, 2.0, None), (3, 10.0, 1.0, 2.0, "false")], "Number_MP int, epoch double, ra double, dec double, is_rejected string")
     df.write.parquet(str(tmp_path / "o"))
