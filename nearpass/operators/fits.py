@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass
 from math import erfc, sqrt
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nearpass.functions.dynamics import GIANTS, Perturber, acceleration, advance, energy, giants_pull, integrate
 from nearpass.functions.kepler import elements_to_state, positions
-from nearpass.session import shuffle_partitions
+from nearpass.session import shuffle_partitions, stage
 
 ORBIT = ["a_au", "ecc", "i_deg", "node_deg", "argperi_deg", "mean_anomaly_deg"]
 _EPS = np.radians(23.4392911)
@@ -237,17 +237,109 @@ def with_total_sigma(masses: DataFrame, mass: str, sigma: str, calibrators: Data
     return masses.withColumn("sigma_total", F.sqrt(F.pow(sigma, 2) + F.pow(F.coalesce(floor, F.lit(0.0)) * F.col(mass), 2)))
 
 
-def orbit_fits(observations: DataFrame, seeds: DataFrame, key: str, sigma_mas: float = 5.0, max_obs: int = 20_000) -> DataFrame:
+_SCALE = np.array([1e-7, 1e-7, 1e-5, 1e-5, 1e-5, 1e-5])
+#: An observation is kept if its pull at these elements is within the limit.
+Rule = tuple[np.ndarray, float] | None
+#: Elements to evaluate at, the rule in force and one to compare with it; asked for by a fit in steps.
+Ask = tuple[np.ndarray, Rule, Rule]
+
+
+def _pull(x: np.ndarray, epoch: float, t: np.ndarray, radec: np.ndarray, observer: np.ndarray, sigma_mas: float) -> np.ndarray:
+    return np.abs(sky_residual_mas(radec, predict(x, epoch, t, observer)) / sigma_mas).max(1)
+
+
+def _sums(ask: Ask, epoch: float, t: np.ndarray, radec: np.ndarray, observer: np.ndarray, sigma_mas: float) -> np.ndarray:
+    """J'J, J'r, r'r, kept, kept by the rule to compare and changed by it, of some of a body's observations; they add up."""
+    x, rule, other = ask
+    judge = lambda r: np.ones(len(t), bool) if r is None else _pull(r[0], epoch, t, radec, observer, sigma_mas) <= r[1]
+    keep = judge(rule)
+    now = judge(other)
+    residual = lambda p: (sky_residual_mas(radec[keep], predict(p, epoch, t[keep], observer[keep])) / sigma_mas).ravel()
+    r = residual(x)
+    j = np.stack([(residual(x + d) - residual(x - d)) / (2 * d.sum()) for d in np.diag(_SCALE)], 1)
+    return np.concatenate([(j.T @ j).ravel(), j.T @ r, [r @ r, keep.sum(), now.sum(), (now != keep).sum()]])
+
+
+def _fit_in_steps(seed: np.ndarray, clip: float = 5.0, least: int = 8, steps: int = 50, tol: float = 1e-10) -> Generator[Ask, np.ndarray, tuple[Fit, int]]:
+    """``fit_orbit`` from sums alone: yields what is to be summed and is sent the sums of ``_sums``."""
+    x, rule, fit, kept = np.array(seed, float), None, None, 0
+    for _ in range(5):
+        s = yield x, rule, None
+        damp, done, k = 1e-3, False, 0
+        for k in range(1, steps + 1):
+            h, g, chi2 = s[:36].reshape(6, 6), s[36:42], s[42]
+            for _ in range(12):
+                move = -np.linalg.lstsq(h + damp * np.diag(np.diag(h) + 1e-30), g, rcond=None)[0]
+                trial = yield x + move, rule, None
+                if np.isfinite(trial[42]) and trial[42] <= chi2:
+                    break
+                damp *= 4
+            else:
+                done = True
+                break
+            x, s, damp = x + move, trial, max(damp / 6, 1e-12)
+            if chi2 - s[42] <= tol * max(s[42], 1e-300) or np.all(np.abs(move) <= tol * (np.abs(x) + tol)):
+                done = True
+                break
+        kept = int(s[43])
+        fit = Fit(x, np.linalg.pinv(s[:36].reshape(6, 6)), float(s[42]), max(1, 2 * kept - 6), k, done)
+        other = (x, clip * max(1.0, sqrt(fit.chi2 / fit.dof)))
+        s = yield x, rule, other
+        if s[44] < least or s[45] == 0:
+            break
+        rule, kept = other, int(s[44])
+    return fit, kept
+
+
+_OBSERVED = ["jd", "ra", "dec", "x_gaia", "y_gaia", "z_gaia"]
+
+
+def _fit_spread(rows: DataFrame, key: str, sigma_mas: float) -> list[tuple]:
+    """Fits of bodies whose observations are spread over tasks; each step of all of them is one job over all rows."""
+    rows = stage(rows.select(key, *_OBSERVED, *ORBIT, "epoch_jd").repartition(shuffle_partitions(rows.sparkSession)), "observations")
+    first = {r[0]: r[1] for r in rows.groupBy(key).agg(F.min(F.struct("jd", *ORBIT, "epoch_jd"))).collect()}
+    epochs = {k: float(r["epoch_jd"]) for k, r in first.items()}
+    fitting = {k: _fit_in_steps(np.array([r[c] for c in ORBIT], float)) for k, r in first.items()}
+    asks, out = {k: next(f) for k, f in fitting.items()}, []
+    while asks:
+        def run(frames: Iterator[pd.DataFrame], asks: dict[object, Ask] = dict(asks)) -> Iterator[pd.DataFrame]:  # noqa: B006
+            total: dict[object, np.ndarray] = {}
+            for frame in frames:
+                for k, part in frame.groupby(key):
+                    if k in asks:
+                        o = part[_OBSERVED].to_numpy(float)
+                        total[k] = total.get(k, 0.0) + _sums(asks[k], epochs[k], o[:, 0], o[:, 1:3], o[:, 3:], sigma_mas)
+            if total:
+                yield pd.DataFrame({key: list(total), "s": list(total.values())})
+
+        sums: dict[object, np.ndarray] = {}
+        for r in rows.select(key, *_OBSERVED).mapInPandas(run, f"{key} int, s array<double>").collect():
+            sums[r[0]] = sums.get(r[0], 0.0) + np.array(r[1], float)
+        for k in list(asks):
+            try:
+                asks[k] = fitting[k].send(sums[k])
+            except StopIteration as end:
+                fit, kept = end.value
+                out.append((k, *map(float, fit.x), *map(float, fit.sigma), fit.chi2 / fit.dof, kept, None))
+                del asks[k]
+            except (ValueError, np.linalg.LinAlgError) as error:
+                out.append((k, *[None] * 13, 0, str(error)[:200]))
+                del asks[k]
+    return out
+
+
+def orbit_fits(observations: DataFrame, seeds: DataFrame, key: str, sigma_mas: float = 5.0, task_obs: int = 20_000) -> DataFrame:
     """``key``, six elements, their sigmas, reduced chi-square, observations kept and an error text.
 
-    One group task per body. A body's observations are thinned in time order to ``max_obs``, a bound on
-    what one fit holds (a parameter of the fit, not of the table). Failures are rows, not exceptions.
+    Every observation counts. A body of up to ``task_obs`` observations is fitted in one task; of a larger one
+    the normal equations are summed over tasks in each step of the same fit. Failures are rows, not exceptions.
     """
     fields = ", ".join([*[f"{c} double" for c in ORBIT], *[f"sigma_{c} double" for c in ORBIT]])
+    schema = f"{key} int, {fields}, chi2_red double, kept int, error string"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ident = rows[key].iloc[0]
-        rows = rows.sort_values("jd").iloc[:: max(1, -(-len(rows) // max_obs))]
+        rows = rows.sort_values("jd")
         out: dict[str, object] = {key: [ident], **{c: [None] for c in ORBIT}, **{f"sigma_{c}": [None] for c in ORBIT}, "chi2_red": [None], "kept": [0], "error": [None]}
         try:
             seed = rows[ORBIT].iloc[0].to_numpy(float)
@@ -258,9 +350,12 @@ def orbit_fits(observations: DataFrame, seeds: DataFrame, key: str, sigma_mas: f
             out["error"] = [str(error)[:200]]
         return pd.DataFrame(out)
 
+    spark = observations.sparkSession
     joined = observations.join(seeds.select(key, *ORBIT, "epoch_jd"), key)
-    n = shuffle_partitions(observations.sparkSession)
-    return joined.repartition(n, key).groupBy(key).applyInPandas(run, f"{key} int, {fields}, chi2_red double, kept int, error string")
+    large = [r[0] for r in joined.groupBy(key).count().where(F.col("count") > task_obs).select(key).collect()]  # at most a row per task_obs
+    small = joined.where(~F.col(key).isin(large)) if large else joined
+    fitted = small.repartition(shuffle_partitions(spark), key).groupBy(key).applyInPandas(run, schema)
+    return fitted.unionByName(spark.createDataFrame(_fit_spread(joined.where(F.col(key).isin(large)), key, sigma_mas), schema)) if large else fitted
 
 
 def nbody_refine(pairs: DataFrame, ident: list[str], planets: tuple[str, ...] = GIANTS, window_days: float = 1.0, sample_days: float = 1.0 / 48) -> DataFrame:

@@ -91,6 +91,22 @@ def test_group_fits_report_errors_as_rows(spark):
     assert "needed" in got[2].error and got[2].a_au is None
 
 
+def test_a_large_body_is_fitted_from_all_its_observations(spark):
+    t = np.linspace(EPOCH, EPOCH + 600, 400)
+    obs, o = observed(t, 2.0), observer(t)
+    obs[[7, 200], 1] += 3000 / 3.6e6
+    rows = [(n, float(t[k]), *map(float, obs[k]), *map(float, o[k])) for n in (1, 2) for k in range(400 if n == 1 else 40)]
+    df = spark.createDataFrame(rows, "number int, jd double, ra double, dec double, x_gaia double, y_gaia double, z_gaia double")
+    seeds = spark.createDataFrame([(n, *map(float, TRUE * (1 + 1e-6)), EPOCH) for n in (1, 2)], "number int, " + ", ".join(f"{c} double" for c in fits.ORBIT) + ", epoch_jd double")
+    got = {r.number: r for r in fits.orbit_fits(df, seeds, "number", 2.0, 50).collect()}
+    fit, keep = fits.fit_orbit(TRUE * (1 + 1e-6), EPOCH, t, obs, o, np.full(400, 2.0))
+    assert got[1].error is None and got[2].error is None and got[2].kept <= 40
+    assert got[1].kept == keep.sum() >= 390 and not keep[[7, 200]].any()
+    for c, x, sigma in zip(fits.ORBIT, fit.x, fit.sigma, strict=True):
+        assert abs(got[1][c] - x) < 1e-3 * sigma and got[1][f"sigma_{c}"] == pytest.approx(sigma, rel=1e-3)
+    assert got[1].chi2_red == pytest.approx(fit.chi2 / fit.dof, rel=1e-6)
+
+
 def test_nbody_refine_and_its_errors(spark):
     names = [f"{c}_{s}" for s in "ij" for c in fits.ORBIT]
     a, b = TRUE.copy(), TRUE + np.array([0.001, 0, 0.02, 0, 0, 0.05])
