@@ -99,7 +99,7 @@ def step_specificity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bootstrap_sigma(spark: SparkSession, sf: str) -> DataFrame:
-    return fits.bootstrap_means(readings(spark, sf, "g_mag"), "source_id", "observation_id", "g_mag", replicates=100)
+    return fits.bootstrap_means(readings(spark, sf, "g_mag"), "source_id", "observation_id", "g_mag")
 
 
 def mass_status(spark: SparkSession, sf: str) -> DataFrame:

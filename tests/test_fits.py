@@ -178,3 +178,11 @@ def test_monte_carlo_with_full_covariances(spark):
     got = {r.idx_i: r for r in fits.monte_carlo_distance(spark.createDataFrame(rows, schema), 400).collect()}
     assert got[1].sigma_au > 0 and got[3].sigma_au > 0 and abs(got[3].sigma_au / got[1].sigma_au - 1) > 0.1
     assert got[5].note == "no covariance" and got[7].note == "covariance is not positive"
+
+
+def test_bootstrap_query_draws_the_reference_s_replicates(spark, sf):
+    from nearpass.plans import series
+
+    want = fits.bootstrap_means(series.readings(spark, sf, "g_mag"), "source_id", "observation_id", "g_mag", 200)
+    rows = lambda df: sorted((r.source_id, *(None if v is None else round(v, 9) for v in (r.sigma, r.low, r.high))) for r in df.collect())
+    assert rows(series.bootstrap_sigma(spark, sf)) == rows(want)
