@@ -6,13 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearpass.session import stage
+
 #: Resolution of a timestamp: 2**-31 day (40 microseconds), the spacing of doubles near a Julian date of today.
 TICKS = 2.0**31
 #: Rows of one trie; a longer run of one entity is worked off in overlapping pieces.
 PIECE = 65_536
+#: Rows out of a task: candidates (``wait`` null), waiting events (no ``right_id``) and the records they wait for (no ``left_id``).
+_OUT = {"left_id": "Int64", "gap": "float64", "right_id": "Int64", "wait": "Int64", "jd": "float64"}
 
 
 class XFastTrie:
@@ -83,7 +88,7 @@ def _match_piece(piece: pd.DataFrame, entity: np.ndarray, width: float, toleranc
         has = np.flatnonzero(found >= 0)
         gap = np.abs(jd[found[has]] - event_jd[has])
         near = gap <= tolerance
-        out.append(pd.DataFrame({"left_id": event_id[has][near], "gap": gap[near], "right_id": ids[found[has]][near]}))
+        out.append(pd.DataFrame({"left_id": event_id[has][near], "gap": gap[near], "right_id": ids[found[has]][near], "wait": None, "jd": np.nan}).astype(_OUT))
     return pd.concat(out, ignore_index=True)
 
 
@@ -96,6 +101,9 @@ def _matcher(keys: list[str], width: float, tolerance: float, limit: int) -> Cal
         return np.cumsum(new)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        context = TaskContext.get()
+        wait = (context.partitionId() if context else 0) << 40
+        asked = False  # whether events of the first row's entity wait for its next record
         kept: list[pd.DataFrame] = []
         size = 0
         for frame in frames:
@@ -105,24 +113,49 @@ def _matcher(keys: list[str], width: float, tolerance: float, limit: int) -> Cal
                 continue
             rows = pd.concat(kept, ignore_index=True)
             entity = entities(rows)
+            if asked and (answer := _answer(rows, entity, wait)) is not None:
+                yield answer
+                asked, wait = False, wait + 1
             cut = int(np.searchsorted(entity, entity[-1]))  # whole entities end here
-            keep_from = cut
-            if cut == 0:  # one entity fills the piece: end at its last record, which also opens the next piece
+            if cut:
+                asked = False
+                yield _match_piece(rows.iloc[:cut], entity[:cut], width, tolerance)
+                rows = rows.iloc[cut:]
+            else:  # one entity fills the piece: end at its last record, which also opens the next piece
                 records = np.flatnonzero(~rows["_event"].to_numpy())
-                if not len(records) or records[-1] == 0:
-                    kept, size = [rows], 0
-                    continue
-                keep_from, cut = int(records[-1]), int(records[-1]) + 1
-            yield _match_piece(rows.iloc[:cut], entity[:cut], width, tolerance)
-            kept, size = [rows.iloc[keep_from:]], len(rows) - keep_from
+                cut = int(records[-1]) + 1 if len(records) else 0
+                if cut:
+                    yield _match_piece(rows.iloc[:cut], entity[:cut], width, tolerance)
+                    last = records[np.searchsorted(rows["_jd"].to_numpy()[records], rows["_jd"].iloc[cut - 1])]  # of equal times the smallest id
+                    rows = pd.concat([rows.iloc[[last]], rows.iloc[cut:]])
+                if len(rows) >= limit:  # events only: they have their predecessor and wait for the successor outside
+                    events = rows[rows["_event"].to_numpy()]
+                    if cut:
+                        yield _match_piece(rows, np.zeros(len(rows), np.int64), width, tolerance)
+                    yield pd.DataFrame({"left_id": events["_id"], "gap": np.nan, "right_id": None, "wait": wait, "jd": events["_jd"]}).astype(_OUT)
+                    asked, rows = True, rows.iloc[:1]
+            kept, size = [rows], len(rows)
         if kept:
             rows = pd.concat(kept, ignore_index=True)
             if len(rows):
-                yield _match_piece(rows, entities(rows), width, tolerance)
+                entity = entities(rows)
+                if asked and (answer := _answer(rows, entity, wait)) is not None:
+                    yield answer
+                yield _match_piece(rows, entity, width, tolerance)
 
     return run
 
 
+def _answer(rows: pd.DataFrame, entity: np.ndarray, wait: int) -> pd.DataFrame | None:
+    """The next record after the first row, of its entity, if it has come."""
+    new = np.flatnonzero((entity == entity[0]) & ~rows["_event"].to_numpy())
+    new = new[new > 0]
+    if not len(new):
+        return None
+    record = rows.iloc[new[:1]]
+    return pd.DataFrame({"left_id": None, "gap": np.nan, "right_id": record["_id"], "wait": wait, "jd": record["_jd"]}).astype(_OUT)
+
+
 def nearest_in_time(
     events: DataFrame, records: DataFrame, keys: list[str], event_time: str, record_time: str, event_id: str, record_id: str, tolerance: float, piece: int = PIECE
 ) -> DataFrame:
@@ -133,8 +166,9 @@ def nearest_in_time(
     time, or a NaN time, match nothing; repeated rows change nothing. Entities are split in
     time blocks of two tolerances, an event going to the one or two blocks its tolerance
     reaches, so that an entity holding a third of all rows spreads over the cluster; inside
-    a block a piece of at most ``piece`` rows is in memory. Only pairs of an event and its
-    two neighbours are made, never all pairs of an entity.
+    a block a piece of about ``piece`` rows is in memory. Events that fill a piece with no
+    record among them wait in the staged result for the record that follows. Only pairs of an
+    event and its two neighbours are made, never all pairs of an entity.
     """
     width = 2.0 * tolerance
 
@@ -147,6 +181,10 @@ def nearest_in_time(
 
     both = side(events, event_time, event_id, True).unionByName(side(records, record_time, record_id, False))
     together = both.repartition(*keys, "_block").sortWithinPartitions(*keys, "_block", "_jd", "_id")
-    candidates = together.mapInPandas(_matcher(keys, width, tolerance, piece), "left_id bigint, gap double, right_id bigint")
+    met = stage(together.mapInPandas(_matcher(keys, width, tolerance, piece), "left_id bigint, gap double, right_id bigint, wait bigint, jd double"), "nearest")
+    records_met = met.where("left_id IS NULL").select("wait", F.col("right_id"), F.col("jd").alias("_jd"))
+    late = met.where("wait IS NOT NULL AND right_id IS NULL").select("left_id", "wait", "jd").join(records_met, "wait")
+    late = late.select("left_id", F.abs(F.col("_jd") - F.col("jd")).alias("gap"), "right_id").where(F.col("gap") <= tolerance)
+    candidates = met.where("wait IS NULL").select("left_id", "gap", "right_id").unionByName(late)
     best = candidates.groupBy("left_id").agg(F.min(F.struct("gap", "right_id")).alias("best"))
     return best.select(F.col("left_id").alias(event_id), F.col("best.right_id").alias(record_id), F.col("best.gap").alias("gap"))

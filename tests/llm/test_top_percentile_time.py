@@ -92,6 +92,31 @@ def nearest(spark, events, records, tolerance=31.0, piece=65_536):
     return {r.recno: r.encounter_id for r in out.collect()}
 
 
+@pytest.mark.parametrize("piece", [65_536, 6])
+def test_tie_at_the_end_of_a_piece(spark, piece):
+    """Records 5 and 9 share a time; later events get 5 wherever the piece ends."""
+    records = [(5, 1, 100.0, ""), (9, 1, 100.0, ""), (3, 1, 99.0, "")]
+    events = [(i, 1, 101.0 + i, "") for i in range(12)]
+    assert nearest(spark, events, records, piece=piece) == dict.fromkeys(range(12), 5)
+
+
+@pytest.mark.parametrize("piece", [65_536, 4])
+def test_many_events_between_two_records(spark, piece):
+    """Events that fill pieces without a record find the record before and the one after."""
+    records = [(1, 1, 130.0, ""), (2, 1, 160.0, ""), (4, 1, 160.0, ""), (3, 2, 126.0, "")]
+    events = [(i, 1, 131.0 + i, "") for i in range(25)] + [(100 + i, 1, 129.0, "") for i in range(10)] + [(200 + i, 2, 124.5, "") for i in range(9)]
+    expect = {i: 1 if i <= 14 and i + 1 <= 29 - i else 2 for i in range(25)}
+    expect.update({100 + i: 1 for i in range(10)} | {200 + i: 3 for i in range(9)})
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    try:
+        spark.conf.set(batch, 3)
+        assert nearest(spark, events, records, piece=piece) == expect
+        assert nearest(spark, events, [], piece=piece) == {}
+    finally:
+        spark.conf.set(batch, before)
+
+
 @pytest.mark.parametrize("piece", [65_536, 5])
 def test_nearest_matches_brute_force(spark, piece):
     rng = np.random.default_rng(4)
