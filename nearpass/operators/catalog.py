@@ -12,7 +12,7 @@ from nearpass.functions.physics import clean
 
 #: Bodies whose encounters every complete catalog holds, and bodies of known mass.
 MAJOR_BODIES = (1, 2, 4, 10)
-KNOWN_MASS = (1, 2, 3, 4, 6, 7, 8, 9, 10, 15, 16, 29, 52, 65, 87, 88, 511, 704, 804)
+KNOWN_MASS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 15, 16, 52, 65, 87, 88, 107, 121, 128)
 
 
 def either_side(*numbers: int) -> Column:

@@ -17,7 +17,7 @@ KEY = ["number_1", "number_2", "t_min_kepler_jd"]
 def best_solution(refined: DataFrame) -> DataFrame:
     """One row per key: without error first, then converged, then the latest day and shard.
 
-    Chosen by an aggregate, so a key written any number of times never has to be sorted.
+    NaN comes out as null in every column but the key. Chosen by an aggregate, so a key written any number of times never has to be sorted.
     """
     rank = F.struct(
         F.when(F.col("error_message").isNull(), 0).otherwise(1).alias("error"),
@@ -25,7 +25,7 @@ def best_solution(refined: DataFrame) -> DataFrame:
         (-F.unix_date("refine_day")).alias("age"),
         (-F.col("shard_id")).alias("shard"),
     )
-    rest = [c for c in refined.columns if c not in KEY]
+    rest = [(clean(F.col(c)) if kind == "double" else F.col(c)).alias(c) for c, kind in refined.dtypes if c not in KEY]
     return refined.groupBy(*KEY).agg(F.min_by(F.struct(*rest), rank).alias("_best")).select(*KEY, "_best.*")
 
 

@@ -68,7 +68,7 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, key: str = "number",
     ends before the last delivery without a neighbour is ``removed`` in the next one.
     Empty input gives no rows; extra columns are ignored.
     """
-    order = delivery_order(snapshots, rows, rows_path=rows_path).cache()
+    order = delivery_order(snapshots, rows, rows_path=rows_path)
     intervals = validity_intervals(rows, order, key, value, tol, rows_path)
     by_key = W.partitionBy(key).orderBy("first_seq")
     last = order.agg(F.max("seq")).scalar()

@@ -44,12 +44,6 @@ def prefilter(a_1: Column, a_2: Column, i_1: Column, i_2: Column, max_da: float
     return (F.abs(a_1 - a_2) <= max_da) & (F.abs(i_1 - i_2) <= max_di)
 
 
-def prefilter_mode(enabled: bool, bodies: int, limit: int = 5000) -> str:
-    if not enabled:
-        return "disabled"
-    return "applied" if bodies <= limit else "skipped_large_n"
-
-
 def radial_overlap(q_1: Column, big_q_1: Column, q_2: Column, big_q_2: Column, tau: float) -> Column:
     """Whether two orbits' heliocentric distances come within ``tau`` at all."""
     return (q_1 - tau <= big_q_2) & (q_2 - tau <= big_q_1)

@@ -284,7 +284,7 @@ SQL = {
     "perturber_ranking": f"WITH {_ONCE}, {_SIDES} SELECT number, count(*) AS encounters, count(DISTINCT partner) AS targets, min({_D}) AS nearest_au FROM sides WHERE number IS NOT NULL GROUP BY 1",
     "nearest_targets": f"""WITH {_ONCE}, {_SIDES}, pairs AS (SELECT number, partner, min((dist_au, encounter_id)) AS m FROM sides WHERE dist_au <= 0.03 AND NOT isnan(dist_au) AND number IS NOT NULL AND partner IS NOT NULL GROUP BY ALL)
 SELECT number, partner, m[1] AS dist_au, (row_number() OVER (PARTITION BY number ORDER BY m, partner))::INTEGER AS rank FROM pairs QUALIFY rank <= 5""",
-    "mass_candidates": f"WITH {_ONCE} SELECT encounter_id, round(pow(diameter_1_km, 3) / (dist_au * rel_vel_km_s * rel_vel_km_s), 2) AS score, number_1 NOT IN {catalog.KNOWN_MASS} AS mass_unknown FROM once WHERE dist_au < 0.02 AND diameter_1_km > 100 AND NOT isnan(diameter_1_km) AND rel_vel_km_s < 5 AND gaia_observable",
+    "mass_candidates": f"WITH {_ONCE} SELECT encounter_id, round(pow(diameter_1_km, 3) / (dist_au * rel_vel_km_s * rel_vel_km_s), 2) AS score, number_1 NOT IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 15, 16, 52, 65, 87, 88, 107, 121, 128) AS mass_unknown FROM once WHERE dist_au < 0.02 AND diameter_1_km > 100 AND NOT isnan(diameter_1_km) AND rel_vel_km_s < 5 AND gaia_observable",
     "family_pairs": f"""WITH {_ONCE}, {ELEMENTS_SQL} SELECT encounter_id, round(abs(a.a_au - b.a_au), 8) AS delta_a FROM once JOIN els a ON a.number = number_1 JOIN els b ON b.number = number_2
 WHERE abs(a.a_au - b.a_au) / ((a.a_au + b.a_au) / 2) <= 0.02 AND abs(a.ecc - b.ecc) <= 0.05 AND abs(a.i_deg - b.i_deg) <= 2""",
     "pair_minima": f"WITH {_ONCE}, {_MINIMA} SELECT * FROM minima",
@@ -308,7 +308,7 @@ met AS (SELECT recno, day, n, day + 0.5 - jd AS gap FROM events LEFT JOIN days O
 sums AS (SELECT recno, coalesce(sum(n) FILTER (gap < 0), 0)::BIGINT AS before, coalesce(sum(n) FILTER (gap >= 0), 0)::BIGINT AS after, coalesce(sum(n) FILTER (abs(gap) <= 30), 0)::BIGINT AS around,
   max(day::DOUBLE) FILTER (gap < 0) AS last_day_before, min(day::DOUBLE) FILTER (gap >= 0) AS first_day_after FROM met GROUP BY recno)
 SELECT *, before >= 5 AND after >= 5 AS viable FROM sums""",
-    "best_solutions": f"WITH {_BEST} SELECT {_KEY}, nbody_converged, dist_au_nbody FROM best",
+    "best_solutions": f"WITH {_BEST} SELECT {_KEY}, nbody_converged, CASE WHEN NOT isnan(dist_au_nbody) THEN dist_au_nbody END AS dist_au_nbody FROM best",
     "hybrid_merge": f"""WITH {_BEST}, base AS (SELECT DISTINCT {_KEY}, dist_au_kepler AS dist_au, rel_vel_kepler AS rel_vel_au_day FROM refined),
 usable AS (SELECT * FROM best WHERE nbody_converged AND error_message IS NULL AND dist_au_nbody IS NOT NULL AND NOT isnan(dist_au_nbody))
 SELECT b.number_1, b.number_2, b.t_min_kepler_jd, coalesce(u.dist_au_nbody, b.dist_au) AS dist_au, coalesce(u.rel_vel_nbody, b.rel_vel_au_day) AS rel_vel_au_day,

@@ -175,7 +175,7 @@ SELECT bin_id, CASE WHEN m IS NULL OR s IS NULL THEN 'unknown' WHEN m <= 0 THEN
     "secondary_perturbers": f"""WITH once AS (SELECT DISTINCT * EXCLUDE (run_id) FROM encounters_catalog),
 t AS (SELECT number_2 AS n FROM once WHERE number_1 = 1 UNION SELECT number_1 FROM once WHERE number_2 = 1),
 s AS (SELECT encounter_id, number_1 AS number, number_2 AS partner, dist_au, jd_tdb FROM once UNION ALL SELECT encounter_id, number_2, number_1, dist_au, jd_tdb FROM once)
-SELECT encounter_id, number, partner, partner IN {catalog.KNOWN_MASS} AS massive FROM s WHERE dist_au <= 0.03 AND NOT isnan(dist_au) AND jd_tdb BETWEEN 2457023.5 AND 2457388.5 AND partner IS NOT NULL AND partner <> 1 AND number IN (SELECT n FROM t WHERE n IS NOT NULL)""",
+SELECT encounter_id, number, partner, partner IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 15, 16, 52, 65, 87, 88, 107, 121, 128) AS massive FROM s WHERE dist_au <= 0.03 AND NOT isnan(dist_au) AND jd_tdb BETWEEN 2457023.5 AND 2457388.5 AND partner IS NOT NULL AND partner <> 1 AND number IN (SELECT n FROM t WHERE n IS NOT NULL)""",
     "step_specificity": f"""WITH {_READ}, p AS (SELECT source_id, (epoch - {SPLIT_EPOCH}) / 1000 AS x, g AS y, k / 20.0::DOUBLE AS spot FROM r, (SELECT unnest(range(-10, 11)) AS k) WHERE g IS NOT NULL),
 q0 AS (SELECT source_id, x, y, spot, CASE WHEN x >= spot THEN 1.0::DOUBLE ELSE 0 END AS s FROM p),
 q AS (SELECT source_id, spot, count(*) AS n, sum(s) AS ss, count(*) * covar_pop(x, y) AS cxy, count(*) * var_pop(x) AS vx, count(*) * var_pop(y) AS vy, count(*) * covar_pop(s, x) AS csx, count(*) * covar_pop(s, y) AS csy, count(*) * var_pop(s) AS vs FROM q0 GROUP BY 1, 2),

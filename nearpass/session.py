@@ -63,10 +63,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only if unset in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     current = getattr(spark, "_nearpass_stage_root", None)
     if current is None:
         current = f"file://{tempfile.mkdtemp(prefix='nearpass-')}"
@@ -116,6 +118,28 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         spark._jvm.System.gc()
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple[object, object]:
+    """The file system of a path, whichever it is, and the path in it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file beside the data, on the data's file system; an old one is replaced."""
+    system, target = hadoop_path(spark, path)
+    stream = system.create(target, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def list_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob, sorted; none if nothing does."""
+    system, target = hadoop_path(spark, pattern)
+    return sorted(s.getPath().toString() for s in system.globStatus(target) or [])
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark._jvm

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import glob
 import json
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearpass.functions.timescale import JD_UNIX_EPOCH
 from nearpass.schema import ELEMENTS, conform, empty
+from nearpass.session import list_files
 
 #: Character spans (from 0, end excluded) of the element line format.
 SPANS = {
@@ -87,19 +86,19 @@ def orbit_solutions(raw: DataFrame, osc_epoch_days: float) -> DataFrame:
 def snapshot_registry(spark: SparkSession, folder: str) -> DataFrame:
     """``path, snapshot_date, epoch_jd`` of element files with a readable sidecar, by epoch."""
     found = []
-    for path in sorted([*glob.glob(f"{folder}/MPCORB.DAT"), *glob.glob(f"{folder}/mpcorb_archive/MPCORB_*.DAT")]):
+    for path in [*list_files(spark, f"{folder}/MPCORB.DAT"), *list_files(spark, f"{folder}/mpcorb_archive/MPCORB_*.DAT")]:
+        side = list_files(spark, f"{path}.json")
         try:
-            with open(f"{path}.json") as side:
-                meta = json.load(side)
+            meta = json.loads(spark.read.text(side[0], wholetext=True).first().value)
             found.append((path, str(meta.get("snapshot_date")), float(meta["epoch_jd"])))
-        except (OSError, ValueError, KeyError, TypeError):
+        except (IndexError, AttributeError, ValueError, KeyError, TypeError):
             continue  # without a usable sidecar a file is no snapshot
     return spark.createDataFrame(found, "path string, snapshot_date string, epoch_jd double").orderBy("epoch_jd")
 
 
 def json_documents(spark: SparkSession, folder: str, required: list[str]) -> DataFrame:
     """One row per well-formed JSON file holding all required keys; an empty frame if none does."""
-    if not os.path.isdir(folder):
+    if not list_files(spark, folder):
         raise FileNotFoundError(folder)
     rows = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").json(f"{folder}/*.json")
     if any(c not in rows.columns for c in required):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from nearpass.operators.catalog import catalog_stats
 from nearpass.schema import CATALOG, conform
+from nearpass.session import hadoop_path, write_text
 
 
 def file_sha256(path: str) -> str:
@@ -49,24 +50,22 @@ def write_catalog(df: DataFrame, path: str, run_id: str, config: dict | None = N
         rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
     written = df.sparkSession.read.schema(rows.schema).option("header", True).format(fmt).load(path)
     side = provenance(written, config, inputs)
-    with open(f"{path.removeprefix('file://')}.json", "w") as f:
-        json.dump(side, f, indent=1, default=str)
+    write_text(df.sparkSession, f"{path}.json", json.dumps(side, indent=1, default=str))
     return side
 
 
 def backfill_sidecar(spark: SparkSession, path: str) -> dict:
     """Sidecar of a catalog written without one."""
     side = provenance(spark.read.parquet(path))
-    with open(f"{path.removeprefix('file://')}.json", "w") as f:
-        json.dump(side, f, indent=1, default=str)
+    write_text(spark, f"{path}.json", json.dumps(side, indent=1, default=str))
     return side
 
 
 def done_chunks(spark: SparkSession, path: str) -> DataFrame:
     """``chunk_id`` of finished work units, empty ones included."""
     manifest = f"{path}/manifest"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(manifest)
-    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+    system, target = hadoop_path(spark, manifest)
+    if not system.exists(target):
         return spark.createDataFrame([], "chunk_id bigint")
     return spark.read.schema("chunk_id bigint").parquet(manifest).distinct()
 
@@ -80,8 +79,7 @@ def write_chunks(chunks: DataFrame, results: DataFrame, path: str) -> None:
     """
     spark = chunks.sparkSession
     todo = chunks.select("chunk_id").distinct().join(done_chunks(spark, path), "chunk_id", "left_anti")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    results.join(todo, "chunk_id", "left_semi").write.mode("overwrite").partitionBy("chunk_id").parquet(f"{path}/rows")
+    results.join(todo, "chunk_id", "left_semi").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_id").parquet(f"{path}/rows")
     todo.write.mode("append").parquet(f"{path}/manifest")
 
 

@@ -19,7 +19,7 @@ def duck(sf):
 
 def plain(rows, names):
     order = sorted(range(len(names)), key=lambda k: names[k])
-    show = lambda v: None if v is None or v != v else round(v, 9) + 0.0 if isinstance(v, float) else v
+    show = lambda v: round(v, 9) + 0.0 if isinstance(v, float) else v  # noqa: E731  NaN stays NaN and differs from None
     return sorted(repr([show(r[k]) for k in order]) for r in rows)
 
 
