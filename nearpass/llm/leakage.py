@@ -4,9 +4,9 @@ Items and documents are cut into windows of ``window`` words. A window, as a seq
 word hashes, is embedded by a CGK random walk: at each step the word under the pointer is
 written out, and a random bit of (step, word) decides whether the pointer moves on. Windows
 at word edit distance k agree in most written places, so Hamming-LSH on sampled places finds
-them: each of several repetitions has its own walk and a key over a few places. Candidates are
-verified by exact word edit distance. Equal windows share their whole walk, so at ``max_edits``
-0 every repetition finds all of them and one is enough.
+them: each of several repetitions has its own walk and a key over a few sampled places. Whoever
+shares a key is a candidate and is verified by exact word edit distance. How many repetitions
+the target recall takes is tried out; equal windows share their whole walk, so one does for them.
 """
 
 from __future__ import annotations
@@ -19,24 +19,23 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from nearpass.llm.words import words
-from nearpass.session import spread
+from nearpass.session import spread, stage
 
-#: Most item windows (times repetitions) held by a task at once; more items are worked off in blocks.
-BLOCK_WINDOWS = 400_000
+#: Item windows (times repetitions) up to which their keys go to the executors, about 100 bytes each; beyond, windows meet by a shuffle.
+BROADCAST_WINDOWS = 400_000
 #: Words whose windows are walked together.
 CHUNK_WORDS = 100_000
+#: Candidates compared at once.
+CHUNK_PAIRS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class LeakRules:
-    """``recall`` is the share of windows within ``max_edits`` to be found.
-
-    ``places`` of the walk go into a key; all of them when only equal windows are asked for,
-    as these agree everywhere.
-    """
+    """``recall`` is the share of windows within ``max_edits`` to be found; ``places`` of the walk go into a key."""
 
     window: int = 12
     max_edits: int = 0
@@ -50,7 +49,7 @@ class LeakRules:
 
     @property
     def sampled(self) -> int:
-        return min(self.places, self.steps) if self.max_edits else self.steps
+        return min(self.places, 2 * self.window)
 
     def repetitions(self) -> int:
         """Walks needed so that ``recall`` of windows at ``max_edits`` edits share a key with their original."""
@@ -60,8 +59,6 @@ class LeakRules:
 @lru_cache(maxsize=32)
 def _repetitions(rules: LeakRules) -> int:
     """Tried out on random windows with random edits, with half of the missing recall in reserve."""
-    if not rules.max_edits:
-        return 1
     rng = np.random.default_rng(rules.seed)
     pairs = 600
     missed = np.ones(pairs, bool)
@@ -108,7 +105,7 @@ def word_codes(tokens: list[str], known: dict[str, int]) -> np.ndarray:
 def cgk_keys(codes: np.ndarray, starts: np.ndarray, rules: LeakRules, repetition: int) -> np.ndarray:
     """LSH key of the window at each start: a hash of the walk's words at the sampled places."""
     rng = np.random.default_rng([rules.seed, repetition])
-    sampled = sorted(rng.choice(rules.steps if not rules.max_edits else 2 * rules.window, size=rules.sampled, replace=False))
+    sampled = sorted(rng.choice(2 * rules.window, size=rules.sampled, replace=False))
     salts = rng.integers(1, 2**63, size=rules.steps, dtype=np.uint64)
     pointer = np.zeros(len(starts), dtype=np.int64)
     key = np.full(len(starts), np.uint64(repetition + 1))
@@ -138,117 +135,166 @@ def _edits(a: list[str], b: list[str], most: int) -> int:
     return row[-1]
 
 
+def fingerprints(codes: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """A hash of all words of the window at each start."""
+    out = np.zeros(len(starts), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(window):
+            out = _mixed(out * _MIX + codes[starts + k])
+    return out
+
+
 class LeakIndex:
-    """Sorted keys of a block's item windows, each with its item and place in it."""
+    """Sorted keys of item windows, each with its fingerprint, item and words."""
 
-    def __init__(self, items: list[tuple[int, str]], rules: LeakRules):
+    def __init__(self, keys: np.ndarray, prints: np.ndarray, owner: np.ndarray, texts: np.ndarray, rules: LeakRules):
+        order = np.argsort(keys, kind="stable")
         self.rules = rules
-        self.tokens = {i: words(p) for i, p in items}
-        known: dict[str, int] = {}
-        keys, owner, place = [], [], []
-        for item, tokens in self.tokens.items():
-            n = len(tokens) - rules.window + 1
-            if n < 1:
-                continue
-            codes, starts = word_codes(tokens, known), np.arange(n)
-            for r in range(rules.repetitions()):
-                keys.append(cgk_keys(codes, starts, rules, r))
-                owner.append(np.full(n, item, dtype=np.int64))
-                place.append(starts)
-        self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys = self.keys[order]
-        self.owner = (np.concatenate(owner) if owner else np.zeros(0, np.int64))[order]
-        self.place = (np.concatenate(place) if place else np.zeros(0, np.int64))[order]
+        self.keys, self.prints, self.owner, self.texts = keys[order], prints[order], owner[order], texts[order]
+        self.codes = word_codes([w for t in self.texts for w in t.split(" ")], {}).reshape(-1, rules.window) if rules.max_edits else None
 
     def leaks(self, documents: list[list[str]], known: dict[str, int]) -> list[dict[int, int]]:
         """Items found in each document's words, with the smallest number of edits."""
         w = self.rules.window
         found: list[dict[int, int]] = [{} for _ in documents]
-        sizes = np.array([len(d) for d in documents], dtype=np.int64)
-        if not len(self.keys) or not len(sizes) or sizes.max() < w:
+        codes, starts, ends = _windows(documents, known, w)
+        first = np.r_[0, ends]
+        if not len(self.keys) or not len(starts):
             return found
-        ends = np.cumsum(sizes)
-        windows = np.maximum(sizes - w + 1, 0)
-        shift = np.cumsum(windows) - windows
-        starts = np.arange(int(windows.sum())) + np.repeat(ends - sizes - shift, windows)
-        codes = np.concatenate([word_codes(d, known) for d in documents])
         for r in range(self.rules.repetitions()):
-            key = cgk_keys(codes, starts, self.rules, r)
+            key = cgk_keys(codes, starts, self.rules, r).view(np.int64)
             left = np.searchsorted(self.keys, key)
             hit = np.flatnonzero(self.keys[np.minimum(left, len(self.keys) - 1)] == key)
-            right = np.searchsorted(self.keys, key[hit], side="right")
-            owner = np.searchsorted(ends, starts[hit], side="right")
-            for at, last, doc in zip(hit, right, owner, strict=True):
-                place = int(starts[at] - (ends[doc] - sizes[doc]))
-                self._verify(documents[doc][place : place + w], range(left[at], last), found[doc])
+            left, right = left[hit], np.searchsorted(self.keys, key[hit], side="right")
+            many = right - left
+            cut = np.flatnonzero(np.diff(np.cumsum(many) // CHUNK_PAIRS)) + 1  # candidates of a bounded number at a time
+            for part in np.split(np.arange(len(hit)), cut):
+                at = np.repeat(hit[part], many[part])
+                mine = np.arange(int(many[part].sum())) + np.repeat(left[part] - np.cumsum(many[part]) + many[part], many[part])
+                near = self._near(codes, starts, hit[part], many[part], at, mine)
+                at, mine = at[near], mine[near]
+                owner = np.searchsorted(ends, starts[at], side="right")
+                for place, doc, k in zip((starts[at] - first[owner]).tolist(), owner.tolist(), mine.tolist(), strict=True):
+                    item, held = int(self.owner[k]), found[doc]
+                    best = held.get(item, self.rules.max_edits + 1)
+                    if best and (edits := _edits(documents[doc][place : place + w], self.texts[k].split(" "), min(best - 1, self.rules.max_edits))) < best:
+                        held[item] = edits
         return found
 
-    def _verify(self, mine: list[str], candidates: range, found: dict[int, int]) -> None:
-        for k in candidates:
-            item = int(self.owner[k])
-            best = found.get(item, self.rules.max_edits + 1)
-            if best:
-                place = int(self.place[k])
-                edits = _edits(mine, self.tokens[item][place : place + self.rules.window], min(best - 1, self.rules.max_edits))
-                if edits < best:
-                    found[item] = edits
 
+    def _near(self, codes: np.ndarray, starts: np.ndarray, hit: np.ndarray, many: np.ndarray, at: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        """Candidates that may hold: equal fingerprints, or enough words found at most ``max_edits`` places away."""
+        w, k = self.rules.window, self.rules.max_edits
+        if not k:
+            return np.repeat(fingerprints(codes, starts[hit], w).view(np.int64), many) == self.prints[mine]
+        a, b = codes[starts[at][:, None] + np.arange(w)], self.codes[mine]
+        kept = a == b
+        for s in range(1, k + 1):
+            kept[:, s:] |= a[:, s:] == b[:, :-s]
+            kept[:, :-s] |= a[:, :-s] == b[:, s:]
+        return kept.sum(1) >= w - k
+
+
+def _windows(documents: list[list[str]], known: dict[str, int], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of all words, starts of all windows among them, and where each document ends."""
+    sizes = np.array([len(d) for d in documents], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    windows = np.maximum(sizes - window + 1, 0)
+    shift = np.cumsum(windows) - windows
+    starts = np.arange(int(windows.sum())) + np.repeat(ends - sizes - shift, windows)
+    codes = np.concatenate([word_codes(d, known) for d in documents]) if len(documents) else np.zeros(0, np.uint64)
+    return codes, starts, ends
+
+
+def _chunks(frames: Iterator[pd.DataFrame], ident: str, text: str) -> Iterator[tuple[list[int], list[list[str]]]]:
+    """Ids and words of texts, about ``CHUNK_WORDS`` words at a time."""
+    ids: list[int] = []
+    texts: list[list[str]] = []
+    size = 0
+    for frame in frames:
+        for i, t in zip(frame[ident], frame[text], strict=True):
+            ids.append(i)
+            texts.append(words(t))
+            size += len(texts[-1])
+            if size > CHUNK_WORDS:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
+_KEYED = "key bigint, print bigint, id bigint, words string"
+
+
+def _keyed(ident: str, text: str, rules: LeakRules) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """All windows of texts with their key in every repetition."""
 
-def _scanner(items: list[tuple[int, str]], rules: LeakRules) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = LeakIndex(items, rules)
         known: dict[str, int] = {}
-        for frame in frames:
-            out: list[tuple[int, int, int]] = []
-            ids: list[int] = []
-            texts: list[list[str]] = []
-            size = 0
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
-                ids.append(doc)
-                texts.append(words(text))
-                size += len(texts[-1])
-                if size > CHUNK_WORDS:
-                    out += _rows(ids, index.leaks(texts, known))
-                    ids, texts, size = [], [], 0
-                if len(known) > 500_000:
-                    known.clear()
-            out += _rows(ids, index.leaks(texts, known))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "edits"]).astype("int64")
+        for ids, texts in _chunks(frames, ident, text):
+            codes, starts, ends = _windows(texts, known, rules.window)
+            owner = np.searchsorted(ends, starts, side="right")
+            first = np.r_[0, ends]
+            shown = [" ".join(texts[o][p : p + rules.window]) for o, p in zip(owner.tolist(), (starts - first[owner]).tolist(), strict=True)]
+            prints = fingerprints(codes, starts, rules.window).view(np.int64)
+            for r in range(rules.repetitions() if len(starts) else 0):
+                key = cgk_keys(codes, starts, rules, r).view(np.int64)
+                yield pd.DataFrame({"key": key, "print": prints, "id": np.array(ids, np.int64)[owner], "words": shown})
+            if len(known) > 500_000:
+                known.clear()
 
     return run
 
 
-def _rows(ids: list[int], found: list[dict[int, int]]) -> list[tuple[int, int, int]]:
-    return [(doc, item, edits) for doc, items in zip(ids, found, strict=True) for item, edits in items.items()]
+_FOUND = "doc_id bigint, item_id bigint, edits bigint"
+
+
+def _by_index(texts: DataFrame, windows: DataFrame, rules: LeakRules) -> DataFrame:
+    """One pass over the texts against the keys of all items, sent to each executor once."""
+    rows = windows.toPandas()  # counted before
+    held = texts.sparkSession.sparkContext.broadcast((rows["key"].to_numpy(np.int64), rows["print"].to_numpy(np.int64), rows["id"].to_numpy(np.int64), rows["words"].to_numpy(object)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = LeakIndex(*held.value, rules)
+        known: dict[str, int] = {}
+        for ids, documents in _chunks(frames, "doc_id", "text"):
+            found = index.leaks(documents, known)
+            out = [(doc, item, edits) for doc, items in zip(ids, found, strict=True) for item, edits in items.items()]
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "edits"]).astype("int64")
+            if len(known) > 500_000:
+                known.clear()
+
+    return texts.mapInPandas(run, _FOUND)
+
+
+def _by_shuffle(texts: DataFrame, windows: DataFrame, rules: LeakRules) -> DataFrame:
+    """Windows of texts and items meet on the key; a crowded key is split by AQE, or kept from the shuffle by its Bloom filter."""
+    mine = texts.mapInPandas(_keyed("doc_id", "text", rules), _KEYED).withColumnsRenamed({"id": "doc_id", "words": "_mine", "print": "_print"})
+    met = mine.join(windows.withColumnRenamed("id", "item_id"), "key")
+    if not rules.max_edits:
+        met = met.where(F.col("_print") == F.col("print"))
+
+    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            edits = [_edits(a.split(" "), b.split(" "), rules.max_edits) for a, b in zip(frame["_mine"], frame["words"], strict=True)]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "item_id": frame["item_id"], "edits": np.array(edits, np.int64)})
+
+    return met.select("doc_id", "item_id", "_mine", "words").mapInPandas(verify, _FOUND).where(F.col("edits") <= rules.max_edits)
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, rules: LeakRules | None = None) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, rules: LeakRules | None = None, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """``doc_id, item_id, edits``: documents holding ``window`` successive words of an item's passage.
 
     Up to ``max_edits`` words may be inserted, dropped or replaced. Every window of every
-    whole text is asked against all items. The items are the stated query set, brought to
-    the tasks in blocks of a bounded number of windows; a corpus of many partitions is not moved.
-    Null, empty and shorter texts or passages hold nothing; a repeated item or document
-    changes nothing; rows without id are left out.
+    whole text is asked against all items, in one pass over the texts. The keys of up to
+    ``broadcast_windows`` item windows, counted first, are sent to the executors; more meet the
+    texts' windows by a shuffle on the key, with the same result. Null, empty and shorter texts
+    or passages hold nothing; a repeated item or document changes nothing, an item with several
+    passages has the windows of all; rows without id are left out.
     """
     rules = rules or LeakRules()
     wanted = items.select("item_id", "passage").where("item_id IS NOT NULL AND passage IS NOT NULL").dropDuplicates()
     texts = spread(documents.select("doc_id", "text"), "doc_id").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    blocks: list[list[tuple[int, str]]] = [[]]
-    held = 0
-    for row in wanted.orderBy("item_id", "passage").toLocalIterator():
-        size = max(1, len(row.passage) // 2) * rules.repetitions()
-        if held + size > BLOCK_WINDOWS and blocks[-1]:
-            blocks.append([])
-            held = 0
-        if any(i == row.item_id for i, _ in blocks[-1][-1:]):  # an item with a second passage: a block of its own
-            blocks.append([])
-            held = 0
-        blocks[-1].append((row.item_id, row.passage))
-        held += size
-    found = None
-    for block in blocks:
-        part = texts.mapInPandas(_scanner(block, rules), "doc_id bigint, item_id bigint, edits bigint")
-        found = part if found is None else found.unionByName(part)
-    return found.groupBy("doc_id", "item_id").agg({"edits": "min"}).withColumnRenamed("min(edits)", "edits")
+    windows = stage(wanted.mapInPandas(_keyed("item_id", "passage", rules), _KEYED).distinct(), "items")
+    found = (_by_index if windows.count() <= broadcast_windows else _by_shuffle)(texts, windows, rules)
+    return found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))

@@ -67,7 +67,12 @@ def p7_used(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"), LeakRules(window=12, max_edits=0)).select("doc_id", "item_id")
+    return leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"), LeakRules(window=12, max_edits=0, places=8)).select("doc_id", "item_id")
+
+
+def p8_near(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a window up to two word edits from one of a passage."""
+    return leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"), LeakRules(window=12, max_edits=2))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,7 +86,7 @@ def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(sizes, "doc_id").groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_merged_pieces": p2_merged_pieces, "p2_bounded": p2_bounded, "p5_found": p5_found, "p6_found": p6_found, "p7_packed": p7_packed, "p7_used": p7_used, "p8_found": p8_found, "p9_found": p9_found, "p9_composition": p9_composition}
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_merged_pieces": p2_merged_pieces, "p2_bounded": p2_bounded, "p5_found": p5_found, "p6_found": p6_found, "p7_packed": p7_packed, "p7_used": p7_used, "p8_found": p8_found, "p8_near": p8_near, "p9_found": p9_found, "p9_composition": p9_composition}
 
 _ONCE = """WITH once AS (SELECT DISTINCT number_1, number_2, t_min_kepler_jd, bin_id,
   CASE WHEN NOT isnan(delta_dist_au) THEN delta_dist_au + 0.0 END AS v FROM refined)"""

@@ -82,8 +82,8 @@ ITEMS = "item_id long, passage string, text string"
 VOCAB = [f"w{i}" for i in range(60)]
 
 
-def leaks(spark, docs, items, rules=None):
-    out = leaked_items(spark.createDataFrame([(*d, "", 0) for d in docs], DOCS), spark.createDataFrame([(*i, "clash") for i in items], ITEMS), rules)
+def leaks(spark, docs, items, rules=None, **how):
+    out = leaked_items(spark.createDataFrame([(*d, "", 0) for d in docs], DOCS), spark.createDataFrame([(*i, "clash") for i in items], ITEMS), rules, **how)
     return {(r.doc_id, r.item_id): r.edits for r in out.collect()}
 
 
@@ -103,6 +103,9 @@ def test_leaks_match_brute_force(spark):
     expect = {(d, i) for d, t in docs for i, p in items if d is not None and grams(t) & grams(p)}
     got = leaks(spark, docs, items + [(60, None), (61, "too short"), (None, items[0][1]), items[1]])
     assert set(got) == expect and set(got.values()) == {0}
+    assert leaks(spark, docs, items, broadcast_windows=0) == got
+    near = LeakRules(max_edits=1)
+    assert leaks(spark, docs, items, near) == leaks(spark, docs, items, near, broadcast_windows=0)
     assert leaks(spark, [], items) == {} and leaks(spark, docs, []) == {}
 
 
