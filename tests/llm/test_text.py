@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from nearpass.llm.leakage import LeakRules, _edits, cgk_keys, leaked_items, word_codes
-from nearpass.llm.packing import PackRules, pack_documents, pack_sizes, packed_corpus, step_groups, token_counts, utilisation
+from nearpass.llm.packing import PackRules, pack_documents, pack_sizes, packed_corpus, tier_of, token_counts, utilisation, with_step_groups
 from nearpass.llm.subjects import SubjectRules, document_subjects, fit_subjects, sentence_items
 from nearpass.llm.words import split_sentences, words
 
@@ -35,11 +35,25 @@ def test_pack_sizes_never_overflow_and_hold_everything():
     assert pack_sizes(np.array([], dtype=int), 10) == []
 
 
-def test_step_groups_are_even():
-    work = np.random.default_rng(1).exponential(1.0, 160)
-    groups = step_groups(work, 8)
-    sums = np.bincount(groups, work)
-    assert (np.bincount(groups) == 8).all() and sums.max() / sums.min() < 2.0
+def test_tiers_decide_who_fills_a_gap():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 101, 2000)
+    assert tier_of(np.array([100, 51, 50, 26, 25, 1]), 100, 3).tolist() == [0, 0, 1, 1, 2, 2]
+    tiered, flat = pack_sizes(sizes, 100, 6), pack_sizes(sizes, 100, 1)
+    assert sorted(map(tuple, tiered)) != sorted(map(tuple, flat)) and len(tiered) <= len(flat) + 2
+    tier = tier_of(sizes, 100, 6)
+    assert all(tier[c[0]] == tier[c].min() for c in tiered)  # the opener is of the longest tier in it
+    # 60 and 55 open; the tighter gap (40) takes the 38 first, then the 45 goes to the 55
+    assert sorted(sorted(c) for c in pack_sizes(np.array([60, 55, 38, 45]), 100, 2)) == [[0, 2], [1, 3]]
+
+
+def test_step_groups_are_even(spark):
+    work = np.random.default_rng(1).exponential(1.0, 323)
+    rows = [(c, f"{c}-{k}", float(w), "clash") for c in (10, 20) for k, w in enumerate(work)]
+    out = with_step_groups(spark.createDataFrame(rows, "capacity_tokens long, container string, work double, pieces string").repartition(5), 8).toPandas()
+    for _, mine in out.groupby("capacity_tokens"):
+        of_group = mine.groupby("step_group").work.agg(["sum", "size"])
+        assert len(mine) == 323 and set(of_group["size"]) <= {7, 8} and of_group["sum"].max() / of_group["sum"].min() < 2.0
 
 
 def test_packing_round_trip_with_long_documents_and_dirt(spark):
