@@ -1,10 +1,11 @@
 """Subject areas of documents by class-association rules over sentences.
 
-Sentences of hand-labelled documents become transactions of words and a class item.
-Parallel frequent-pattern growth finds frequent itemsets; those with a class item become
-rules ``words -> class``. Redundant rules are pruned, and the evidence of the rules that
-match a sentence is calibrated to a probability. A document gets every subject that at
-least ``share`` of its sentences treat.
+A sentence is a transaction of words and a class item. Frequent patterns of up to two words
+and a class are grown in parallel: frequent words first, then, for each, the frequent words it
+meets in the same sentences. Every step is a count that adds up, combined where the sentences
+are. Patterns with a class become rules ``words -> class``; redundant ones are pruned, and the evidence of
+the rules that match a sentence is calibrated to a probability. A document gets every subject
+that at least ``share`` of its sentences treat.
 """
 
 from __future__ import annotations
@@ -15,32 +16,29 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearpass.llm.leakage import word_codes
 from nearpass.llm.words import joined, split_sentences, word_runs
-from nearpass.session import broadcast_if_small, shuffle_partitions, spread, stage
+from nearpass.session import broadcast_if_small, spread, stage
 
-_CLASS = "\x00"  # opens a class item; no word does
-_NONE = _CLASS + "none"
-#: Subjects are a stated, short list; more than this many are an error.
-MAX_SUBJECTS = 10_000
+#: Word codes worked on at once.
+CHUNK_CODES = 2_000_000
+_CODED = "doc_id bigint, sizes binary, codes binary"
 
 
 @dataclass(frozen=True)
 class SubjectRules:
-    """``max_docs`` and ``max_sentences`` bound the samples the rules are mined from.
+    """Thresholds of mining. All sentences of all documents are mined and scored, none is left out.
 
-    Scoring covers every sentence of every document. ``rounds`` of mining follow each
-    other: the first takes labelled documents, the later ones documents of any kind, a
+    A pattern needs ``least`` sentences and ``least_share`` of all. ``rounds`` of mining follow each
+    other: the first takes documents with a single label, the later ones all documents, a
     sentence carrying the subject that the rules so far give it, because a document's label
     need not hold for each of its sentences and few labels leave words unseen.
     """
 
     share: float = 0.25
-    max_docs: int = 6000
-    max_sentences: int = 12
     least: int = 4
     least_share: float = 0.0003
     confidence: float = 0.5
@@ -51,41 +49,72 @@ class SubjectRules:
     probability: float = 0.5
 
 
+def _find(table: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``asked`` are in the sorted table, and where."""
+    if not len(table) or not len(asked):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(table, asked), len(table) - 1)
+    hit = np.flatnonzero(table[at] == asked)
+    return hit, at[hit]
+
+
+def _together(sentence: np.ndarray, item: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Smaller item, larger item and sentence of every two items of a sentence, by their distance in its order."""
+    order = np.lexsort((item, sentence))
+    sentence, item = sentence[order], item[order]
+    start = np.arange(len(item))
+    for step in range(1, len(item)):
+        start = start[start + step < len(item)]
+        start = start[sentence[start] == sentence[start + step]]
+        if not len(start):
+            return
+        for k in range(0, len(start), CHUNK_CODES):
+            some = start[k : k + CHUNK_CODES]
+            yield item[some], item[some + step], sentence[some]
+
+
 @dataclass
 class RuleModel:
-    """Rules by word or word pair, and the logistic map from evidence to probability."""
+    """Rules by the code of a word or of two, and the logistic map from evidence to probability."""
 
     classes: list[str]
-    single: dict[str, tuple[int, float]] = field(default_factory=dict)
-    pairs: dict[tuple[str, str], tuple[int, float]] = field(default_factory=dict)
-    paired: frozenset[str] = frozenset()
+    single: dict[int, tuple[int, float]] = field(default_factory=dict)
+    pairs: dict[tuple[int, int], tuple[int, float]] = field(default_factory=dict)
     slope: float = 1.0
     offset: float = 0.0
 
-    def evidence(self, items: set[str]) -> np.ndarray:
-        out = np.zeros(len(self.classes))
-        for w in items:
-            hit = self.single.get(w)
-            if hit:
-                out[hit[0]] += hit[1]
-        some = sorted(items & self.paired)
-        for i, a in enumerate(some):
-            for b in some[i + 1 :]:
-                hit = self.pairs.get((a, b))
-                if hit:
-                    out[hit[0]] += hit[1]
-        return out
-
-    def subject(self, items: set[str], least: float) -> tuple[int, float]:
-        """Index of the sentence's subject, or -1, and the evidence margin."""
-        evidence = self.evidence(items)
-        if len(evidence) == 0:
-            return -1, 0.0
-        best = int(evidence.argmax())
-        margin = float(evidence[best] - (np.partition(evidence, -2)[-2] if len(evidence) > 1 else 0.0))
-        if evidence[best] <= 0 or 1 / (1 + np.exp(-(self.slope * margin + self.offset))) < least:
-            return -1, margin
-        return best, margin
+    def __post_init__(self) -> None:
+        self.words = np.array(sorted(self.single), np.uint64)
+        self.word_rules = np.array([self.single[int(w)] for w in self.words]).reshape(-1, 2)
+        self.paired = np.array(sorted({w for pair in self.pairs for w in pair}), np.uint64)
+        keys = {int(np.searchsorted(self.paired, np.uint64(a)) * len(self.paired) + np.searchsorted(self.paired, np.uint64(b))): rule for (a, b), rule in self.pairs.items()}
+        self.pair_keys = np.array(sorted(keys), np.int64)
+        self.pair_rules = np.array([keys[int(k)] for k in self.pair_keys]).reshape(-1, 2)
+
+    def evidence(self, sentence: np.ndarray, codes: np.ndarray, sentences: int) -> np.ndarray:
+        """Summed weights of the matching rules, by sentence and class."""
+        k = len(self.classes)
+        hit, at = _find(self.words, codes)
+        rules = self.word_rules[at]
+        out = np.zeros(sentences * k)
+        out += np.bincount(sentence[hit] * k + rules[:, 0].astype(np.int64), rules[:, 1], sentences * k)
+        hit, at = _find(self.paired, codes)
+        for a, b, where in _together(sentence[hit], at):
+            met, rule = _find(self.pair_keys, a * len(self.paired) + b)
+            rules = self.pair_rules[rule]
+            out += np.bincount(where[met] * k + rules[:, 0].astype(np.int64), rules[:, 1], sentences * k)
+        return out.reshape(sentences, k)
+
+    def subjects(self, sentence: np.ndarray, codes: np.ndarray, sentences: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Class of each sentence, -1 where none has a probability of ``least``, and the margin of the best."""
+        if not self.classes or not sentences:
+            return np.full(sentences, -1), np.zeros(sentences)
+        evidence = self.evidence(sentence, codes, sentences)
+        best = evidence.argmax(1)
+        top = evidence[np.arange(sentences), best]
+        second = np.partition(evidence, -2, axis=1)[:, -2] if len(self.classes) > 1 else np.zeros(sentences)
+        sure = 1 / (1 + np.exp(-np.clip(self.slope * (top - second) + self.offset, -700, 700))) >= least
+        return np.where((top > 0) & sure, best, -1), top - second
 
 
 def sentence_items(text: str | None) -> list[set[str]]:
@@ -96,97 +125,147 @@ def sentence_items(text: str | None) -> list[set[str]]:
     return [items for s in split_sentences(plain) if (items := set(word_runs(s)))]
 
 
-def _sampled(texts: DataFrame, rules: SubjectRules) -> DataFrame:
-    """``label, items`` of evenly spaced sentences of ``label, text``."""
+def coded_documents(documents: DataFrame) -> DataFrame:
+    """Staged ``doc_id, sizes, codes``: how many words each sentence has, and 64-bit codes of these words.
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Texts are read and cut into words once; all later steps work on these arrays. Null texts and ids are left out.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
         for frame in frames:
-            out = []
-            for label, text in zip(frame["label"], frame["text"], strict=True):
+            sizes, codes = [], []
+            for text in frame["text"]:
                 items = sentence_items(text)
-                step = max(1.0, len(items) / rules.max_sentences)
-                for k in range(min(len(items), rules.max_sentences)):
-                    out.append((label, sorted(items[int(k * step)])))
-            yield pd.DataFrame(out, columns=["label", "items"])
+                sizes.append(np.array([len(i) for i in items], np.int32).tobytes())
+                codes.append(word_codes([w for i in items for w in i], known).tobytes())
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "sizes": sizes, "codes": codes})
+            if len(known) > 500_000:
+                known.clear()
 
-    return stage(texts.select("label", "doc_id", "text").repartition(shuffle_partitions(texts.sparkSession), "doc_id").mapInPandas(cut, "label string, items array<string>"), "subjects")
+    texts = spread(documents.select("doc_id", "text"), "doc_id").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    return stage(texts.mapInPandas(run, _CODED), "sentences")
 
 
-def _first(ids: DataFrame, rules: SubjectRules) -> DataFrame:
-    """At most ``max_docs`` documents in an order that has nothing to do with their content."""
-    return F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.max_docs))
+@dataclass
+class Batch:
+    """Some documents: rows, the document of each sentence, the sentence of each code."""
 
+    rows: pd.DataFrame
+    doc: np.ndarray
+    sentence: np.ndarray
+    codes: np.ndarray
 
-def _labelled(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rules: SubjectRules) -> DataFrame:
-    """Sample of the documents with exactly one known subject."""
-    known = labels.join(broadcast_if_small(subjects.select("subject").distinct()), "subject", "left_semi")
-    clear = known.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("subject").alias("label"), F.max("subject").alias("_other")).where("label = _other").drop("_other")
-    return _sampled(documents.select("doc_id", "text").where("text IS NOT NULL").join(_first(clear, rules), "doc_id"), rules)
+    @property
+    def sentences(self) -> int:
+        return len(self.doc)
 
 
-def _any(documents: DataFrame, rules: SubjectRules) -> DataFrame:
-    """Sample of all documents, without label."""
-    ids = documents.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    texts = documents.select("doc_id", "text").where("text IS NOT NULL").join(_first(ids, rules), "doc_id")
-    return _sampled(texts.withColumn("label", F.lit(_NONE)), rules)
+def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[Batch]:
+    """About ``CHUNK_CODES`` codes of whole documents at a time."""
+    for frame in frames:
+        weight = np.cumsum([len(c) // 8 for c in frame["codes"]]) // CHUNK_CODES
+        for part in np.split(np.arange(len(frame)), np.flatnonzero(np.diff(weight)) + 1):
+            rows = frame.iloc[part]
+            sizes = np.frombuffer(b"".join(rows["sizes"]), np.int32)
+            doc = np.repeat(np.arange(len(rows)), [len(b) // 4 for b in rows["sizes"]])
+            yield Batch(rows, doc, np.repeat(np.arange(len(sizes)), sizes), np.frombuffer(b"".join(rows["codes"]), np.uint64))
 
 
-def _mine(transactions: DataFrame, classes: list[str], rules: SubjectRules) -> RuleModel:
-    """``transactions``: ``label, items``; the label is a subject or ``_NONE``."""
-    total = transactions.count()
-    least = max(rules.least, rules.least_share * total)
-    by_word = transactions.select("label", F.explode("items").alias("word")).groupBy("word", "label").agg(F.count(F.lit(1)).alias("n"))
-    of_class = transactions.groupBy("label").agg(F.count(F.lit(1)).alias("of_class"))
-    telling = (
-        by_word.join(F.broadcast(of_class), "label")  # a row per subject
-        .withColumn("of_word", F.sum("n").over(_over("word")))
-        .where((F.col("label") != _NONE) & (F.col("of_word") >= least))
-        .where(F.col("n") / F.col("of_word") >= F.least(rules.lift * F.col("of_class") / total, 0.5 + F.col("of_class") / total / 2))  # a subject of most sentences can't be lifted far
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("_"))
-        .select("word")
-    )
-    keep = [r.word for r in telling.collect()]  # words of the bounded sample
-    baskets = transactions.select(F.array_append(F.array_intersect("items", F.array(*[F.lit(w) for w in keep]) if keep else F.array().cast("array<string>")), F.concat(F.lit(_CLASS), "label")).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(total, 1)), minConfidence=1.0, numPartitions=12).fit(baskets.where(F.size("items") > 1)).freqItemsets
-    small = found.where(F.size("items") <= rules.words + 1).toPandas()  # bounded by the sample
-    support: dict[tuple[str, ...], int] = {}
-    joint: dict[tuple[str, ...], list[tuple[str, int]]] = {}
-    for items, n in zip(small["items"], small["freq"], strict=True):
-        words = tuple(sorted(w for w in items if not w.startswith(_CLASS)))
-        label = [w[1:] for w in items if w.startswith(_CLASS)]
-        if not label:
-            support[words] = int(n)
-        elif words and label[0] != _NONE:
-            joint.setdefault(words, []).append((label[0], int(n)))
-    return _prune(support, joint, classes, rules)
+#: The class of each sentence of a batch; the number of classes stands for none.
+Labeller = Callable[[Batch], np.ndarray]
 
 
-def _over(column: str):
-    from pyspark.sql import Window
+def _by_document(batch: Batch) -> np.ndarray:
+    return batch.rows["label"].to_numpy(np.int64)[batch.doc]
 
-    return Window.partitionBy(column)
+
+def _by_rules(model: RuleModel) -> Labeller:
+    def run(batch: Batch) -> np.ndarray:
+        found = model.subjects(batch.sentence, batch.codes, batch.sentences, 0.0)[0]  # any rule counts; the next round judges it
+        return np.where(found >= 0, found, len(model.classes))
+
+    return run
+
+
+def _labelled(coded: DataFrame, labels: DataFrame, classes: list[str]) -> DataFrame:
+    """The documents with exactly one known subject, and its place among the classes."""
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("subject")) - 1
+    known = labels.where("doc_id IS NOT NULL AND subject IS NOT NULL").select("doc_id", place.cast("bigint").alias("label")).where("label >= 0")
+    clear = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_other")).where("label = _other").drop("_other")
+    return stage(coded.join(broadcast_if_small(clear), "doc_id"), "labelled")
+
+
+def _mine(coded: DataFrame, labeller: Labeller, classes: list[str], rules: SubjectRules) -> RuleModel:
+    """Frequent words, then frequent pairs of them, each with its classes; sums of counts all over."""
+    none = len(classes)
+
+    def count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _batches(frames):
+            label = labeller(batch)
+            words, at = np.unique(batch.codes, return_inverse=True)
+            n = np.bincount(at * (none + 1) + label[batch.sentence], minlength=1)
+            some = np.flatnonzero(n)
+            of_class = np.bincount(label, minlength=none + 1)
+            yield pd.DataFrame({
+                "word": np.r_[words[some // (none + 1)].astype(np.int64), np.full(none + 1, -1)] if len(words) else np.full(none + 1, -1),
+                "label": np.r_[some % (none + 1), np.arange(none + 1)] if len(words) else np.arange(none + 1),
+                "n": np.r_[n[some], of_class] if len(words) else of_class,
+            })
+
+    counted = stage(coded.mapInPandas(count_words, "word bigint, label bigint, n bigint").groupBy("word", "label").agg(F.sum("n").alias("n")), "words")
+    of_class = np.zeros(none + 1, np.int64)
+    for r in counted.where("word = -1").collect():  # a row per class
+        of_class[r.label] = r.n
+    total = int(of_class.sum())
+    least = max(rules.least, rules.least_share * total)
+    share = of_class / max(total, 1)
+    bound = np.minimum(rules.lift * share, 0.5 + share / 2)  # a subject of most sentences can't be lifted far
+    best = F.max(F.when(F.col("label") < none, F.struct("n", "label"))).alias("best")
+    lifted = F.bool_or((F.col("label") < none) & (F.col("n") / F.col("of_word") >= F.element_at(F.array(*[F.lit(float(b)) for b in bound]), (F.col("label") + 1).cast("int"))))
+    of_word = counted.where("word <> -1").groupBy("word").agg(F.sum("n").alias("of_word")).where(F.col("of_word") >= least)
+    telling = counted.join(of_word, "word").groupBy("word").agg(F.first("of_word").alias("of_word"), best, lifted.alias("lifted")).where("lifted").select("word", "of_word", "best.*").toPandas()  # at most (words in a sentence / least_share) rows
+    telling = telling.sort_values("word")
+    words = telling["word"].to_numpy(np.uint64)
+    support = {(int(w),): int(n) for w, n in zip(words, telling["of_word"], strict=True)}
+    joint = {(int(w),): (int(c), int(n)) for w, c, n in zip(words, telling["label"], telling["n"], strict=True) if n >= least}
+
+    def count_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _batches(frames):
+            hit, at = _find(words, batch.codes)
+            if not len(hit):
+                continue
+            label = labeller(batch)
+            for a, b, where in _together(batch.sentence[hit], at):
+                keys, n = np.unique((a * len(words) + b) * (none + 1) + label[where], return_counts=True)
+                yield pd.DataFrame({"pair": keys // (none + 1), "label": keys % (none + 1), "n": n})
+
+    if rules.words > 1 and len(words):
+        met = coded.mapInPandas(count_pairs, "pair bigint, label bigint, n bigint").groupBy("pair", "label").agg(F.sum("n").alias("n"))
+        frequent = met.groupBy("pair").agg(F.sum("n").alias("of_pair"), best).where((F.col("of_pair") >= least) & (F.col("best.n") >= least)).select("pair", "of_pair", "best.*").toPandas()
+        for pair, of_pair, n, c in frequent.itertuples(index=False):
+            key = (int(words[pair // len(words)]), int(words[pair % len(words)]))
+            support[key], joint[key] = int(of_pair), (int(c), int(n))
+    return _prune(support, joint, classes, rules)
 
 
 def _prune(support: dict, joint: dict, classes: list[str], rules: SubjectRules) -> RuleModel:
     """Keep the confident rules that no shorter rule of the same class makes redundant."""
-    at = {c: i for i, c in enumerate(classes)}
-    sure: dict[tuple[str, ...], tuple[str, float]] = {}
+    sure: dict[tuple[int, ...], tuple[int, float]] = {}
     for words in sorted(joint, key=lambda w: (len(w), w)):
-        label, n = max(joint[words], key=lambda x: (x[1], x[0]))
-        p = (n + 0.1) / (support.get(words, n) + 1.0)
-        if p < rules.confidence or len(words) > rules.words:
+        label, n = joint[words]
+        p = (n + 0.1) / (support[words] + 1.0)
+        if p < rules.confidence:
             continue
         shorter = [sure[(w,)] for w in words if len(words) > 1 and (w,) in sure]
         if any(c == label and q >= p - rules.gain for c, q in shorter):
             continue
         sure[words] = (label, p)
-    weight = {w: (at[c], float(np.log(p / (1 - p))) + 0.05) for w, (c, p) in sure.items()}
-    pairs = {w: v for w, v in weight.items() if len(w) == 2}
-    return RuleModel(classes, {w[0]: v for w, v in weight.items() if len(w) == 1}, pairs, frozenset(x for w in pairs for x in w))
+    weight = {w: (c, float(np.log(p / (1 - p))) + 0.05) for w, (c, p) in sure.items()}
+    return RuleModel(classes, {w[0]: v for w, v in weight.items() if len(w) == 1}, {w: v for w, v in weight.items() if len(w) == 2})
 
 
-def _calibrate(model: RuleModel, sample: DataFrame) -> RuleModel:
+def _calibrate(model: RuleModel, labelled: DataFrame) -> RuleModel:
     """Fit probability = logistic(slope * margin + offset) on a histogram of margins.
 
     The probability is net of label noise: a document's label that is wrong or holds for only
@@ -194,15 +273,12 @@ def _calibrate(model: RuleModel, sample: DataFrame) -> RuleModel:
     """
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for label, items in zip(frame["label"], frame["items"], strict=True):
-                best, margin = model.subject(set(items), -1.0)
-                if best >= 0:
-                    out.append((round(margin, 1), int(model.classes[best] == label)))
-            yield pd.DataFrame(out, columns=["margin", "right"]).astype({"margin": "float64", "right": "int64"})
-
-    bins = sample.mapInPandas(score, "margin double, right bigint").groupBy("margin").agg(F.sum("right").alias("right"), F.count(F.lit(1)).alias("n")).toPandas()
+        for batch in _batches(frames):
+            best, margin = model.subjects(batch.sentence, batch.codes, batch.sentences, -1.0)
+            some = best >= 0
+            yield pd.DataFrame({"margin": margin[some].round(1), "right": (best == _by_document(batch))[some].astype(np.int64)})
+
+    bins = labelled.mapInPandas(score, "margin double, right bigint").groupBy("margin").agg(F.sum("right").alias("right"), F.count(F.lit(1)).alias("n")).toPandas()
     if bins.empty:
         return model
     bins = bins.sort_values("margin")
@@ -235,53 +311,40 @@ def _logistic(x: np.ndarray, k: np.ndarray, n: np.ndarray, prior: float = 20.0)
     return float(max(a, 1e-3)), float(b)
 
 
-def _relabel(model: RuleModel) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [model.subject(set(items), 0.0)[0] for items in frame["items"]]  # any rule counts; the next round judges it
-            yield pd.DataFrame({"label": [model.classes[k] if k >= 0 else _NONE for k in found], "items": frame["items"]})
-
-    return run
-
+def fit_subjects(coded: DataFrame, labels: DataFrame, subjects: DataFrame, rules: SubjectRules | None = None) -> RuleModel:
+    """Mine, prune and calibrate the rules from ``coded_documents``; without usable labels there are none.
 
-def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rules: SubjectRules | None = None) -> RuleModel:
-    """Mine, prune and calibrate the rules; without usable labels there are none."""
+    The subjects are a stated list; each is a column of the counts.
+    """
     rules = rules or SubjectRules()
-    classes = sorted(r.subject for r in subjects.select("subject").where("subject IS NOT NULL").distinct().limit(MAX_SUBJECTS + 1).collect())
-    if len(classes) > MAX_SUBJECTS:
-        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
-    labelled = _labelled(documents, labels, subjects, rules)
-    model = RuleModel(classes)
-    if not labelled.limit(1).count():
-        return model
-    model = _calibrate(_mine(labelled, classes, rules), labelled)
-    if rules.rounds > 1:
-        open_sample = _any(documents, rules).select("items")
-        for _ in range(rules.rounds - 1):
-            guessed = stage(open_sample.mapInPandas(_relabel(model), "label string, items array<string>"), "relabelled")
-            model = _calibrate(_mine(guessed, classes, rules), labelled)
+    classes = sorted(r.subject for r in subjects.select("subject").where("subject IS NOT NULL").distinct().toLocalIterator())
+    if not classes:
+        return RuleModel(classes)
+    labelled = _labelled(coded, labels, classes)
+    if labelled.isEmpty():
+        return RuleModel(classes)
+    model = _calibrate(_mine(labelled, _by_document, classes, rules), labelled)
+    for _ in range(rules.rounds - 1):
+        model = _calibrate(_mine(coded, _by_rules(model), classes, rules), labelled)
     return model
 
 
-def subject_shares(documents: DataFrame, model: RuleModel, rules: SubjectRules | None = None) -> DataFrame:
+def subject_shares(coded: DataFrame, model: RuleModel, rules: SubjectRules | None = None) -> DataFrame:
     """``doc_id, subject, treating, sentences`` for each subject some sentence treats."""
     rules = rules or SubjectRules()
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
-                sentences = sentence_items(text)
-                held: dict[int, int] = {}
-                for items in sentences:
-                    best = model.subject(items, rules.probability)[0]
-                    if best >= 0:
-                        held[best] = held.get(best, 0) + 1
-                out += [(doc, model.classes[k], n, len(sentences)) for k, n in held.items()]
-            yield pd.DataFrame(out, columns=["doc_id", "subject", "treating", "sentences"]).astype({"doc_id": "int64", "treating": "int64", "sentences": "int64"})
+        k = max(len(model.classes), 1)
+        names = np.array([*model.classes, None], object)
+        for batch in _batches(frames):
+            best = model.subjects(batch.sentence, batch.codes, batch.sentences, rules.probability)[0]
+            some = best >= 0
+            held = np.bincount(batch.doc[some] * k + best[some], minlength=len(batch.rows) * k)
+            at = np.flatnonzero(held)
+            size = np.bincount(batch.doc, minlength=len(batch.rows))
+            yield pd.DataFrame({"doc_id": batch.rows["doc_id"].to_numpy()[at // k], "subject": names[at % k], "treating": held[at], "sentences": size[at // k]})
 
-    texts = spread(documents.select("doc_id", "text"), "doc_id").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return texts.mapInPandas(score, "doc_id bigint, subject string, treating bigint, sentences bigint")
+    return coded.mapInPandas(score, "doc_id bigint, subject string, treating bigint, sentences bigint")
 
 
 def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rules: SubjectRules | None = None) -> DataFrame:
@@ -291,6 +354,7 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     labels that are null, unknown or name an absent document are ignored.
     """
     rules = rules or SubjectRules()
-    model = fit_subjects(documents, labels, subjects, rules)
-    shares = subject_shares(documents, model, rules)
+    coded = coded_documents(documents)
+    model = fit_subjects(coded, labels, subjects, rules)
+    shares = subject_shares(coded, model, rules)
     return shares.where(F.col("treating") >= rules.share * F.col("sentences")).select("doc_id", "subject").distinct()

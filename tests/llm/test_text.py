@@ -1,14 +1,11 @@
 """Packing, leakage and subjects: round trips, brute force and held-out accuracy."""
 
-from collections import Counter
-
 import numpy as np
-import pandas as pd
 import pytest
 
 from nearpass.llm.leakage import LeakRules, _edits, cgk_keys, leaked_items, word_codes
 from nearpass.llm.packing import PackRules, pack_documents, pack_sizes, packed_corpus, tier_of, token_counts, utilisation, with_step_groups
-from nearpass.llm.subjects import SubjectRules, document_subjects, fit_subjects, sentence_items
+from nearpass.llm.subjects import SubjectRules, coded_documents, document_subjects, fit_subjects, sentence_items
 from nearpass.llm.words import split_sentences, words
 
 DOCS = "doc_id long, text string, edits string, part long"
@@ -213,10 +210,24 @@ def test_a_pair_of_words_rules_where_single_words_cannot(spark):
         rows += [(2 * k, "The prior of density was fixed. " * 3, "", 0), (2 * k + 1, "The prior of clock was fixed. " * 3, "", 0)]
     labels = [(d, "a" if d % 2 == 0 else "b") for d, *_ in rows]
     subjects = spark.createDataFrame([("a", ""), ("b", "")], "subject string, description string")
-    model = fit_subjects(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, subject string"), subjects, SubjectRules(lift=1.5))
-    assert model.single["density"][0] == 0 and model.single["clock"][0] == 1 and "prior" not in model.single
-    assert Counter(model.classes[model.subject(i, 0.5)[0]] for i in sentence_items("A prior density. The clock.")) == {"a": 1, "b": 1}
-    assert isinstance(pd.DataFrame(list(model.single)), pd.DataFrame)
+    model = fit_subjects(coded_documents(spark.createDataFrame(rows, DOCS)), spark.createDataFrame(labels, "doc_id long, subject string"), subjects, SubjectRules(lift=1.5))
+    code = lambda *w: tuple(int(c) for c in word_codes(list(w), {}))
+    assert model.single[code("density")[0]][0] == 0 and model.single[code("clock")[0]][0] == 1 and code("prior")[0] not in model.single
+    best, _ = model.subjects(np.array([0, 0, 0, 1, 1]), word_codes(["a", "prior", "density", "the", "clock"], {}), 2, 0.5)
+    assert best.tolist() == [0, 1]
+
+
+def test_two_words_that_rule_only_together(spark):
+    rows = []
+    for k in range(60):
+        rows += [(4 * k + i, f"{x} {y} w{k % 9}. " * 2, "", 0) for i, (x, y) in enumerate((("red", "one"), ("blue", "two"), ("red", "two"), ("blue", "one")))]
+    labels = [(d, "a" if d % 4 < 2 else "b") for d, *_ in rows]
+    subjects = spark.createDataFrame([("a", ""), ("b", "")], "subject string, description string")
+    coded = coded_documents(spark.createDataFrame(rows, DOCS))
+    model = fit_subjects(coded, spark.createDataFrame(labels, "doc_id long, subject string"), subjects, SubjectRules(lift=0.9))
+    assert not model.single and len(model.pairs) == 4
+    best, _ = model.subjects(np.array([0, 0, 1, 1]), word_codes(["red", "one", "two", "red"], {}), 2, 0.5)
+    assert best.tolist() == [0, 1]
 
 
 def test_very_long_texts(spark):
