@@ -45,7 +45,7 @@ class SubjectRules:
     lift: float = 2.0
     words: int = 2
     gain: float = 0.03
-    rounds: int = 3
+    rounds: int = 2
     probability: float = 0.5
 
 
@@ -196,14 +196,17 @@ def _labelled(coded: DataFrame, labels: DataFrame, classes: list[str]) -> DataFr
     return stage(coded.join(broadcast_if_small(clear), "doc_id"), "labelled")
 
 
-def _mine(coded: DataFrame, labeller: Labeller, classes: list[str], rules: SubjectRules) -> RuleModel:
-    """Frequent words, then frequent pairs of them, each with its classes; sums of counts all over."""
+def _mine(coded: DataFrame, labeller: Labeller, classes: list[str], rules: SubjectRules) -> tuple[RuleModel, DataFrame]:
+    """Frequent words, then frequent pairs of them, each with its classes; sums of counts all over.
+
+    Also gives the counts ``word, label, n``.
+    """
     none = len(classes)
 
     def count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _batches(frames):
             label = labeller(batch)
-            words, at = np.unique(batch.codes, return_inverse=True)
+            at, words = pd.factorize(batch.codes)
             n = np.bincount(at * (none + 1) + label[batch.sentence], minlength=1)
             some = np.flatnonzero(n)
             of_class = np.bincount(label, minlength=none + 1)
@@ -246,7 +249,7 @@ def _mine(coded: DataFrame, labeller: Labeller, classes: list[str], rules: Subje
         for pair, of_pair, n, c in frequent.itertuples(index=False):
             key = (int(words[pair // len(words)]), int(words[pair % len(words)]))
             support[key], joint[key] = int(of_pair), (int(c), int(n))
-    return _prune(support, joint, classes, rules)
+    return _prune(support, joint, classes, rules), counted
 
 
 def _prune(support: dict, joint: dict, classes: list[str], rules: SubjectRules) -> RuleModel:
@@ -311,21 +314,40 @@ def _logistic(x: np.ndarray, k: np.ndarray, n: np.ndarray, prior: float = 20.0)
     return float(max(a, 1e-3)), float(b)
 
 
+def _described(texts: dict[str, str], classes: list[str]) -> dict[int, tuple[int, float]]:
+    """Weak rules of the words that only one subject's name or description has, for words no label tells about."""
+    own = {c: set().union(*sentence_items(f"{c.replace('_', ' ')} {texts[c]}")) for c in classes}
+    rules = {}
+    for place, c in enumerate(classes):
+        for w in own[c]:
+            if sum(w in other for other in own.values()) == 1:
+                rules[int(word_codes([w], {})[0])] = (place, 0.1)
+    return rules
+
+
 def fit_subjects(coded: DataFrame, labels: DataFrame, subjects: DataFrame, rules: SubjectRules | None = None) -> RuleModel:
     """Mine, prune and calibrate the rules from ``coded_documents``; without usable labels there are none.
 
     The subjects are a stated list; each is a column of the counts.
     """
     rules = rules or SubjectRules()
-    classes = sorted(r.subject for r in subjects.select("subject").where("subject IS NOT NULL").distinct().toLocalIterator())
+    told = subjects.where("subject IS NOT NULL").groupBy("subject").agg(F.concat_ws(" ", F.collect_set("description")).alias("description")) if "description" in subjects.columns else subjects.where("subject IS NOT NULL").select("subject", F.lit("").alias("description")).distinct()
+    described = {r.subject: r.description for r in told.toLocalIterator()}
+    classes = sorted(described)
     if not classes:
         return RuleModel(classes)
     labelled = _labelled(coded, labels, classes)
     if labelled.isEmpty():
         return RuleModel(classes)
-    model = _calibrate(_mine(labelled, _by_document, classes, rules), labelled)
+    mined, counted = _mine(labelled, _by_document, classes, rules)
+    model = _calibrate(mined, labelled)
+    weak = _described(described, classes)
+    known = counted.where(F.col("word").isin(list(weak))).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= rules.least)
+    for r in known.collect():  # the labels have judged these words of the descriptions
+        del weak[r.word]
+    model = RuleModel(classes, {**weak, **model.single}, model.pairs, model.slope, model.offset)
     for _ in range(rules.rounds - 1):
-        model = _calibrate(_mine(coded, _by_rules(model), classes, rules), labelled)
+        model = _calibrate(_mine(coded, _by_rules(model), classes, rules)[0], labelled)
     return model
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-_INVISIBLE = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
+_INVISIBLE = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]")
 _BREAK_HYPHEN = re.compile("[-‐‑](?:\r\n|[\n\r\x0b\x0c\x85  ])")
 _WORD = re.compile(r"[^\W_]+")
 _END = re.compile(r"(?<=[.?!])[\"'”’»)\]]*\s+|\n\s*\n")
@@ -13,7 +13,7 @@ _END = re.compile(r"(?<=[.?!])[\"'”’»)\]]*\s+|\n\s*\n")
 
 def joined(text: str) -> str:
     """Text without invisible characters and without hyphens that only break a line."""
-    return _BREAK_HYPHEN.sub("", text.translate(_INVISIBLE))
+    return _BREAK_HYPHEN.sub("", text if text.isascii() else _INVISIBLE.sub("", text))
 
 
 def word_runs(plain: str) -> list[str]:
