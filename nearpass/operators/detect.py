@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from nearpass.functions.kepler import positions
 from nearpass.functions.physics import AU_KM, DAY_S
-from nearpass.operators.spatial import min_per_pair, prefilter, radius_self_join
+from nearpass.operators.spatial import min_per_pair, prefilter, radial_overlap, radius_self_join
 from nearpass.session import broadcast_if_small, shuffle_partitions, stage
 
 ORBIT = ["a_au", "ecc", "i_deg", "node_deg", "argperi_deg", "mean_anomaly_deg", "epoch_jd"]
@@ -34,6 +34,7 @@ class DetectRules:
     v_max_km_s: float = 25.0
     max_da: float | None = None
     max_di: float | None = None
+    radial: bool = False
     refine: bool = True
     keep_wide: bool = False
     block_steps: int = 64
@@ -68,11 +69,12 @@ def usable_elements(elements: DataFrame, a_min: float = 0.0, a_max: float = floa
     return out.where(F.col("number").isNotNull()) if only_numbered else out
 
 
-def propagate(elements: DataFrame, ident: str, start_jd: float, end_jd: float, step_days: float, decimals: int | None = None) -> DataFrame:
-    """``ident, step_idx, t_jd, x, y, z``: every body at every step, in NumPy over Arrow batches.
+def propagate(elements: DataFrame, ident: str, start_jd: float, end_jd: float, step_days: float, decimals: int | None = None, carry: list[str] | None = None) -> DataFrame:
+    """``ident, step_idx, t_jd, x, y, z`` and the elements to ``carry``: every body at every step, in NumPy over Arrow batches.
 
     Steps are made where the body is, so a row of elements is shuffled, not its trajectory.
     """
+    carry = carry or []
     n = max(0, int(np.ceil((end_jd + 0.5 * step_days - start_jd) / step_days - 1e-9)))
     t = start_jd + np.arange(n) * step_days
 
@@ -84,21 +86,49 @@ def propagate(elements: DataFrame, ident: str, start_jd: float, end_jd: float, s
                 args = [part[c].to_numpy(float)[:, None] for c in ORBIT]
                 xyz = positions(*args, t[None, :]).reshape(-1, 3)
                 xyz = xyz if decimals is None else np.round(xyz, decimals)
-                yield pd.DataFrame({ident: np.repeat(part[ident].to_numpy(), n), "step_idx": np.tile(np.arange(n), len(part)), "t_jd": np.tile(t, len(part)), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
+                yield pd.DataFrame({ident: np.repeat(part[ident].to_numpy(), n), "step_idx": np.tile(np.arange(n), len(part)), "t_jd": np.tile(t, len(part)), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2], **{c: np.repeat(part[c].to_numpy(float), n) for c in carry}})
 
-    return elements.select(F.col(ident).cast("bigint").alias(ident), *ORBIT).dropna().mapInPandas(run, f"{ident} bigint, step_idx bigint, t_jd double, x double, y double, z double")
+    schema = ", ".join([f"{ident} bigint, step_idx bigint, t_jd double, x double, y double, z double", *[f"{c} double" for c in carry]])
+    return elements.select(F.col(ident).cast("bigint").alias(ident), *ORBIT).dropna().mapInPandas(run, schema)
 
 
 def scan(elements: DataFrame, ident: str, start_jd: float, end_jd: float, rules: DetectRules) -> DataFrame:
-    """Candidates ``idx_i, idx_j, t_coarse_jd, d_coarse_au``: closest coarse step of each pair within the query radius."""
+    """Candidates ``idx_i, idx_j, t_coarse_jd, d_coarse_au``: closest coarse step of each pair within the query radius.
+
+    The orbital filters (``max_da`` with ``max_di``, ``radial``) need elements that the trajectories carry
+    along for them, so pairs fall before their minimum is taken and shuffled.
+    """
+    carry = [*(["a_au"] if rules.max_da is not None or rules.radial else []), *(["i_deg"] if rules.max_da is not None else []), *(["ecc"] if rules.radial else [])]
     # both sides of the self-join read the written trajectories; a lazy plan would propagate twice
-    places = stage(propagate(elements.repartition(shuffle_partitions(elements.sparkSession), ident), ident, start_jd, end_jd, rules.coarse_days, rules.decimals), "trajectories")
-    near = radius_self_join(places, ident, ["x", "y", "z"], rules.query_radius(), by=["step_idx"], keep=["t_jd"])
+    places = stage(propagate(elements.repartition(shuffle_partitions(elements.sparkSession), ident), ident, start_jd, end_jd, rules.coarse_days, rules.decimals, carry), "trajectories")
+    near = radius_self_join(places, ident, ["x", "y", "z"], rules.query_radius(), by=["step_idx"], keep=["t_jd", *carry])
+    if rules.max_da is not None:
+        near = near.where(prefilter(F.col("a_au_i"), F.col("a_au_j"), F.col("i_deg_i"), F.col("i_deg_j"), rules.max_da, rules.max_di or 180.0))
+    if rules.radial:
+        reach = lambda s: (F.col(f"a_au_{s}") * (1 - F.col(f"ecc_{s}")), F.col(f"a_au_{s}") * (1 + F.col(f"ecc_{s}")))
+        near = near.where(radial_overlap(*reach("i"), *reach("j"), rules.threshold_au))
     near = near.select("idx_i", "idx_j", F.col("t_jd_i").alias("t_coarse_jd"), (F.round("dist", rules.decimals - 1) if rules.decimals else F.col("dist")).alias("d_coarse_au"))
-    best = min_per_pair(near, ["idx_i", "idx_j"], "d_coarse_au", "t_coarse_jd")
-    if rules.max_da is None:
-        return best
-    return with_orbits(best, elements, ident).where(prefilter(F.col("a_au_i"), F.col("a_au_j"), F.col("i_deg_i"), F.col("i_deg_j"), rules.max_da, rules.max_di or 180.0)).select(*best.columns)
+    return min_per_pair(near, ["idx_i", "idx_j"], "d_coarse_au", "t_coarse_jd")
+
+
+def three_steps(pairs: DataFrame, elements: DataFrame, ident: str, start_jd: float, end_jd: float, step_days: float, decimals: int = 9) -> DataFrame:
+    """``idx_i, idx_j, t0..t2, d0..d2``: distances at a pair's closest step (``t_jd``) and the two beside it.
+
+    Only these three places of both bodies are computed, where the pair is. Minima at an end of the grid are left out.
+    """
+    n = max(0, int(np.ceil((end_jd + 0.5 * step_days - start_jd) / step_days - 1e-9)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            mid = np.rint((frame["t_jd"].to_numpy(float) - start_jd) / step_days)
+            frame, mid = frame[(mid >= 1) & (mid <= n - 2)], mid[(mid >= 1) & (mid <= n - 2)]
+            t = start_jd + (mid[:, None] + np.array([-1, 0, 1])) * step_days
+            places = [np.round(positions(*[frame[f"{c}_{s}"].to_numpy(float)[:, None] for c in ORBIT], t), decimals) for s in "ij"]
+            d = np.round(np.sqrt(((places[0] - places[1]) ** 2).sum(-1)), decimals - 1)
+            yield pd.DataFrame({"idx_i": frame["idx_i"], "idx_j": frame["idx_j"], **{f"t{k}": t[:, k] for k in range(3)}, **{f"d{k}": d[:, k] for k in range(3)}})
+
+    schema = "idx_i bigint, idx_j bigint, t0 double, t1 double, t2 double, d0 double, d1 double, d2 double"
+    return with_orbits(pairs, elements, ident).mapInPandas(run, schema)
 
 
 def with_orbits(pairs: DataFrame, elements: DataFrame, ident: str) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearpass.config import PipelineConfig, Window
@@ -13,9 +12,8 @@ from nearpass.functions.kepler import orbit_class
 from nearpass.functions.physics import clean, diameter
 from nearpass.functions.timescale import gaia_epoch_to_tdb, jd_to_iso_date, tdb_to_tcb, utc_to_tdb
 from nearpass.operators.characterize import characterize
-from nearpass.operators.detect import DetectRules, named_encounters, propagate, refine, scan, snapshot_for_window, time_grid, usable_elements, vertex, with_orbits
+from nearpass.operators.detect import DetectRules, named_encounters, propagate, refine, scan, snapshot_for_window, three_steps, time_grid, usable_elements, vertex, with_orbits
 from nearpass.operators.fits import nbody_refine
-from nearpass.operators.spatial import radial_overlap
 from nearpass.plans.pipeline import scan_blocks
 from nearpass.session import shuffle_partitions, stage, stage_folder, table
 
@@ -83,26 +81,15 @@ def encounter_prefiltered(spark: SparkSession, sf: str, window: Window = SHORT)
 
 def encounter_radial_overlap(spark: SparkSession, sf: str, window: Window = SHORT) -> DataFrame:
     """Detected pairs whose orbits' heliocentric ranges come within the threshold."""
-    pairs = with_orbits(detect(spark, sf, window), current_elements(spark, sf, window), "number")
-    side = lambda s: (F.col(f"a_au_{s}") * (1 - F.col(f"ecc_{s}")), F.col(f"a_au_{s}") * (1 + F.col(f"ecc_{s}")))
-    return pairs.where(radial_overlap(*side("i"), *side("j"), RADIUS)).select("idx_i", "idx_j")
+    return candidates(current_elements(spark, sf, window), coarse_rules(radial=True), window).select("idx_i", "idx_j")
 
 
 def encounter_refine_vertex(spark: SparkSession, sf: str, window: Window = SHORT) -> DataFrame:
     """Parabola through the coarse minimum and its neighbours, for minima inside the grid."""
     elements = current_elements(spark, sf, window)
-    places = propagate(elements.repartition(shuffle_partitions(spark), "number"), "number", window.start_jd, window.end_jd, STEP, 9)
-    at = lambda s: places.select(F.col("number").alias(f"idx_{s}"), "step_idx", "t_jd", F.struct("x", "y", "z").alias(f"p_{s}"))
-    pairs = detect(spark, sf, window).select("idx_i", "idx_j", F.col("t_jd").alias("t_min"))
-    near = F.round((F.col("t_min") - window.start_jd) / STEP).cast("bigint")
-    three = pairs.withColumn("step_idx", F.explode(F.sequence(near - 1, near + 1)))
-    both = three.join(at("i"), ["idx_i", "step_idx"]).join(at("j").drop("t_jd"), ["idx_j", "step_idx"])
-    gap = F.round(F.sqrt(sum(((F.col(f"p_i.{c}") - F.col(f"p_j.{c}")) * (F.col(f"p_i.{c}") - F.col(f"p_j.{c}")) for c in "xyz"), F.lit(0.0))), 8)
-    w = W.partitionBy("idx_i", "idx_j").orderBy("step_idx")
-    rows = both.withColumn("d", gap)
-    rows = rows.select("idx_i", "idx_j", "step_idx", near.alias("mid"), "t_jd", "d", *[f("d").over(w).alias(n) for f, n in ((F.lag, "d0"), (F.lead, "d2"))], *[f("t_jd").over(w).alias(n) for f, n in ((F.lag, "t0"), (F.lead, "t2"))])
-    rows = rows.where((F.col("step_idx") == F.col("mid")) & F.col("d0").isNotNull() & F.col("d2").isNotNull())
-    t, d = vertex(F.col("t0"), F.col("t_jd"), F.col("t2"), F.col("d0"), F.col("d"), F.col("d2"))
+    pairs = detect(spark, sf, window).select("idx_i", "idx_j", "t_jd")
+    rows = three_steps(pairs, elements, "number", window.start_jd, window.end_jd, STEP)
+    t, d = vertex(*[F.col(c) for c in ("t0", "t1", "t2", "d0", "d1", "d2")])
     return rows.select("idx_i", "idx_j", F.round(t, 5).alias("t_jd"), F.round(d, 7).alias("dist_au"))
 
 

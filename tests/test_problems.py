@@ -129,6 +129,24 @@ def test_every_kind_of_bad_reading(spark, block_rows):
         assert flagged(spark, rows) == expect
 
 
+def test_blocks_and_batches_change_nothing(spark, sf):
+    """Sources of some ninety readings, whole and in blocks of forty."""
+    df = spark.read.parquet(f"{sf}/sso_observation.parquet")
+    found = [{(r.reading, r.kind) for r in implausible_readings(df, rules).collect()} for rules in (SpikeRules(), SpikeRules(block_rows=40))]
+    assert found[0] == found[1] and len(found[0]) > 5
+
+
+def test_a_profile_of_its_own(spark):
+    """A source whose transits are all traced at an uneven pace: the component learns it, and a spike shows."""
+    rows = motion(1, transits=60)
+    for k, r in enumerate(rows):
+        late = 8e-6 * (-1) ** (k % 8)
+        r[5], r[6] = r[5] + 0.3 * late, r[6] + 0.1 * late
+    rows[100][6] += 25 * 0.3 / 3.6e6
+    assert flagged(spark, rows) == {(rows[100][1], "path")}
+    assert flagged(spark, rows, SpikeRules(prior_rows=1e9)) == set()  # along a straight line the bend passes for scatter
+
+
 def test_readings_with_nulls_repeats_and_no_rows(spark):
     rows = motion(1)
     rows += rows[:5]  # repeated
