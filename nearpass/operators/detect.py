@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from nearpass.functions.kepler import positions
 from nearpass.functions.physics import AU_KM, DAY_S
 from nearpass.operators.spatial import min_per_pair, prefilter, radial_overlap, radius_self_join
-from nearpass.session import broadcast_if_small, shuffle_partitions, stage
+from nearpass.session import broadcast_if_small, is_small, shuffle_partitions, stage
 
 ORBIT = ["a_au", "ecc", "i_deg", "node_deg", "argperi_deg", "mean_anomaly_deg", "epoch_jd"]
 RECENTRES = 4
@@ -133,9 +133,11 @@ def three_steps(pairs: DataFrame, elements: DataFrame, ident: str, start_jd: flo
 
 def with_orbits(pairs: DataFrame, elements: DataFrame, ident: str) -> DataFrame:
     """Pairs with both bodies' orbit columns, suffixed ``_i`` and ``_j``."""
+    bodies = elements.select(F.col(ident).cast("bigint").alias("_id"), *ORBIT)
+    small = is_small(bodies)  # counted once for both sides
     for s in ("i", "j"):
-        side = elements.select(F.col(ident).cast("bigint").alias(f"idx_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ORBIT])
-        pairs = pairs.join(broadcast_if_small(side), f"idx_{s}")
+        side = bodies.select(F.col("_id").alias(f"idx_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ORBIT])
+        pairs = pairs.join(F.broadcast(side) if small else side, f"idx_{s}")
     return pairs
 
 

@@ -46,9 +46,9 @@ def merge_states(states: DataFrame) -> DataFrame:
 def heavy_keys(df: DataFrame, positions: list[str], record: str, share: float = 0.02) -> DataFrame:
     """``position, key, n, total`` of keys holding at least ``share`` of all distinct records.
 
-    At most ``1/share`` keys per position come out. The total is one number per position,
-    summed from the compact states, so its broadcast has as many rows as ``positions``.
+    At most ``1/share`` keys per position come out. The total is one number, the distinct
+    records themselves, so the states are made once and the one shuffle by record serves both.
     """
+    total = distinct_records(df, record, positions).agg(F.count(F.lit(1)).alias("total")).scalar()
     counts = key_states(df, positions, record).select("position", "key", "n")
-    totals = counts.groupBy("position").agg(F.sum("n").alias("total"))
-    return counts.where(F.col("key").isNotNull()).join(F.broadcast(totals), "position").where(F.col("n") >= F.lit(share) * F.col("total"))
+    return counts.where(F.col("key").isNotNull()).withColumn("total", total).where(F.col("n") >= F.lit(share) * F.col("total"))

@@ -5,11 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearpass.functions.physics import clean
-from nearpass.session import stage
+from nearpass.operators.ranks import ranked
 
 KEY = ["number_1", "number_2", "t_min_kepler_jd"]
 
@@ -75,23 +74,6 @@ def distance_bands(df: DataFrame, dist: str, value: str, width: float) -> DataFr
     return df.where(d.isNotNull() & v.isNotNull()).groupBy((F.floor(d / width) * width).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("spread"))
 
 
-def ranked(df: DataFrame, by: str, tie: list[str] | None = None) -> DataFrame:
-    """Adds ``rank`` (from 0) and ``total`` by value, without a window over the whole table.
-
-    Rows are range-partitioned; a row's rank is its place in its partition plus the sizes of
-    the partitions before, one small row each. The split is staged, so places and sizes
-    belong to the same partitions whatever is computed again.
-    """
-    tie = tie or []
-    cut = stage(df.repartitionByRange(by, *tie).withColumn("_pid", F.spark_partition_id()), "ranked")
-    sizes = cut.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_pid", (F.sum("_n").over(W.orderBy("_pid")) - F.col("_n")).alias("_before"))
-    total = sizes.agg(F.sum("_n")).scalar()
-    place = F.row_number().over(W.partitionBy("_pid").orderBy(by, *tie))
-    out = cut.withColumn("_place", place).join(F.broadcast(before), "_pid").withColumn("total", total)  # a row per partition
-    return out.withColumn("rank", F.col("_before") + F.col("_place") - 1).drop("_pid", "_place", "_before")
-
-
 def quintiles(df: DataFrame, by: str, tie: str) -> DataFrame:
     """``fifth`` as ``ntile(5)`` by value and ``tie``."""
     rows = ranked(df, by, [tie])

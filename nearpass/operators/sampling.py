@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from nearpass.operators.ranks import ranked
+
 
 def draw(keys: list[str], seed: int) -> Column:
     """A pseudo-random order that depends on key and seed only."""
@@ -28,9 +30,8 @@ def stratified_sample(df: DataFrame, stratum: list[str], keys: list[str], per_st
 
 
 def systematic_sample(df: DataFrame, key: str, every: int, by: list[str]) -> DataFrame:
-    """Every k-th row of each group in key order, beginning with the first."""
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(key))
-    return df.withColumn("_rank", rank).where((F.col("_rank") - 1) % every == 0).drop("_rank")
+    """Every k-th row of each group in key order, beginning with the first; a group of any size spreads over tasks."""
+    return ranked(df, key, [], by).where(F.col("rank") % every == 0).drop("rank")
 
 
 def band(x: Column, edges: list[float]) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from nearpass.operators.ranks import ranked
+
 
 def gap_sessions(df: DataFrame, key: str, time: str, gap: float, tie: str, block_days: float | None = None) -> DataFrame:
     """Adds ``session``: a new one starts where the time since the reading before exceeds ``gap``.
@@ -56,22 +58,31 @@ def step_bic(df: DataFrame, key: str, x: str, y: str, at: Column, least: int = 1
     been centred against line and constant. ``delta_bic`` is line minus step (positive
     favours the step); null with fewer than ``least`` points or ``least_side`` on a side.
     """
-    xx, yy, s = F.col(x), F.col(y), F.when(F.col(x) >= at, 1.0).otherwise(0.0)
-    sums = df.where(xx.isNotNull() & yy.isNotNull()).groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(xx).alias("sx"), F.sum(yy).alias("sy"), F.sum(xx * xx).alias("sxx"), F.sum(xx * yy).alias("sxy"), F.sum(yy * yy).alias("syy"),
-        F.sum(s).alias("ss"), F.sum(s * xx).alias("ssx"), F.sum(s * yy).alias("ssy"),
-    )
-    n = F.col("n")
-    vx, cxy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("sxy") - F.col("sx") * F.col("sy") / n
-    csx, csy, vs = F.col("ssx") - F.col("ss") * F.col("sx") / n, F.col("ssy") - F.col("ss") * F.col("sy") / n, F.col("ss") - F.col("ss") * F.col("ss") / n
-    rss1 = _line_rss(n, *[F.col(c) for c in ("sx", "sy", "sxx", "sxy", "syy")])
-    out = sums.withColumn("rss_line", rss1)
+    sums = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(key).agg(*_line_sums(x, y), *_step_sums(x, y, at, "step_"))
+    return sums.select(key, "n", _step_gain("step_", least, least_side).alias("delta_bic"))
+
+
+def _line_sums(x: str, y: str) -> list[Column]:
+    x, y = F.col(x), F.col(y)
+    return [F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"), F.sum(y * y).alias("syy")]
+
+
+def _step_sums(x: str, y: str, at: Column, name: str) -> list[Column]:
+    s = F.when(F.col(x) >= at, 1.0).otherwise(0.0)
+    return [F.sum(s).alias(name), F.sum(s * F.col(x)).alias(f"{name}x"), F.sum(s * F.col(y)).alias(f"{name}y")]
+
+
+def _step_gain(name: str, least: int, least_side: int) -> Column:
+    """``delta_bic`` from the sums of a line and of a step."""
+    n, sx, sy, sxx, sxy, syy, ss, ssx, ssy = (F.col(c) for c in ("n", "sx", "sy", "sxx", "sxy", "syy", name, f"{name}x", f"{name}y"))
+    vx, cxy = sxx - sx * sx / n, sxy - sx * sy / n
+    csx, csy, vs = ssx - ss * sx / n, ssy - ss * sy / n, ss - ss * ss / n
+    line = _line_rss(n, sx, sy, sxx, sxy, syy)
     step_var = vs - F.when(vx > 0, csx * csx / vx).otherwise(0.0)
     step_cov = csy - F.when(vx > 0, csx * cxy / vx).otherwise(0.0)
-    out = out.withColumn("rss_step", F.greatest(F.lit(0.0), F.col("rss_line") - F.when(step_var > 0, step_cov * step_cov / step_var).otherwise(0.0)))
+    step = F.greatest(F.lit(0.0), line - F.when(step_var > 0, step_cov * step_cov / step_var).otherwise(0.0))
     bic = lambda rss, k: n * F.log(F.greatest(rss / n, F.lit(1e-300))) + k * F.log(n)
-    ok = (n >= least) & (F.col("ss") >= least_side) & (n - F.col("ss") >= least_side)
-    return out.select(key, "n", F.when(ok, bic(F.col("rss_line"), 2.0) - bic(F.col("rss_step"), 3.0)).alias("delta_bic"))
+    return F.when((n >= least) & (ss >= least_side) & (n - ss >= least_side), bic(line, 2.0) - bic(step, 3.0))
 
 
 def icc_anova(df: DataFrame, key: str, cluster: str, value: Column) -> DataFrame:
@@ -114,17 +125,27 @@ def jackknife(df: DataFrame, key: str, value: Column) -> DataFrame:
 def step_specificity(df: DataFrame, key: str, x: str, y: str, at: Column, offsets: list[float]) -> DataFrame:
     """How much better a step fits at ``at`` than at the best shifted instant.
 
-    ``specificity``: BIC gain at ``at`` minus the largest gain at the offsets; ``flag`` above 2. Offsets are
-    rows of sums, so all instants are tried in one aggregation.
+    ``specificity``: BIC gain at ``at`` minus the largest gain at the offsets; ``flag`` above 2. All
+    instants are sums of one aggregation, so no row is repeated.
     """
-    tried = df.withColumn("_at", F.explode(F.array(*[at + F.lit(float(o)) for o in [0.0, *offsets]]))).withColumn("_real", F.col("_at") == at)
-    tried = tried.withColumn("_k", F.struct(key, "_real", "_at"))
-    gains = step_bic(tried, "_k", x, y, F.col("_at"))
-    best = gains.groupBy(F.col(f"_k.{key}").alias(key)).agg(F.max(F.when(F.col("_k._real"), F.col("delta_bic"))).alias("real"), F.max(F.when(~F.col("_k._real"), F.col("delta_bic"))).alias("other"))
+    instants = [at, *[at + F.lit(float(o)) for o in offsets]]
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    sums = rows.groupBy(key).agg(*_line_sums(x, y), *[c for k, instant in enumerate(instants) for c in _step_sums(x, y, instant, f"s{k}_")])
+    gains = [_step_gain(f"s{k}_", 10, 3) for k in range(len(instants))]
+    best = sums.select(key, gains[0].alias("real"), F.array_max(F.array(*gains[1:])).alias("other"))
     return best.withColumn("specificity", F.col("real") - F.col("other")).withColumn("flag", F.coalesce(F.col("specificity") > 2.0, F.lit(False)))
 
 
 def percentile_rank(population: DataFrame, group: str, value: str, probes: DataFrame) -> DataFrame:
-    """Share of a group's values strictly below a probe ``group, probe``; null for an empty group."""
-    met = probes.join(population.where(F.col(value).isNotNull()).select(group, F.col(value).alias("_v")), group, "left")
-    return met.groupBy(group, "probe").agg(F.avg((F.col("_v") < F.col("probe")).cast("double")).alias("rank"))
+    """Share of a group's values strictly below a probe ``group, probe``; null for an empty group.
+
+    Probes are ranked among the values of their group, a probe before its equals, and among themselves; the
+    difference is the number of values below. No value meets every probe.
+    """
+    values = population.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v"), F.lit(1).alias("_kind"))
+    asked = probes.select(group, F.col("probe").cast("double").alias("_v"), F.lit(0).alias("_kind")).distinct()
+    mixed = ranked(values.unionByName(asked), "_v", ["_kind"], [group]).where("_kind = 0").select(group, "_v", F.col("rank").alias("_all"))
+    alone = ranked(asked, "_v", [], [group]).select(F.col(group).alias("_g"), F.col("_v").alias("_w"), "rank")
+    sizes = values.groupBy(F.col(group).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    met = mixed.join(alone, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_v") == F.col("_w"))).join(sizes, F.col(group).eqNullSafe(F.col("_h")), "left")
+    return met.select(group, F.col("_v").alias("probe"), ((F.col("_all") - F.col("rank")) / F.col("_n")).alias("rank"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nearpass.functions.physics import clean, wilson
 from nearpass.functions.timescale import parse_event_jd
 from nearpass.operators import catalog, crossmatch, hybrid, sampling
+from nearpass.operators.ranks import group_quantile
 from nearpass.plans.detection import ELEMENTS_SQL, current_elements
 from nearpass.session import table
 
@@ -200,8 +201,8 @@ def stage_subset(spark: SparkSession, sf: str) -> DataFrame:
 def heat_map(spark: SparkSession, sf: str) -> DataFrame:
     """95th percentile of the correction per band of a and e, bands of three rows or more."""
     rows = refined(spark, sf).where(clean(F.col("delta_dist_au")).isNotNull())
-    g = rows.groupBy(F.floor(F.col("a_1") / 0.25).alias("a_band"), F.floor(F.col("e_1") / 0.05).alias("e_band"))
-    return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile(F.abs(F.col("delta_dist_au")), F.lit(0.95)), 10).alias("p95")).where("n >= 3")
+    rows = rows.select(F.floor(F.col("a_1") / 0.25).alias("a_band"), F.floor(F.col("e_1") / 0.05).alias("e_band"), F.abs("delta_dist_au").alias("d"))
+    return group_quantile(rows, ["a_band", "e_band"], "d", 0.95).where("n >= 3").select("a_band", "e_band", "n", F.round("quantile", 10).alias("p95"))
 
 
 def strata(spark: SparkSession, sf: str) -> DataFrame:

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a dimension may be broadcast after it has been counted.
 BROADCAST_ROWS = 200_000
+#: Bytes up to which it may be, a text counted as 64.
+BROADCAST_BYTES = 32 << 20
+_WIDE = ("string", "binary")
 #: Paths of the stages that are there.
 _STAGED: list[str] = []
 
@@ -149,9 +152,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and, by the width of its columns, ``BROADCAST_BYTES``."""
+    width = sum(f.dataType.jsonValue() in _WIDE and 64 or 16 for f in df.schema.fields) + 16
+    most = max(1, min(max_rows, BROADCAST_BYTES // width))
+    return df.limit(most + 1).count() <= most
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when ``df`` holds at most ``max_rows`` rows; else leave the join to AQE."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """Hint a broadcast of a frame that ``is_small``; else leave the join to AQE."""
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
