@@ -129,6 +129,11 @@ def bulk_density_g_cm3(mass_kg: Column, diameter_km: Column) -> Column:
     return F.when((mass_kg > 0) & (diameter_km > 0), mass_kg / (pi / 6.0 * F.pow(diameter_km * 1000.0, 3)) / 1000.0)
 
 
+def density_gate(density: Column, low: float = 0.8, high: float = 4.5) -> Column:
+    """``PASS`` for a plausible density in g/cm3 (bounds excluded), ``SKIP`` for none."""
+    return F.when(density.isNull() | F.isnan(density), "SKIP").when((density > low) & (density < high), "PASS").otherwise("FAIL")
+
+
 def implied_mass_kg(shift_rad: Column, vel_m_s: Column, impact_m: Column, days: float = 90.0, distance_au: float = 2.5) -> Column:
     ok = (vel_m_s > 0) & (impact_m > 0)
     return F.when(ok, shift_rad * vel_m_s * impact_m * (distance_au * AU_KM * 1000.0) / (2.0 * NEWTON_G * days * DAY_S))

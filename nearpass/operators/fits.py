@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearpass.functions.dynamics import GIANTS, Perturber, acceleration, advance, energy, giants_pull, integrate
+from nearpass.functions.dynamics import GIANTS, PLANETS, Perturber, acceleration, advance, energy, giants_pull, integrate
 from nearpass.functions.kepler import elements_to_state, positions
 from nearpass.session import shuffle_partitions, stage
 
@@ -358,6 +358,23 @@ def orbit_fits(observations: DataFrame, seeds: DataFrame, key: str, sigma_mas: f
     return fitted.unionByName(spark.createDataFrame(_fit_spread(joined.where(F.col(key).isin(large)), key, sigma_mas), schema)) if large else fitted
 
 
+def observed(bodies: DataFrame, key: str, times: list[float]) -> DataFrame:
+    """``key, jd, ra, dec, x_gaia, y_gaia, z_gaia``: where bodies stand in the sky, seen from the Earth, without noise."""
+    t = np.array(times, float)
+    a, e, i, node, peri, lon, rate, _ = PLANETS["earth"]
+    ecliptic = elements_to_state(a, e, i, node, peri - node, lon + rate * (t - 2451545.0) / 36525.0 - peri, t, t)[:, :3]
+    eye = np.stack([ecliptic[:, 0], np.cos(_EPS) * ecliptic[:, 1] - np.sin(_EPS) * ecliptic[:, 2], np.sin(_EPS) * ecliptic[:, 1] + np.cos(_EPS) * ecliptic[:, 2]], 1)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            n = len(frame)
+            args = [np.repeat(frame[c].to_numpy(float), len(t)) for c in [*ORBIT, "epoch_jd"]]
+            seen = sky(positions(*args, np.tile(t, n)), np.tile(eye, (n, 1)))
+            yield pd.DataFrame({key: np.repeat(frame[key].to_numpy(), len(t)), "jd": np.tile(t, n), "ra": seen[:, 0], "dec": seen[:, 1], **{f"{c}_gaia": np.tile(eye[:, k], n) for k, c in enumerate("xyz")}})
+
+    return bodies.select(key, *ORBIT, "epoch_jd").dropna().mapInPandas(run, f"{key} int, jd double, ra double, dec double, x_gaia double, y_gaia double, z_gaia double")
+
+
 def nbody_refine(pairs: DataFrame, ident: list[str], planets: tuple[str, ...] = GIANTS, window_days: float = 1.0, sample_days: float = 1.0 / 48) -> DataFrame:
     """Pairs (with both orbits, ``_i`` and ``_j``, and ``jd_tdb``) refined under planetary perturbations.
 
@@ -412,18 +429,42 @@ def bootstrap_means(df: DataFrame, key: str, ident: str, value: str, replicates:
     """Poisson bootstrap of the mean: spread and percentile interval per key.
 
     Each reading's weight in a replicate is a Poisson number drawn from a hash of reading and
-    replicate, so replicates need no second pass, no collected group and no row twice: sums of all
-    replicates are one array per key and map task.
+    replicate, so replicates need no second pass and no collected group. A task sums the weights and weighted
+    values of all replicates in arrays, one pair per key and Arrow batch; only these are spread out and added.
     """
-    u = lambda b: (F.pmod(F.xxhash64(F.col(ident), b, F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     cumulative = np.cumsum([0.36787944117144233 / float(np.prod(range(1, k + 1))) for k in range(8)])
-    weight = lambda x: sum((F.when(x > float(c), 1).otherwise(0) for c in cumulative), F.lit(0))
-    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"), ident)
-    per = rows.withColumn("w", weight(u(F.col("b")))).groupBy(key, "b").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("_v")).alias("s")).where("n > 0")
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if frame.empty:
+                continue
+            order = np.argsort(frame[key].to_numpy(), kind="stable")
+            frame = frame.iloc[order]
+            first = np.flatnonzero(np.r_[True, frame[key].to_numpy()[1:] != frame[key].to_numpy()[:-1]])
+            v = frame["_v"].to_numpy(float)
+            n, s = np.zeros((len(first), replicates)), np.zeros((len(first), replicates))
+            reading = _mixed(frame[ident].to_numpy(np.int64).view(np.uint64) + np.uint64(seed))
+            for b in range(replicates):
+                u = (_mixed(reading ^ _mixed(np.full(1, b + 1, np.uint64))) >> np.uint64(11)).astype(float) / float(1 << 53)
+                w = np.searchsorted(cumulative, u).astype(float)
+                n[:, b], s[:, b] = np.add.reduceat(w, first), np.add.reduceat(w * v, first)
+            yield pd.DataFrame({key: frame[key].to_numpy()[first], "n": list(n), "s": list(s)})
+
+    rows = df.where(F.col(value).isNotNull() & F.col(ident).isNotNull() & F.col(key).isNotNull()).select(key, F.col(ident).cast("bigint").alias(ident), F.col(value).cast("double").alias("_v"))
+    sums = rows.mapInPandas(partial, f"{key} {df.schema[key].dataType.simpleString()}, n array<double>, s array<double>")
+    per = sums.select(key, F.posexplode(F.arrays_zip("n", "s")).alias("b", "sums")).groupBy(key, "b").agg(F.sum("sums.n").alias("n"), F.sum("sums.s").alias("s")).where("n > 0")
     means = per.withColumn("m", F.col("s") / F.col("n"))
     return means.groupBy(key).agg(F.stddev_samp("m").alias("sigma"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (splitmix64)."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def _root(row: pd.Series, side: str) -> np.ndarray:
     """A square root of a body's element covariance; a matrix that isn't quite positive gets a jitter."""
     full = row.get(f"covariance_{side}")

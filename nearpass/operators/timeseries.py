@@ -59,7 +59,7 @@ def step_bic(df: DataFrame, key: str, x: str, y: str, at: Column, least: int = 1
     favours the step); null with fewer than ``least`` points or ``least_side`` on a side.
     """
     sums = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(key).agg(*_line_sums(x, y), *_step_sums(x, y, at, "step_"))
-    return sums.select(key, "n", _step_gain("step_", least, least_side).alias("delta_bic"))
+    return sums.select(key, "n", _step_gain(*[F.col(c) for c in ("step_", "step_x", "step_y")], least, least_side).alias("delta_bic"))
 
 
 def _line_sums(x: str, y: str) -> list[Column]:
@@ -72,9 +72,9 @@ def _step_sums(x: str, y: str, at: Column, name: str) -> list[Column]:
     return [F.sum(s).alias(name), F.sum(s * F.col(x)).alias(f"{name}x"), F.sum(s * F.col(y)).alias(f"{name}y")]
 
 
-def _step_gain(name: str, least: int, least_side: int) -> Column:
+def _step_gain(ss: Column, ssx: Column, ssy: Column, least: int, least_side: int) -> Column:
     """``delta_bic`` from the sums of a line and of a step."""
-    n, sx, sy, sxx, sxy, syy, ss, ssx, ssy = (F.col(c) for c in ("n", "sx", "sy", "sxx", "sxy", "syy", name, f"{name}x", f"{name}y"))
+    n, sx, sy, sxx, sxy, syy = (F.col(c) for c in ("n", "sx", "sy", "sxx", "sxy", "syy"))
     vx, cxy = sxx - sx * sx / n, sxy - sx * sy / n
     csx, csy, vs = ssx - ss * sx / n, ssy - ss * sy / n, ss - ss * ss / n
     line = _line_rss(n, sx, sy, sxx, sxy, syy)
@@ -131,8 +131,10 @@ def step_specificity(df: DataFrame, key: str, x: str, y: str, at: Column, offset
     instants = [at, *[at + F.lit(float(o)) for o in offsets]]
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     sums = rows.groupBy(key).agg(*_line_sums(x, y), *[c for k, instant in enumerate(instants) for c in _step_sums(x, y, instant, f"s{k}_")])
-    gains = [_step_gain(f"s{k}_", 10, 3) for k in range(len(instants))]
-    best = sums.select(key, gains[0].alias("real"), F.array_max(F.array(*gains[1:])).alias("other"))
+    # one expression over an array of sums: written out for every instant it would outgrow a compiled method
+    tried = F.array(*[F.struct(F.col(f"s{k}_").alias("s"), F.col(f"s{k}_x").alias("x"), F.col(f"s{k}_y").alias("y")) for k in range(len(instants))])
+    gains = sums.withColumn("_gains", F.transform(tried, lambda q: _step_gain(q["s"], q["x"], q["y"], 10, 3)))
+    best = gains.select(key, F.col("_gains")[0].alias("real"), F.array_max(F.slice("_gains", 2, len(offsets))).alias("other"))
     return best.withColumn("specificity", F.col("real") - F.col("other")).withColumn("flag", F.coalesce(F.col("specificity") > 2.0, F.lit(False)))
 
 
