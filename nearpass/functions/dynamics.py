@@ -126,3 +126,46 @@ def energy(state: np.ndarray) -> np.ndarray:
     """Two-body energy per mass."""
     r, v = state[..., :3], state[..., 3:]
     return (v * v).sum(-1) / 2 - GM_SUN / np.linalg.norm(r, axis=-1)
+
+
+def variations(state: np.ndarray, start_jd: float, end_jd: float, step: float = 1.0, planets: tuple[str, ...] = (), perturber: Perturber | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """States ``(n, 6)`` carried to ``end_jd``, with the derivatives by their start ``(n, 6, 6)`` and by the perturber's GM ``(n, 6)``.
+
+    The variational equations are integrated along with the motion (fourth-order Runge-Kutta, equal steps of at most ``step`` days).
+    """
+    n = len(state)
+    steps = max(1, int(np.ceil(abs(end_jd - start_jd) / step)))
+    h = (end_jd - start_jd) / steps
+
+    def slope(t: float, y: np.ndarray) -> np.ndarray:
+        r, d = y[:, :3, 0], np.linalg.norm(y[:, :3, 0], axis=1)
+        pull = -GM_SUN * r / d[:, None] ** 3
+        tide = GM_SUN * (3 * r[:, :, None] * r[:, None, :] / d[:, None, None] ** 5 - np.eye(3) / d[:, None, None] ** 3)
+        by_gm = np.zeros((n, 3))
+        xyz, gm = planet_positions(planets, t) if planets else (np.zeros((0, 3)), np.zeros(0))
+        bodies = [*zip(xyz, gm, strict=True), *([(perturber.position(t), perturber.gm)] if perturber else [])]
+        for k, (s, g) in enumerate(bodies):
+            gap = s - r
+            far = np.linalg.norm(gap, axis=1)
+            unit = gap / far[:, None] ** 3 - s / np.linalg.norm(s) ** 3
+            pull = pull + g * unit
+            tide = tide + g * (3 * gap[:, :, None] * gap[:, None, :] / far[:, None, None] ** 5 - np.eye(3) / far[:, None, None] ** 3)
+            if perturber and k == len(bodies) - 1:
+                by_gm = unit
+        out = np.empty_like(y)
+        out[:, :3] = y[:, 3:]
+        out[:, 3:, 0] = pull
+        out[:, 3:, 1:] = tide @ y[:, :3, 1:]
+        out[:, 3:, 7] += by_gm
+        return out
+
+    y = np.zeros((n, 6, 8))
+    y[:, :, 0], y[:, :, 1:7] = state, np.eye(6)
+    t = start_jd
+    for _ in range(steps):
+        a = slope(t, y)
+        b = slope(t + h / 2, y + h / 2 * a)
+        c = slope(t + h / 2, y + h / 2 * b)
+        d = slope(t + h, y + h * c)
+        y, t = y + h / 6 * (a + 2 * b + 2 * c + d), t + h
+    return y[:, :, 0], y[:, :, 1:7], y[:, :, 7]

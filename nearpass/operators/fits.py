@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearpass.functions.dynamics import GIANTS, PLANETS, Perturber, acceleration, advance, energy, giants_pull, integrate
+from nearpass.functions.dynamics import GIANTS, PLANETS, Perturber, acceleration, advance, energy, giants_pull, integrate, variations
 from nearpass.functions.kepler import elements_to_state, positions
 from nearpass.session import shuffle_partitions, stage
 
@@ -375,6 +375,21 @@ def observed(bodies: DataFrame, key: str, times: list[float]) -> DataFrame:
     return bodies.select(key, *ORBIT, "epoch_jd").dropna().mapInPandas(run, f"{key} int, jd double, ra double, dec double, x_gaia double, y_gaia double, z_gaia double")
 
 
+def transition_volume(bodies: DataFrame, key: str, days: float) -> DataFrame:
+    """``key, volume``: determinant of the derivatives of the state after ``days`` by the state at the elements' epoch."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k in range(0, len(frame), 2000):
+                part = frame.iloc[k : k + 2000]
+                args = [part[c].to_numpy(float) for c in [*ORBIT, "epoch_jd"]]
+                _, by_state, _ = variations(elements_to_state(*args, args[-1]), 0.0, days, 1.0)
+                yield pd.DataFrame({key: part[key].to_numpy(), "volume": np.linalg.det(by_state)})
+
+    spread = bodies.select(key, *ORBIT, "epoch_jd").dropna().repartition(shuffle_partitions(bodies.sparkSession), key)
+    return spread.mapInPandas(run, f"{key} int, volume double")
+
+
 def nbody_refine(pairs: DataFrame, ident: list[str], planets: tuple[str, ...] = GIANTS, window_days: float = 1.0, sample_days: float = 1.0 / 48) -> DataFrame:
     """Pairs (with both orbits, ``_i`` and ``_j``, and ``jd_tdb``) refined under planetary perturbations.
 
@@ -465,23 +480,35 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _root(row: pd.Series, side: str) -> np.ndarray:
-    """A square root of a body's element covariance; a matrix that isn't quite positive gets a jitter."""
-    full = row.get(f"covariance_{side}")
-    if full is not None:
-        matrix = np.asarray(full, float).reshape(6, 6)
+def _roots(frame: pd.DataFrame, side: str) -> tuple[np.ndarray, list[str | None]]:
+    """Square roots of the bodies' element covariances, and what is wrong with them; one that isn't quite positive gets a jitter."""
+    roots, notes = np.full((len(frame), 6, 6), np.nan), [None] * len(frame)
+    sigmas = np.stack([frame[c].to_numpy(float) if (c := f"sigma_{x}_{side}") in frame else np.full(len(frame), np.nan) for x in ORBIT], 1)
+    given = frame[f"covariance_{side}"].tolist() if f"covariance_{side}" in frame else [None] * len(frame)
+    for k, full in enumerate(given):
+        matrix = np.diag(sigmas[k] ** 2) if full is None else np.asarray(full, float).reshape(6, 6)
         if not np.isfinite(matrix).all():
-            raise ValueError("no covariance")
+            notes[k] = "no covariance"
+            continue
+        if full is None:
+            roots[k] = np.diag(sigmas[k])
+            continue
+        notes[k] = "covariance is not positive"
         for jitter in (0.0, 1e-12, 1e-9, 1e-6):
             try:
-                return np.linalg.cholesky(matrix + jitter * np.diag(np.abs(np.diag(matrix)) + 1e-300))
+                roots[k], notes[k] = np.linalg.cholesky(matrix + jitter * np.diag(np.abs(np.diag(matrix)) + 1e-300)), None
+                break
             except np.linalg.LinAlgError:
                 continue
-        raise ValueError("covariance is not positive")
-    sigma = np.array([row.get(f"sigma_{c}_{side}", np.nan) for c in ORBIT], dtype=float)
-    if not np.isfinite(sigma).all():
-        raise ValueError("no covariance")
-    return np.diag(sigma)
+    return roots, notes
+
+
+def _normals(ident: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """``(n, draws, 6)`` standard normal numbers that depend on the row's number and the seed only."""
+    place = np.arange(draws * 6, dtype=np.uint64)
+    bits = [_mixed(_mixed(ident + np.uint64(2 * seed + k))[:, None] ^ _mixed(place + np.uint64(1))[None, :]) for k in range(2)]
+    u, v = (((b >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53) for b in bits)
+    return (np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)).reshape(len(ident), draws, 6)
 
 
 def monte_carlo_distance(pairs: DataFrame, draws: int = 500, seed: int = 0) -> DataFrame:
@@ -489,26 +516,37 @@ def monte_carlo_distance(pairs: DataFrame, draws: int = 500, seed: int = 0) -> D
 
     Each body brings a covariance of its six elements (``covariance_i/_j``, 36 numbers by row) or their
     sigmas (``sigma_<c>_i/_j``). Fewer than 50 finite draws, or neither of them, give nulls and a note.
+    Draws come from a hash of the pair's ids, all pairs of a batch at once.
     """
 
+    def batch(frame: pd.DataFrame) -> pd.DataFrame:
+        ids = [_mixed(frame[f"idx_{s}"].to_numpy(np.int64).view(np.uint64)) for s in "ij"]
+        with np.errstate(over="ignore"):
+            pair = _mixed(ids[0] * np.uint64(3) + ids[1])
+        notes: list[str | None] = [None] * len(frame)
+        places = []
+        for k, s in enumerate("ij"):
+            roots, wrong = _roots(frame, s)
+            notes = [a or b for a, b in zip(notes, wrong, strict=True)]
+            x = frame[[f"{c}_{s}" for c in ORBIT]].to_numpy(float)[:, None, :] + np.einsum("nij,ndj->ndi", roots, _normals(pair, draws, 2 * seed + k))
+            x[(x[..., 0] <= 0) | (x[..., 1] < 0) | (x[..., 1] >= 1)] = np.nan
+            with np.errstate(invalid="ignore"):
+                places.append(positions(*[x[..., c] for c in range(6)], frame[f"epoch_jd_{s}"].to_numpy(float)[:, None], frame["jd_tdb"].to_numpy(float)[:, None]))
+        d = np.linalg.norm(places[0] - places[1], axis=2)
+        many = np.isfinite(d).sum(1) >= 50
+        notes = [a or (None if b else "fewer than 50 usable draws") for a, b in zip(notes, many, strict=True)]
+        fine = np.array([n is None for n in notes])
+        out = {c: np.full(len(frame), np.nan) for c in ("median_au", "sigma_au", "p16_au", "p84_au")}
+        if fine.any():
+            good = np.where(np.isfinite(d[fine]), d[fine], np.nan)
+            out["median_au"][fine], out["p16_au"][fine], out["p84_au"][fine] = np.nanquantile(good, [0.5, 0.16, 0.84], axis=1)
+            out["sigma_au"][fine] = np.nanstd(good, axis=1, ddof=1)
+        return pd.DataFrame({"idx_i": frame["idx_i"], "idx_j": frame["idx_j"], **{c: pd.Series(v, index=frame.index).astype(object).where(fine, None) for c, v in out.items()}, "note": pd.Series(notes, index=frame.index, dtype=object)})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for _, row in frame.iterrows():
-                rng = np.random.default_rng([seed, int(row["idx_i"]) & 0x7FFFFFFF, int(row["idx_j"]) & 0x7FFFFFFF])
-                try:
-                    places = []
-                    for s in "ij":
-                        x = row[[f"{c}_{s}" for c in ORBIT]].to_numpy(float) + rng.normal(size=(draws, 6)) @ _root(row, s).T
-                        x[(x[:, 0] <= 0) | (x[:, 1] < 0) | (x[:, 1] >= 1)] = np.nan
-                        places.append(positions(*x.T, row[f"epoch_jd_{s}"], row["jd_tdb"]))
-                    d = np.linalg.norm(places[0] - places[1], axis=1)
-                    d = d[np.isfinite(d)]
-                    if len(d) < 50:
-                        raise ValueError("fewer than 50 usable draws")
-                    out.append((row["idx_i"], row["idx_j"], float(np.median(d)), float(d.std(ddof=1)), float(np.quantile(d, 0.16)), float(np.quantile(d, 0.84)), None))
-                except ValueError as error:
-                    out.append((row["idx_i"], row["idx_j"], None, None, None, None, str(error)))
-            yield pd.DataFrame(out, columns=["idx_i", "idx_j", "median_au", "sigma_au", "p16_au", "p84_au", "note"])
+            size = max(1, 200_000 // draws)
+            for k in range(0, len(frame), size):
+                yield batch(frame.iloc[k : k + size].reset_index(drop=True))
 
     return pairs.mapInPandas(run, "idx_i bigint, idx_j bigint, median_au double, sigma_au double, p16_au double, p84_au double, note string")

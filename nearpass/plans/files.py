@@ -157,11 +157,16 @@ def mc_distance(spark: SparkSession, sf: str) -> DataFrame:
     return fits.monte_carlo_distance(wide.withColumns(sigmas), draws=200)
 
 
+def state_transition(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the derivatives of each body's motion over forty days keep volume, as those of any such motion must."""
+    return fits.transition_volume(current_elements(spark, sf), "number", 40.0).select(F.col("number").cast("bigint").alias("number"), (F.abs(F.col("volume") - 1.0) < 1e-6).alias("kept"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         element_file, snapshot_files, orbit_table, observation_window, largest_key, interval_cover, published_union, mass_table, union_by_name, csv_export,
-        catalog_sidecar, resumable_chunks, orbit_fit, mc_distance,
+        catalog_sidecar, resumable_chunks, orbit_fit, mc_distance, state_transition,
     )
 }
 
@@ -181,5 +186,6 @@ FROM encounters_catalog WHERE number_1 IS NOT NULL GROUP BY 1""",
     "csv_export": "SELECT 'export' AS run_id, number_1, number_2, jd_tdb, dist_au, date_utc FROM (SELECT DISTINCT number_1, number_2, jd_tdb, dist_au, date_utc, gaia_observable FROM encounters_catalog) WHERE dist_au < 0.01 AND NOT isnan(dist_au)",
     "catalog_sidecar": "SELECT count(*) AS rows, count(*) FILTER (gaia_observable) AS observable, true AS same FROM encounters_catalog",
     "resumable_chunks": "SELECT shard_id::BIGINT AS chunk_id, count(*) AS n FROM refined WHERE shard_id IS NOT NULL GROUP BY 1 UNION ALL SELECT 1000000, 0",
+    "state_transition": f"{_ELS} SELECT number::BIGINT AS number, true AS kept FROM els",
     "orbit_fit": f"{_ELS} SELECT number::BIGINT AS number, true AS recovered, 12 AS kept FROM els WHERE a_au < 6",
 }

@@ -186,3 +186,24 @@ def test_bootstrap_query_draws_the_reference_s_replicates(spark, sf):
     want = fits.bootstrap_means(series.readings(spark, sf, "g_mag"), "source_id", "observation_id", "g_mag", 200)
     rows = lambda df: sorted((r.source_id, *(None if v is None else round(v, 9) for v in (r.sigma, r.low, r.high))) for r in df.collect())
     assert rows(series.bootstrap_sigma(spark, sf)) == rows(want)
+
+
+def test_variations_agree_with_differences():
+    from nearpass.functions.dynamics import Perturber, acceleration, integrate, variations
+    from nearpass.functions.kepler import elements_to_state
+
+    start, end = 2457000.5, 2457080.5
+    state = np.stack([elements_to_state(2.4 + 0.3 * k, 0.1 + 0.05 * k, 5.0, 40.0, 70.0, 10.0 * k, start, start) for k in range(3)])
+    heavy = {"a_au": 2.45, "ecc": 0.1, "i_deg": 5.5, "node_deg": 40.0, "argperi_deg": 70.0, "mean_anomaly_deg": 2.0, "epoch_jd": start}
+    body = Perturber(1e-10, heavy)
+    moved, by_state, by_gm = variations(state, start, end, 0.25, ("jupiter",), body)
+    path = lambda s, gm=1e-10: integrate(s, start, np.array([end]), acceleration(("jupiter",), (Perturber(gm, heavy),)), 0.25)[0]
+    assert np.abs(moved - path(state)).max() < 1e-9
+    for c in range(6):
+        d = np.zeros(6)
+        d[c] = 1e-6
+        want = (path(state + d) - path(state - d)) / 2e-6
+        assert np.abs(by_state[:, :, c] - want).max() < 1e-5 * np.abs(by_state).max()
+    want = (path(state, 2e-10) - path(state, 0.0)) / 2e-10
+    assert np.abs(by_gm - want).max() < 1e-4 * np.abs(by_gm).max()
+    assert np.abs(np.linalg.det(by_state) - 1).max() < 1e-8
