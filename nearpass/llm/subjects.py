@@ -240,8 +240,8 @@ def _mine(coded: DataFrame, labeller: Labeller, classes: list[str], rules: Subje
                 continue
             label = labeller(batch)
             for a, b, where in _together(batch.sentence[hit], at):
-                keys, n = np.unique((a * len(words) + b) * (none + 1) + label[where], return_counts=True)
-                yield pd.DataFrame({"pair": keys // (none + 1), "label": keys % (none + 1), "n": n})
+                at_key, keys = pd.factorize((a * len(words) + b) * (none + 1) + label[where])
+                yield pd.DataFrame({"pair": keys // (none + 1), "label": keys % (none + 1), "n": np.bincount(at_key, minlength=len(keys))})
 
     if rules.words > 1 and len(words):
         met = coded.mapInPandas(count_pairs, "pair bigint, label bigint, n bigint").groupBy("pair", "label").agg(F.sum("n").alias("n"))
