@@ -21,6 +21,11 @@ def p1_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return implausible_readings(table(spark, sf, "sso_observation")).withColumnRenamed("reading", "observation_id")
 
 
+def p1_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The readings out of range, stuck or under another number; what lies off the path has no SQL."""
+    return p1_kinds(spark, sf).where("kind <> 'path'")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return snapshot_changes(table(spark, sf, "elements"), table(spark, sf, "mpcorb_snapshot"))
 
@@ -43,7 +48,7 @@ def p4_per_body(spark: SparkSession, sf: str) -> DataFrame:
     return states.where(F.col("key").isNotNull()).select("position", F.col("key").alias("number"), F.col("n").alias("encounters"), F.col("nearest").alias("nearest_au"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_kinds": p1_kinds, "p3_found": p3_found, "p3_intervals": p3_intervals, "p4_found": p4_found, "p4_per_body": p4_per_body}
+QUERIES = {"p1_found": p1_found, "p1_kinds": p1_kinds, "p1_rules": p1_rules, "p3_found": p3_found, "p3_intervals": p3_intervals, "p4_found": p4_found, "p4_per_body": p4_per_body}
 
 _DELIVERIES = """
 order_of AS (
@@ -57,7 +62,19 @@ versions AS (
   FROM elements JOIN order_of USING (snapshot_path) WHERE number IS NOT NULL GROUP BY number, seq
 )"""
 
+_STUCK = """
+e_{0} AS (SELECT source_id, observation_id, x, epoch, coalesce(x = lag(x) OVER (PARTITION BY source_id ORDER BY epoch, observation_id), false) AS same FROM (SELECT *, {0} AS x FROM r WHERE epoch IS NOT NULL)),
+f_{0} AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY epoch, observation_id) AS run FROM e_{0}),
+s_{0} AS (SELECT observation_id FROM (SELECT *, count(*) OVER (PARTITION BY source_id, run) AS n FROM f_{0}) WHERE same AND n >= 4)"""
+
 SQL = {
+    "p1_rules": f"""
+WITH r AS (SELECT DISTINCT source_id, observation_id, epoch, number_mp, CASE WHEN NOT isnan(ra) THEN ra END AS ra, CASE WHEN NOT isnan(dec) THEN dec END AS dec FROM sso_observation WHERE source_id IS NOT NULL AND observation_id IS NOT NULL),
+{_STUCK.format("ra")}, {_STUCK.format("dec")},
+usual AS (SELECT source_id, number_mp AS u FROM (SELECT source_id, number_mp, count(DISTINCT observation_id) AS n FROM r WHERE number_mp IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY n DESC, number_mp) = 1)
+SELECT observation_id, 'range' AS kind FROM r WHERE ra < 0 OR ra >= 360 OR abs(dec) > 90
+UNION SELECT observation_id, 'run' FROM s_ra UNION SELECT observation_id, 'run' FROM s_dec
+UNION SELECT observation_id, 'label' FROM r JOIN usual USING (source_id) WHERE number_mp <> u""",
     "p3_found": f"""
 WITH {_DELIVERIES},
 steps AS (SELECT a.seq AS before, b.seq, b.snapshot_path FROM order_of a JOIN order_of b ON b.seq = a.seq + 1)
