@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from nearpass.functions.kepler import positions
 from nearpass.functions.physics import AU_KM, DAY_S
 from nearpass.operators.spatial import min_per_pair, prefilter, radial_overlap, radius_self_join
-from nearpass.session import broadcast_if_small, is_small, shuffle_partitions, stage
+from nearpass.session import is_small, shuffle_partitions, stage
 
 ORBIT = ["a_au", "ecc", "i_deg", "node_deg", "argperi_deg", "mean_anomaly_deg", "epoch_jd"]
 RECENTRES = 4
@@ -236,7 +236,9 @@ def detect_encounters(elements: DataFrame, ident: str, start_jd: float, end_jd:
 
 def named_encounters(found: DataFrame, elements: DataFrame) -> DataFrame:
     """Detected pairs keyed by number, with designations."""
+    names = elements.select(F.col("number").cast("bigint").alias("_id"), "designation")
+    small = is_small(names)
     for s, side in (("i", "1"), ("j", "2")):
-        names = elements.select(F.col("number").cast("bigint").alias(f"idx_{s}"), F.col("designation").alias(f"designation_{side}"))
-        found = found.join(broadcast_if_small(names), f"idx_{s}", "left")
+        mine = names.select(F.col("_id").alias(f"idx_{s}"), F.col("designation").alias(f"designation_{side}"))
+        found = found.join(F.broadcast(mine) if small else mine, f"idx_{s}", "left")
     return found.select(F.col("idx_i").cast("int").alias("number_1"), F.col("idx_j").cast("int").alias("number_2"), "designation_1", "designation_2", "jd_tdb", "dist_au", "rel_vel_au_day")

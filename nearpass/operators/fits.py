@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearpass.functions.dynamics import GIANTS, PLANETS, Perturber, acceleration, advance, energy, giants_pull, integrate, variations
-from nearpass.functions.kepler import elements_to_state, positions
+from nearpass.functions.kepler import elements_to_state, positions, state_to_elements
 from nearpass.session import shuffle_partitions, stage
 
 ORBIT = ["a_au", "ecc", "i_deg", "node_deg", "argperi_deg", "mean_anomaly_deg"]
@@ -183,6 +183,38 @@ def fit_mass(targets: list[dict], perturber: dict[str, float], gm0: float = 1e-1
     return fit
 
 
+def planted_mass_fits(perturbers: DataFrame, key: str, gm: float, targets: int = 2, epochs: int = 10, span: float = 160.0, sigma_mas: float = 0.05) -> DataFrame:
+    """``key, planted, gm, sigma``: a mass put into each perturber, and what ``fit_mass`` makes of its targets' motion.
+
+    The targets pass the perturber at made-up times and distances; their directions from the Earth, integrated with
+    it and without noise, are what the fit sees. A perturber is one task.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                epoch = float(row.epoch_jd)
+                orbit = {c: float(getattr(row, c)) for c in [*ORBIT, "epoch_jd"]}
+                t = np.linspace(epoch, epoch + span, epochs)
+                a, e, i, node, peri, lon, rate, _ = PLANETS["earth"]
+                place = elements_to_state(a, e, i, node, peri - node, lon + rate * (t - 2451545.0) / 36525.0 - peri, t, t)[:, :3]
+                eye = np.stack([place[:, 0], np.cos(_EPS) * place[:, 1] - np.sin(_EPS) * place[:, 2], np.sin(_EPS) * place[:, 1] + np.cos(_EPS) * place[:, 2]], 1)
+                seen = []
+                for k in range(targets):
+                    meet = epoch + span * (k + 1) / (targets + 2)
+                    state = elements_to_state(*[orbit[c] for c in ORBIT], epoch, meet)
+                    state = state + np.r_[0.0, 0.004 + 0.002 * k, 0.004, 6e-4, 0.0, 2e-4 * (k + 1)]
+                    start = integrate(state[None], meet, np.array([epoch]), acceleration((), (Perturber(gm, orbit),)), 2.0)[0]
+                    other = state_to_elements(start, epoch)
+                    elements = np.array([float(other[c][0]) for c in ORBIT])
+                    seen.append({"elements": elements, "epoch": epoch, "t": t, "radec": predict(elements, epoch, t, eye, Perturber(gm, orbit), (), 8.0), "observer": eye, "sigma": np.full(epochs, sigma_mas)})
+                fit = fit_mass(seen, orbit, gm0=gm / 3, step=8.0)
+                yield pd.DataFrame({key: [getattr(row, key)], "planted": [gm], "gm": [float(fit.x[0])], "sigma": [float(fit.sigma[0])]})
+
+    spread = perturbers.select(key, *ORBIT, "epoch_jd").dropna().repartition(shuffle_partitions(perturbers.sparkSession), key)
+    return spread.mapInPandas(run, f"{key} int, planted double, gm double, sigma double")
+
+
 def systematic_floor(residual: np.ndarray, sigma: np.ndarray, dof: int) -> float:
     """Noise to add in quadrature so that reduced chi-square is one; 0 if it already is less."""
     chi2 = lambda s: float((residual**2 / (sigma**2 + s * s)).sum()) / dof
