@@ -23,8 +23,8 @@ SHORT = Window(START, END)
 #: The reference's window, 2014-07-25 to 2017-05-28 UTC, in TDB: 2077 steps.
 FULL = Window(2456863.5 + 67.184 / 86400, 2457901.5 + 69.184 / 86400)
 RADIUS = 0.05
-#: Positions that a block of time holds.
-BLOCK_ROWS = 1_000_000
+#: Positions that a block of time holds for each partition of the session's shuffles.
+BLOCK_ROWS = 500_000
 _COLUMNS = ["designation", "h_mag", "g_slope", "epoch_jd", "mean_anomaly_deg", "argperi_deg", "node_deg", "i_deg", "ecc", "a_au"]
 
 
@@ -45,7 +45,7 @@ def candidates(elements: DataFrame, rules: DetectRules, window: Window) -> DataF
         return scan(elements, "number", START, END, rules)
     spark = elements.sparkSession
     elements = stage(elements, "bodies")
-    steps = max(1, BLOCK_ROWS // max(1, elements.count()))
+    steps = max(1, BLOCK_ROWS * shuffle_partitions(spark) // max(1, elements.count()))
     return scan_blocks(elements, PipelineConfig(window, detect=rules, block_days=steps * rules.coarse_days), stage_folder(spark, "candidates"))
 
 

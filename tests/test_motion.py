@@ -173,3 +173,20 @@ def test_parts_give_the_same_rows_as_the_whole(spark):
     whole = sorted(map(repr, characterize(spark.createDataFrame(rows, ENC), elements).collect()))
     parts = [r for k in range(0, 12, 5) for r in characterize(spark.createDataFrame(rows[k : k + 5], ENC), elements).collect()]
     assert sorted(map(repr, parts)) == whole
+
+
+def test_kepler_at_any_eccentricity(spark):
+    from pyspark.sql import functions as F
+
+    from nearpass.functions.kepler import eccentric_anomaly, solve_kepler
+
+    rng = np.random.default_rng(4)
+    for most in (0.4, 0.79, 0.95, 0.999999):
+        m, e = rng.uniform(0, 2 * np.pi, 20_000), rng.uniform(0, most, 20_000)
+        m[:100], e[100:300] = rng.uniform(0, 1e-4, 100), most
+        big_e = solve_kepler(m, e)
+        assert np.abs(big_e - e * np.sin(big_e) - m).max() < 1e-13
+        rows = spark.createDataFrame(list(zip(m[:300].tolist(), e[:300].tolist(), strict=True)), "m double, e double")
+        got = np.array([r[0] for r in rows.select(eccentric_anomaly(F.col("m"), F.col("e"))).collect()])
+        assert np.abs(got - big_e[:300]).max() < 1e-7
+    assert solve_kepler(np.zeros(0), np.zeros(0)).size == 0
