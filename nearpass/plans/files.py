@@ -85,6 +85,16 @@ def published_union(spark: SparkSession, sf: str) -> DataFrame:
     return obs.union_tables(parts).select("source_table", "recno", "pert", "targ", "dist")
 
 
+def html_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Published events printed as HTML tables of a hundred rows, with two heading rows, and read back."""
+    events = table(spark, sf, "goffin_2014_encounters").select("recno", "pert", "targ", F.floor(F.col("recno") / 100).alias("page"))
+    cell = lambda c: F.concat(F.lit("<td>&nbsp;"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(" </td>"))
+    rows = events.groupBy("page").agg(F.concat_ws("\n", F.collect_list(F.concat(F.lit("<tr>"), cell("recno"), cell("pert"), cell("targ"), F.lit("</tr>")))).alias("body"))
+    pages = rows.select("page", F.concat(F.lit("<html><p>Table</p><table><tr><th>No</th><th colspan=2>Bodies</th></tr><tr><th></th><th>P</th><th>T</th></tr>"), "body", F.lit("</table></html>")).alias("text"))
+    cells = F.col("cells")
+    return obs.html_tables(pages, "page", "text").select(cells[0].try_cast("bigint").alias("recno"), cells[1].try_cast("int").alias("pert"), cells[2].try_cast("int").alias("targ"))
+
+
 def mass_table(spark: SparkSession, sf: str) -> DataFrame:
     """Masses printed in 1e-10 Suns, the first entry of each body in order of its record."""
     rows = table(spark, sf, "goffin_2014_encounters").select("pert", "recno", F.format_string("%.3f", F.col("recno") % 1000 / 7.0).alias("printed"))
@@ -165,7 +175,7 @@ def state_transition(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        element_file, snapshot_files, orbit_table, observation_window, largest_key, interval_cover, published_union, mass_table, union_by_name, csv_export,
+        element_file, snapshot_files, orbit_table, observation_window, largest_key, interval_cover, published_union, html_list, mass_table, union_by_name, csv_export,
         catalog_sidecar, resumable_chunks, orbit_fit, mc_distance, state_transition,
     )
 }
@@ -180,6 +190,7 @@ SQL = {
     "interval_cover": """WITH c AS (SELECT min(recno) AS low, min(recno) + floor(recno / 25)::BIGINT % 30 AS high FROM goffin_2014_encounters GROUP BY floor(recno / 25)::BIGINT),
 r AS (SELECT low, max(high) OVER (ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c) SELECT reach + 1 AS from_key, low - 1 AS to_key FROM r WHERE low > reach + 1""",
     "published_union": "SELECT 'numbers' AS source_table, recno, pert, targ, NULL::DOUBLE AS dist FROM goffin_2014_encounters UNION ALL SELECT 'distances', recno, NULL, NULL, dist FROM goffin_2014_encounters",
+    "html_list": "SELECT recno, pert, targ FROM goffin_2014_encounters",
     "mass_table": "SELECT pert, round(log10(printf('%.3f', recno % 1000 / 7.0)::DOUBLE * 1e-10 * 1.98847e30), 9) AS log_mass FROM goffin_2014_encounters WHERE pert IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pert ORDER BY recno) = 1",
     "union_by_name": """SELECT number_1, count(*) AS n, count(CASE WHEN number_1 % 2 = 0 THEN number_2 END) AS partners, min(CASE WHEN number_1 % 2 = 1 AND NOT isnan(dist_au) THEN dist_au END) AS nearest
 FROM encounters_catalog WHERE number_1 IS NOT NULL GROUP BY 1""",

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import os
+from collections.abc import Iterator
+from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearpass.functions.timescale import decimal_year_to_jd, timestamp_to_jd
 from nearpass.schema import require
+from nearpass.session import list_files
 
 #: Fixed value: solar mass in kg, for masses printed in 1e-10 solar masses.
 SUN_KG = 1.98847e30
@@ -17,7 +20,7 @@ SUN_KG = 1.98847e30
 
 def load_observations(spark: SparkSession, path: str, columns: tuple[str, ...] = ("number_mp", "epoch", "ra", "dec")) -> DataFrame:
     """A Parquet observation table in lower case; a missing local path or column is an error."""
-    if "://" not in path and not os.path.exists(path):
+    if not list_files(spark, path):
         raise FileNotFoundError(path)
     rows = spark.read.parquet(path)
     return require(rows.toDF(*[c.lower() for c in rows.columns]), *columns)
@@ -63,6 +66,52 @@ def union_tables(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+class _Tables(HTMLParser):
+    """Cells of all tables of a page, by table and row; a row or cell left open ends with the next."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.tables: list[list[list[str]]] = []
+        self.open = False
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "table":
+            self.tables.append([])
+        elif tag == "tr" and self.tables:
+            self.tables[-1].append([])
+        elif tag in ("td", "th") and self.tables and self.tables[-1]:
+            self.tables[-1][-1].append("")
+        self.open = tag in ("td", "th") or (self.open and tag not in ("table", "tr"))
+
+    def handle_endtag(self, tag: str) -> None:
+        self.open = self.open and tag not in ("td", "th", "tr", "table")
+
+    def handle_data(self, data: str) -> None:
+        if self.open and self.tables and self.tables[-1] and self.tables[-1][-1]:
+            self.tables[-1][-1][-1] += data
+
+
+def html_tables(pages: DataFrame, page: str, text: str, skip: int = 2) -> DataFrame:
+    """``page, table, row, cells``: the rows of all tables of HTML pages after ``skip`` heading rows each.
+
+    No-break spaces count as blanks, and runs of blanks as one; an empty cell is null. A null page has no rows.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for name, source in zip(frame["_page"], frame["_text"], strict=True):
+                parser = _Tables()
+                parser.feed(source)
+                parser.close()
+                for k, rows in enumerate(parser.tables):
+                    out += [(name, k, i, [" ".join(c.split()) or None for c in cells]) for i, cells in enumerate(rows[skip:])]
+            yield pd.DataFrame(out, columns=["page", "table", "row", "cells"])
+
+    given = pages.where(F.col(text).isNotNull()).select(F.col(page).cast("string").alias("_page"), F.col(text).alias("_text"))
+    return given.mapInPandas(run, "page string, table int, row int, cells array<string>")
+
+
 def masses(rows: DataFrame, key: str, mass: str, order: str) -> DataFrame:
     """``key, mass_kg`` of masses in 1e-10 Suns; of several entries the first in ``order``."""
     kg = F.col(mass).try_cast("double") * 1e-10 * SUN_KG

@@ -108,3 +108,26 @@ def test_published_tables(spark):
     jd, precision = obs.tolerant_date(F.col("d"))
     rows = d.select(jd.alias("jd"), precision.alias("p")).collect()
     assert [(r.jd, r.p) for r in rows] == [(2457082.5, "day"), (2457096.5, "month"), (2457206.0, "year"), (None, None), (None, None)]
+
+
+def test_keyed_fetch_over_jdbc(spark):
+    """Key ranges read by parallel tasks, and the rows without a key."""
+    from nearpass.sources.observations import key_ranges, read_keyed
+
+    url = "jdbc:derby:memory:keyed;create=true"
+    rows = [(k, k * k) for k in range(103)] + [(None, -1), (None, -2)]
+    try:
+        spark.createDataFrame(rows, "K int, V int").write.jdbc(url, "t", mode="overwrite", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    except Exception as error:  # a Spark without the Derby driver
+        pytest.skip(str(error)[:100])
+    back = read_keyed(spark, url, "t", "K", 0, 102, 4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert back.rdd.getNumPartitions() == 5 and sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    assert key_ranges(0, 102, 4) == [(0, 25), (26, 51), (52, 77), (78, 102)]
+
+
+def test_html_tables_with_open_tags_and_blanks(spark):
+    from nearpass.sources.observations import html_tables
+
+    page = "<table><tr><th>a<tr><th>b<tr><td>1&nbsp;&nbsp;2<td><b>x</b> y<tr><td></td></table>outside<table><tr><td>only</table>"
+    df = spark.createDataFrame([(1, page), (2, None), (3, "no table")], "p int, html string")
+    assert [tuple(r) for r in html_tables(df, "p", "html").collect()] == [("1", 0, 0, ["1 2", "x y"]), ("1", 0, 1, [None])]
