@@ -227,6 +227,25 @@ def systematic_floor(residual: np.ndarray, sigma: np.ndarray, dof: int) -> float
     return (low + high) / 2
 
 
+def noise_models(df: DataFrame, key: str, group: str, value: str, sigma: str, common: float) -> DataFrame:
+    """``key, n, chi2_grouped, floor, chi2_floored``: two ways to allow for noise that formal errors leave out.
+
+    ``chi2_grouped`` whitens by the errors and a ``common`` noise shared within each group; ``floor`` is the noise that
+    brings the reduced chi-square to one. A key's rows are one task's; null values are left out.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        r, s = rows[value].to_numpy(float), rows[sigma].to_numpy(float)
+        white = whitened(r, s, pd.factorize(rows[group])[0], common)
+        dof = max(1, len(r) - 1)
+        floor = systematic_floor(r, s, dof)
+        return pd.DataFrame({key: [rows[key].iloc[0]], "n": [len(r)], "chi2_grouped": [float(white @ white)], "floor": [floor], "chi2_floored": [float((r**2 / (s**2 + floor**2)).sum()) / dof]})
+
+    rows = df.select(key, group, value, sigma).dropna()
+    kind = df.schema[key].dataType.simpleString()
+    return rows.repartition(shuffle_partitions(df.sparkSession), key).groupBy(key).applyInPandas(run, f"{key} {kind}, n bigint, chi2_grouped double, floor double, chi2_floored double")
+
+
 def chi2_sf_1(x: float) -> float:
     """Survival of chi-square with one degree of freedom."""
     return erfc(sqrt(max(x, 0.0) / 2))

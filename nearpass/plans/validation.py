@@ -14,6 +14,7 @@ from nearpass.operators.characterize import attach
 from nearpass.operators.ranks import group_quantile, ranked
 from nearpass.plans.catalogue import once, raw, refined
 from nearpass.plans.detection import ELEMENTS_SQL, FULL, current_elements
+from nearpass.plans.series import readings
 from nearpass.session import stage, table
 
 EDGES = [0.0, 0.005, 0.01, 0.02, 0.03, 0.04, 0.05]
@@ -203,6 +204,13 @@ def long_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("pair_id", "lo", "hi").join(found, "pair_id").select("lo", "hi", "t_min_jd", "dist_au", "in_window")
 
 
+def noise_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Brightness of each source about 18 mag under a noise its transits share, and under a floor that explains it."""
+    rows = readings(spark, sf, "transit_id", "g_mag").select("source_id", "transit_id", (F.col("g_mag") - 18.0).alias("r"), (0.05 + (F.col("observation_id") % 3) * 0.01).alias("s"))
+    out = fits.noise_models(rows, "source_id", "transit_id", "r", "s", 0.3)
+    return out.select("source_id", "n", F.round("chi2_grouped", 4).alias("chi2"), ((F.abs(F.col("chi2_floored") - 1) < 1e-6) | ((F.col("floor") == 0) & (F.col("chi2_floored") <= 1))).alias("floored"))
+
+
 def event_gaps(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions of the published events of each perturber, a gap of a year starting a new one."""
     jd = parse_event_jd(F.col("event_date"))
@@ -214,7 +222,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         recall_by_band, missed_pairs, adverse_bodies, square_scaling, sigma_summaries, largest_corrections, mass_crosscheck, mass_catalog, detection_speeds,
-        coverage_flags, band_solutions, common_epochs, slice_window, row_counts, mass_formulas, z_scores, frame_turns, along_scan_errors, injection_recovery, long_baseline, event_gaps,
+        coverage_flags, band_solutions, common_epochs, slice_window, row_counts, mass_formulas, z_scores, frame_turns, along_scan_errors, injection_recovery, long_baseline, noise_models, event_gaps,
     )
 }
 
@@ -276,4 +284,7 @@ SELECT i AS observation_id, round(e * sin(radians(w)) + n * cos(radians(w)), 8)
   round(sqrt(greatest(a1 * a1 - pow(xy / a2, 2), 0)), 8) AS a, round(xy / a2, 8) AS b, round(a2, 8) AS c,
   round((a2 * a2 * e * e - 2 * xy * e * n + a1 * a1 * n * n) / greatest(a1 * a1 * a2 * a2 - xy * xy, 1e-12), 8) AS chi2 FROM t""",
     "injection_recovery": "SELECT true AS gate",
+    "noise_models": """WITH r AS (SELECT DISTINCT source_id, observation_id, epoch, transit_id, g_mag - 18 AS r, 0.05 + (observation_id % 3) * 0.01::DOUBLE AS s FROM sso_observation WHERE g_mag IS NOT NULL AND NOT isnan(g_mag)),
+g AS (SELECT source_id, transit_id, count(*) AS n, sum(r * r / (s * s)) AS a, sum(r / (s * s)) AS b, sum(1 / (s * s)) AS c FROM r WHERE transit_id IS NOT NULL AND source_id IS NOT NULL GROUP BY ALL)
+SELECT source_id, sum(n)::BIGINT AS n, round(sum(a - 0.09 * b * b / (1 + 0.09 * c)), 4) AS chi2, true AS floored FROM g GROUP BY 1""",
 }
