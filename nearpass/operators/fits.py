@@ -441,6 +441,33 @@ def transition_volume(bodies: DataFrame, key: str, days: float) -> DataFrame:
     return spread.mapInPandas(run, f"{key} int, volume double")
 
 
+def nbody_propagate(elements: DataFrame, ident: str, times: list[float], planets: tuple[str, ...] = tuple(PLANETS), step: float = 2.0, perturbers: tuple[Perturber, ...] = ()) -> DataFrame:
+    """``ident, step_idx, t_jd, x, y, z``: massless bodies at all times under the Sun, planets and asteroids of known mass.
+
+    Steps go out from the bodies' one common epoch both ways; other epochs, or times that don't rise, are an error.
+    Bodies don't feel each other, so any shard of them is integrated by itself.
+    """
+    if any(b <= a for a, b in zip(times, times[1:], strict=False)):
+        raise ValueError("the times must rise")
+    bodies = elements.select(F.col(ident).cast("bigint").alias(ident), *ORBIT, "epoch_jd").dropna()
+    low, high = bodies.agg(F.min("epoch_jd"), F.max("epoch_jd")).first()
+    if low != high:
+        raise ValueError("the bodies have different epochs")
+    t = np.array(times, float)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k in range(0, len(frame), 1000):
+                part = frame.iloc[k : k + 1000]
+                args = [part[c].to_numpy(float) for c in [*ORBIT, "epoch_jd"]]
+                path = integrate(elements_to_state(*args, args[-1]), float(low), t, acceleration(planets, perturbers), step).swapaxes(0, 1)[:, :, :3]
+                flat = path.reshape(-1, 3)
+                yield pd.DataFrame({ident: np.repeat(part[ident].to_numpy(), len(t)), "step_idx": np.tile(np.arange(len(t)), len(part)), "t_jd": np.tile(t, len(part)), "x": flat[:, 0], "y": flat[:, 1], "z": flat[:, 2]})
+
+    spread = bodies.repartition(shuffle_partitions(elements.sparkSession), ident)
+    return spread.mapInPandas(run, f"{ident} bigint, step_idx bigint, t_jd double, x double, y double, z double")
+
+
 def nbody_refine(pairs: DataFrame, ident: list[str], planets: tuple[str, ...] = GIANTS, window_days: float = 1.0, sample_days: float = 1.0 / 48) -> DataFrame:
     """Pairs (with both orbits, ``_i`` and ``_j``, and ``jd_tdb``) refined under planetary perturbations.
 

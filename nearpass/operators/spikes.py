@@ -423,12 +423,12 @@ def implausible_readings(df: DataFrame, rules: SpikeRules | None = None, source:
     ``times_scatter`` of its scatter), ``run`` (stuck value) and ``label`` (not the source's
     usual number; of equally usual ones the smaller). A reading may have several kinds and
     a repeated row counts once. Null and NaN values are no cases and end a run; rows without
-    source or reading id are left out, rows without time take part in range and label only.
+    source or reading id are left out, rows without a finite time take part in range and label only.
     """
     rules = rules or SpikeRules()
     named = df.select(F.col(source).cast("bigint").alias("source"), F.col(reading).cast("bigint").alias("reading"), F.col(profile).alias("profile"), F.col("epoch").cast("double").alias("epoch"), F.col("ra").cast("double").alias("ra"), F.col("dec").cast("double").alias("dec"), F.col(label).cast("double").alias("label"))
     named = named.where(F.col("source").isNotNull() & F.col("reading").isNotNull())
-    timed = F.col("epoch").isNotNull() & ~F.isnan("epoch")
+    timed = F.col("epoch").isNotNull() & (F.abs("epoch") < float("inf"))
     outside = ((F.col("ra") < 0) | (F.col("ra") >= 360)) & ~F.isnan("ra") | (F.abs("dec") > 90) & ~F.isnan("dec")
     untimed = named.where(~timed).where(outside).select("reading", F.lit("range").alias("kind"))
     # numbered partitions: merging them by bytes would leave the fits to a few tasks

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from nearpass.config import PipelineConfig
 from nearpass.operators import fits, validation
 from nearpass.operators.catalog import MAJOR_BODIES
-from nearpass.operators.detect import DetectRules, detect_encounters
+from nearpass.operators.detect import DetectRules, detect_encounters, propagate
 from nearpass.plans import detection
 from nearpass.plans.catalogue import raw
 from nearpass.plans.detection import END, SHORT, START, coarse_rules, current_elements
@@ -51,6 +51,18 @@ def nbody_unperturbed(spark: SparkSession, sf: str) -> DataFrame:
     return both.agg((F.avg((F.col("nbody_converged") & (F.col("dist_au_nbody") <= F.col("planted_au") + 2e-6)).cast("double")) >= 0.99).alias("gate"))
 
 
+def nbody_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies of the commonest epoch integrated over a month: without planets they stay on their two-body orbits, with all they leave them."""
+    elements = stage(current_elements(spark, sf), "bodies")
+    epoch = elements.groupBy("epoch_jd").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "epoch_jd").first().epoch_jd
+    bodies, times = elements.where(F.col("epoch_jd") == epoch), [START + 5.0 * k for k in range(7)]
+    places = [propagate(bodies, "number", START, START + 30.0, 5.0), fits.nbody_propagate(bodies, "number", times, ()), fits.nbody_propagate(bodies, "number", times)]
+    kepler, free, full = (p.select("number", "step_idx", F.array("x", "y", "z").alias(n)) for p, n in zip(places, ("k", "f", "p"), strict=True))
+    both = kepler.join(free, ["number", "step_idx"]).join(full, ["number", "step_idx"])
+    gap = lambda a, b: F.max(F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda x, y: F.greatest(x, y)))
+    return both.groupBy("number").agg((gap("k", "f") < 1e-6).alias("free"), (gap("k", "p") > 0).alias("moved"))
+
+
 def mass_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Masses planted into the motion of two close targets each come back from the targets' directions."""
     masses = fits.planted_mass_fits(current_elements(spark, sf).where(F.col("number").isin(*MAJOR_BODIES)), "number", 1e-10)
@@ -111,12 +123,13 @@ def report(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (blind_detection, nbody_unperturbed, mass_fit, encounter_blocks, encounter_listed, characterized_streamed, sessions_streamed, json_folder, report)
+    for f in (blind_detection, nbody_unperturbed, nbody_grid, mass_fit, encounter_blocks, encounter_listed, characterized_streamed, sessions_streamed, json_folder, report)
 }
 
 SQL = {
     "blind_detection": "SELECT true AS gate",
     "nbody_unperturbed": "SELECT true AS gate",
+    "nbody_grid": f"WITH {detection.ELEMENTS_SQL} SELECT number::BIGINT AS number, true AS free, true AS moved FROM els WHERE epoch_jd = (SELECT epoch_jd FROM els GROUP BY 1 ORDER BY count(*) DESC, epoch_jd LIMIT 1)",
     "mass_fit": f"WITH {detection.ELEMENTS_SQL} SELECT number, true AS recovered FROM els WHERE number IN (1, 2, 4, 10)",
     "encounter_blocks": detection.SQL["encounter_detect"],
     "encounter_listed": f"{detection.SQL['encounter_detect']} JOIN els a ON a.number = idx_i JOIN els b ON b.number = idx_j WHERE abs(a.a_au - b.a_au) <= 0.5 AND abs(a.i_deg - b.i_deg) <= 30".replace("SELECT * FROM best", "SELECT best.* FROM best"),

@@ -207,3 +207,15 @@ def test_variations_agree_with_differences():
     want = (path(state, 2e-10) - path(state, 0.0)) / 2e-10
     assert np.abs(by_gm - want).max() < 1e-4 * np.abs(by_gm).max()
     assert np.abs(np.linalg.det(by_state) - 1).max() < 1e-8
+
+
+def test_integration_over_a_grid_checks_its_input(spark):
+    row = (1, 2.4, 0.1, 5.0, 40.0, 70.0, 10.0, 2457000.5)
+    schema = "number int, a_au double, ecc double, i_deg double, node_deg double, argperi_deg double, mean_anomaly_deg double, epoch_jd double"
+    one = spark.createDataFrame([row, (2, *row[1:])], schema)
+    out = fits.nbody_propagate(one, "number", [2456990.5, 2457000.5, 2457010.5]).toPandas()
+    assert len(out) == 6 and np.isfinite(out[["x", "y", "z"]].to_numpy()).all()
+    with pytest.raises(ValueError, match="rise"):
+        fits.nbody_propagate(one, "number", [2.0, 1.0])
+    with pytest.raises(ValueError, match="epochs"):
+        fits.nbody_propagate(one.unionByName(spark.createDataFrame([(*row[:7], 2457001.5)], schema)), "number", [2457010.5])
