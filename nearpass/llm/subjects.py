@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearpass.llm.leakage import word_codes
-from nearpass.llm.words import joined, split_sentences, word_runs
+from nearpass.llm.words import SENTENCE_END, joined, marked_words, split_sentences, word_runs
 from nearpass.session import broadcast_if_small, spread, stage
 
 #: Word codes worked on at once.
@@ -60,8 +60,10 @@ def _find(table: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _together(sentence: np.ndarray, item: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Smaller item, larger item and sentence of every two items of a sentence, by their distance in its order."""
-    order = np.lexsort((item, sentence))
-    sentence, item = sentence[order], item[order]
+    if not len(item):
+        return
+    width = int(item.max()) + 1
+    sentence, item = np.divmod(np.sort(sentence.astype(np.int64) * width + item), width)
     start = np.arange(len(item))
     for step in range(1, len(item)):
         start = start[start + step < len(item)]
@@ -73,6 +75,34 @@ def _together(sentence: np.ndarray, item: np.ndarray) -> Iterator[tuple[np.ndarr
             yield item[some], item[some + step], sentence[some]
 
 
+class _Counts:
+    """How often each number was added; batches are counted by themselves and merged now and then."""
+
+    def __init__(self) -> None:
+        self.keys, self.n, self.loose = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+    def __len__(self) -> int:
+        self._merge()
+        return len(self.keys[0])
+
+    def add(self, keys: np.ndarray) -> None:
+        at, distinct = pd.factorize(keys)
+        self.keys.append(distinct)
+        self.n.append(np.bincount(at, minlength=len(distinct)))
+        self.loose += len(distinct)
+        if self.loose > CHUNK_CODES:
+            self._merge()
+
+    def _merge(self) -> None:
+        at, distinct = pd.factorize(np.concatenate(self.keys))
+        self.n = [np.bincount(at, np.concatenate(self.n), len(distinct)).astype(np.int64)]
+        self.keys, self.loose = [distinct], 0
+
+    def rows(self, labels: int) -> pd.DataFrame:
+        self._merge()
+        return pd.DataFrame({"pair": self.keys[0] // labels, "label": self.keys[0] % labels, "n": self.n[0]})
+
+
 @dataclass
 class RuleModel:
     """Rules by the code of a word or of two, and the logistic map from evidence to probability."""
@@ -125,6 +155,33 @@ def sentence_items(text: str | None) -> list[set[str]]:
     return [items for s in split_sentences(plain) if (items := set(word_runs(s)))]
 
 
+def coded_texts(texts: list[str], known: dict[str, int]) -> tuple[list[bytes], list[bytes]]:
+    """For each text the numbers of distinct words in its sentences (int32) and the codes of these words (uint64).
+
+    The words are those of ``sentence_items``; all texts are cut up together.
+    """
+    known[SENTENCE_END] = 0
+    tokens: list[str] = []
+    ends = []
+    for text in texts:
+        plain = joined(text)
+        plain = plain.lower() if plain.isascii() else unicodedata.normalize("NFKC", plain).casefold()
+        tokens += marked_words(plain)
+        tokens.append(SENTENCE_END)
+        ends.append(len(tokens))
+    codes = word_codes(tokens, known)
+    sentence = np.cumsum(codes == 0)
+    number, distinct = pd.factorize(codes)
+    fresh = ~pd.Series(sentence * len(distinct) + number).duplicated().to_numpy() & (codes != 0)
+    doc = np.searchsorted(np.array(ends), np.flatnonzero(fresh), side="right")
+    codes, sentence = codes[fresh], sentence[fresh]
+    first = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]]) if len(codes) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[first, len(codes)]).astype(np.int32)
+    of_codes, of_sizes = (np.searchsorted(d, np.arange(len(texts) + 1)).tolist() for d in (doc, doc[first]))
+    cut = lambda x, at: [x[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+    return cut(sizes, of_sizes), cut(codes, of_codes)
+
+
 def coded_documents(documents: DataFrame) -> DataFrame:
     """Staged ``doc_id, sizes, codes``: how many words each sentence has, and 64-bit codes of these words.
 
@@ -134,14 +191,13 @@ def coded_documents(documents: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         for frame in frames:
-            sizes, codes = [], []
-            for text in frame["text"]:
-                items = sentence_items(text)
-                sizes.append(np.array([len(i) for i in items], np.int32).tobytes())
-                codes.append(word_codes([w for i in items for w in i], known).tobytes())
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "sizes": sizes, "codes": codes})
-            if len(known) > 500_000:
-                known.clear()
+            weight = np.cumsum([len(t) for t in frame["text"]]) // CHUNK_CODES
+            for part in np.split(np.arange(len(frame)), np.flatnonzero(np.diff(weight)) + 1):
+                rows = frame.iloc[part]
+                sizes, codes = coded_texts(rows["text"].tolist(), known)
+                yield pd.DataFrame({"doc_id": rows["doc_id"], "sizes": sizes, "codes": codes})
+                if len(known) > 500_000:
+                    known.clear()
 
     texts = spread(documents.select("doc_id", "text"), "doc_id").where("doc_id IS NOT NULL AND text IS NOT NULL")
     return stage(texts.mapInPandas(run, _CODED), "sentences")
@@ -234,14 +290,18 @@ def _mine(coded: DataFrame, labeller: Labeller, classes: list[str], rules: Subje
     joint = {(int(w),): (int(c), int(n)) for w, c, n in zip(words, telling["label"], telling["n"], strict=True) if n >= least}
 
     def count_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = _Counts()
         for batch in _batches(frames):
             hit, at = _find(words, batch.codes)
             if not len(hit):
                 continue
             label = labeller(batch)
             for a, b, where in _together(batch.sentence[hit], at):
-                at_key, keys = pd.factorize((a * len(words) + b) * (none + 1) + label[where])
-                yield pd.DataFrame({"pair": keys // (none + 1), "label": keys % (none + 1), "n": np.bincount(at_key, minlength=len(keys))})
+                held.add((a * len(words) + b) * (none + 1) + label[where])
+            if len(held) > CHUNK_CODES:
+                yield held.rows(none + 1)
+                held = _Counts()
+        yield held.rows(none + 1)
 
     if rules.words > 1 and len(words):
         met = coded.mapInPandas(count_pairs, "pair bigint, label bigint, n bigint").groupBy("pair", "label").agg(F.sum("n").alias("n"))

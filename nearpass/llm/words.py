@@ -9,6 +9,9 @@ _INVISIBLE = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]")
 _BREAK_HYPHEN = re.compile("[-‐‑](?:\r\n|[\n\r\x0b\x0c\x85  ])")
 _WORD = re.compile(r"[^\W_]+")
 _END = re.compile(r"(?<=[.?!])[\"'”’»)\]]*\s+|\n\s*\n")
+#: No text holds a lone surrogate.
+SENTENCE_END = "\ud800"
+_MARKED = re.compile(r"[^\W_]+|\ud800")
 
 
 def joined(text: str) -> str:
@@ -28,6 +31,11 @@ def words(text: str | None) -> list[str]:
     return word_runs(unicodedata.normalize("NFKC", joined(text)).casefold())
 
 
+def marked_words(plain: str) -> list[str]:
+    """``word_runs`` with a mark wherever ``split_sentences`` cuts."""
+    return _MARKED.findall(_END.sub(SENTENCE_END, plain))
+
+
 def split_sentences(plain: str) -> list[str]:
     """Pieces that end in a full stop, question or exclamation mark, or at an empty line."""
     return [s for s in _END.split(plain) if s and not s.isspace()]

@@ -5,7 +5,7 @@ import pytest
 
 from nearpass.llm.leakage import LeakRules, _edits, cgk_keys, leaked_items, word_codes
 from nearpass.llm.packing import PackRules, pack_documents, pack_sizes, packed_corpus, tier_of, token_counts, utilisation, with_step_groups
-from nearpass.llm.subjects import SubjectRules, coded_documents, document_subjects, fit_subjects, sentence_items
+from nearpass.llm.subjects import SubjectRules, coded_documents, coded_texts, document_subjects, fit_subjects, sentence_items
 from nearpass.llm.words import split_sentences, words
 
 DOCS = "doc_id long, text string, edits string, part long"
@@ -19,6 +19,18 @@ def test_words():
     assert len(sentence_items("A b. ... C?")) == 2
 
 
+def test_texts_cut_up_together_are_those_cut_up_alone():
+    texts = ["One is 2.5 long. Two one! ...\n\nTwo two?", "", "...", "Gavr-\naxa isn't ﬁne. STRASSE\x00 straße", "x" * 100_000, "a. " * 1000, "¿Qué? ¡Sí!"]
+    sizes, codes = coded_texts(texts, {})
+    for text, size, code in zip(texts, sizes, codes, strict=True):
+        items = sentence_items(text)
+        assert np.frombuffer(size, np.int32).tolist() == [len(i) for i in items]
+        at = np.r_[0, np.cumsum(np.frombuffer(size, np.int32))].astype(int)
+        mine = np.frombuffer(code, np.uint64)
+        assert [sorted(mine[a:b].tolist()) for a, b in zip(at, at[1:], strict=False)] == [sorted(word_codes(sorted(i), {}).tolist()) for i in items]
+    assert coded_texts([], {}) == ([], [])
+
+
 # packing
 
 
