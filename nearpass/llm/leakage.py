@@ -93,13 +93,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def word_codes(tokens: list[str], known: dict[str, int]) -> np.ndarray:
     """64-bit hashes of words, kept in ``known``."""
-    get = known.get
-    out = [get(t) for t in tokens]
-    if None in out:
-        for i, t in enumerate(tokens):
-            if out[i] is None:
-                out[i] = known[t] = xxhash.xxh64_intdigest(t) >> 1
-    return np.array(out, dtype=np.uint64)
+    for t in set(tokens).difference(known):
+        known[t] = xxhash.xxh64_intdigest(t) >> 1
+    return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
 
 
 def cgk_keys(codes: np.ndarray, starts: np.ndarray, rules: LeakRules, repetition: int) -> np.ndarray:

@@ -11,6 +11,7 @@ _WORD = re.compile(r"[^\W_]+")
 _END = re.compile(r"(?<=[.?!])[\"'”’»)\]]*\s+|\n\s*\n")
 #: No text holds a lone surrogate.
 SENTENCE_END = "\ud800"
+_END_MARK = re.compile(r"[.?!][\"'”’»)\]]*\s+|\n\s*\n")
 _MARKED = re.compile(r"[^\W_]+|\ud800")
 
 
@@ -33,7 +34,7 @@ def words(text: str | None) -> list[str]:
 
 def marked_words(plain: str) -> list[str]:
     """``word_runs`` with a mark wherever ``split_sentences`` cuts."""
-    return _MARKED.findall(_END.sub(SENTENCE_END, plain))
+    return _MARKED.findall(_END_MARK.sub(SENTENCE_END, plain))
 
 
 def split_sentences(plain: str) -> list[str]:
