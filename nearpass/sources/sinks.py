@@ -78,13 +78,15 @@ def write_chunks(chunks: DataFrame, results: DataFrame, path: str) -> None:
     rows is entered as well and isn't tried again.
     """
     spark = chunks.sparkSession
+    results.limit(0).coalesce(1).write.mode("ignore").parquet(f"{path}/schema")  # units without any row leave no other file
     todo = chunks.select("chunk_id").distinct().join(done_chunks(spark, path), "chunk_id", "left_anti")
     results.join(todo, "chunk_id", "left_semi").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_id").parquet(f"{path}/rows")
     todo.write.mode("append").parquet(f"{path}/manifest")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/rows").join(done_chunks(spark, path), "chunk_id", "left_semi")
+    schema = spark.read.parquet(f"{path}/schema").schema
+    return spark.read.schema(schema).parquet(f"{path}/rows").join(done_chunks(spark, path), "chunk_id", "left_semi")
 
 
 def markdown(df: DataFrame, limit: int = 50) -> str:
