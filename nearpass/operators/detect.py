@@ -10,13 +10,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearpass.functions.kepler import positions
+from nearpass.functions.kepler import GAUSS_K, positions, tracks
 from nearpass.functions.physics import AU_KM, DAY_S
-from nearpass.operators.spatial import min_per_pair, prefilter, radial_overlap, radius_self_join
-from nearpass.session import is_small, shuffle_partitions, stage
+from nearpass.operators.spatial import min_per_pair, rows_within
+from nearpass.session import is_small, shuffle_partitions
 
 ORBIT = ["a_au", "ecc", "i_deg", "node_deg", "argperi_deg", "mean_anomaly_deg", "epoch_jd"]
 RECENTRES = 4
+#: Sectors of longitude that a scan is cut into; more than two.
+SECTORS = 12
+#: Places searched at a time, and rows of pairs at which minima are taken in between.
+SCAN_ROWS, FOUND_ROWS = 200_000, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -92,22 +96,125 @@ def propagate(elements: DataFrame, ident: str, start_jd: float, end_jd: float, s
     return elements.select(F.col(ident).cast("bigint").alias(ident), *ORBIT).dropna().mapInPandas(run, schema)
 
 
+def sectors_met(orbits: list[np.ndarray], start_jd: float, end_jd: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """First sector of ecliptic longitude and number of sectors in which bodies, or places within ``reach`` of them, stand from start to end.
+
+    Longitude runs one way along an orbit, so its two ends tell the range; where they may not, all sectors count.
+    """
+    a, ecc, tilt = orbits[0], orbits[1], np.cos(np.radians(orbits[2]))
+    width = 2 * np.pi / SECTORS
+    with np.errstate(all="ignore"):
+        ends = positions(*[c[:, None] for c in orbits], np.array([start_jd, end_jd]))
+        lon = np.arctan2(ends[..., 1], ends[..., 0])
+        rho = a * (1.0 - ecc) * np.abs(tilt)
+        side = np.arcsin(reach / rho) + 1e-6
+        low = np.where(tilt > 0, lon[:, 0], lon[:, 1]) - side
+        high = low + np.mod(np.sign(tilt) * (lon[:, 1] - lon[:, 0]), 2 * np.pi) + 2 * side
+        first = np.floor(low / width)
+        many = np.floor(high / width) - first + 1
+        plain = (ecc <= 0.999999) & (rho > 1.001 * reach) & (end_jd - start_jd < 0.999 * 2 * np.pi / GAUSS_K * a**1.5) & (many < SECTORS)
+    return np.where(plain, first, 0).astype(int) % SECTORS, np.where(plain, many, SECTORS).astype(int)
+
+
+def _whole_parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``part``, one part at a time."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        for part, rows in frame.groupby("part"):
+            if held and held[0]["part"].iloc[0] != part:
+                yield pd.concat(held)
+                held = []
+            held.append(rows)
+    if held:
+        yield pd.concat(held)
+
+
+def _least(key: np.ndarray, dist: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once with its smallest distance and the first step of it."""
+    order = np.argsort(key)
+    key, dist, step = key[order], dist[order], step[order]
+    heads = np.flatnonzero(np.diff(key, prepend=-1))
+    if not len(heads):
+        return key, dist, step
+    low = np.minimum.reduceat(dist, heads)
+    first = np.where(dist == np.repeat(low, np.diff(heads, append=len(key))), step, np.iinfo(step.dtype).max)
+    return key[heads], low, np.minimum.reduceat(first, heads)
+
+
+def _scan_part(rows: pd.DataFrame, ident: str, t: np.ndarray, per_part: int, rules: DetectRules) -> Iterator[pd.DataFrame]:
+    """Smallest coarse distance of each pair in one part: some steps of one sector. A pair is met where its smaller id stands."""
+    block, sector = divmod(int(rows["part"].iloc[0]), SECTORS)
+    orbits = [rows[c].to_numpy(float) for c in ORBIT]
+    names, code = np.unique(rows[ident].to_numpy(), return_inverse=True)
+    a, ecc, i_deg = orbits[:3]
+    edges = 2 * np.pi / SECTORS * np.array([sector, (sector + 1) % SECTORS])
+    radius, size = rules.query_radius(), len(rows)
+    last = min(len(t), (block + 1) * per_part)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def pairs(key: np.ndarray, dist: np.ndarray, step: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"idx_i": names[key // len(names)], "idx_j": names[key % len(names)], "t_coarse_jd": t[step], "d_coarse_au": dist})
+
+    for k in range(block * per_part, last, max(1, SCAN_ROWS // size)):
+        steps = np.arange(k, min(last, k + max(1, SCAN_ROWS // size)))
+        with np.errstate(all="ignore"):
+            xyz = tracks(orbits, t[steps]).reshape(-1, 3)
+            xyz = xyz if rules.decimals is None else np.round(xyz, rules.decimals)
+            before, after = (xyz[:, 1] * np.cos(e) - xyz[:, 0] * np.sin(e) for e in edges)
+            at = np.flatnonzero((before >= -radius - 1e-6) & (after <= radius + 1e-6) & np.isfinite(xyz).all(1))
+        step, body = at // size, at % size
+        p, q, dist = rows_within(step, *(np.ascontiguousarray(xyz[at, d]) for d in range(3)), radius)
+        home = ((before >= 0) & (after < 0))[at]
+        swap = code[body[p]] > code[body[q]]
+        p, q = np.where(swap, q, p), np.where(swap, p, q)
+        i, j = body[p], body[q]
+        keep = home[p] & (code[i] != code[j])
+        if rules.max_da is not None:
+            keep &= (np.abs(a[i] - a[j]) <= rules.max_da) & (np.abs(i_deg[i] - i_deg[j]) <= (rules.max_di or 180.0))
+        if rules.radial:
+            keep &= (a[i] * (1 - ecc[i]) - rules.threshold_au <= a[j] * (1 + ecc[j])) & (a[j] * (1 - ecc[j]) - rules.threshold_au <= a[i] * (1 + ecc[i]))
+        p, i, j, dist = p[keep], i[keep], j[keep], dist[keep]
+        if rules.decimals:
+            dist = np.floor(dist * 10.0 ** (rules.decimals - 1) + 0.5) / 10.0 ** (rules.decimals - 1)
+        found.append((code[i].astype(np.int64) * len(names) + code[j], dist, steps[step[p]]))
+        if sum(len(f[0]) for f in found) > FOUND_ROWS:
+            found = [_least(*(np.concatenate(c) for c in zip(*found, strict=True)))]
+            if len(found[0][0]) > FOUND_ROWS // 2:  # minima so far; the rest of the pair's come later
+                yield pairs(*found.pop())
+    if found:
+        yield pairs(*_least(*(np.concatenate(c) for c in zip(*found, strict=True))))
+
+
 def scan(elements: DataFrame, ident: str, start_jd: float, end_jd: float, rules: DetectRules) -> DataFrame:
     """Candidates ``idx_i, idx_j, t_coarse_jd, d_coarse_au``: closest coarse step of each pair within the query radius.
 
-    The orbital filters (``max_da`` with ``max_di``, ``radial``) need elements that the trajectories carry
-    along for them, so pairs fall before their minimum is taken and shuffled.
+    Bodies go to the parts, some steps of one sector of longitude, that they or places within the radius of them
+    reach; a part makes its own trajectories and sends on one row a pair. The orbital filters (``max_da`` with
+    ``max_di``, ``radial``) are applied there, before the minimum.
     """
-    carry = [*(["a_au"] if rules.max_da is not None or rules.radial else []), *(["i_deg"] if rules.max_da is not None else []), *(["ecc"] if rules.radial else [])]
-    # both sides of the self-join read the written trajectories; a lazy plan would propagate twice
-    places = stage(propagate(elements.repartition(shuffle_partitions(elements.sparkSession), ident), ident, start_jd, end_jd, rules.coarse_days, rules.decimals, carry), "trajectories")
-    near = radius_self_join(places, ident, ["x", "y", "z"], rules.query_radius(), by=["step_idx"], keep=["t_jd", *carry])
-    if rules.max_da is not None:
-        near = near.where(prefilter(F.col("a_au_i"), F.col("a_au_j"), F.col("i_deg_i"), F.col("i_deg_j"), rules.max_da, rules.max_di or 180.0))
-    if rules.radial:
-        reach = lambda s: (F.col(f"a_au_{s}") * (1 - F.col(f"ecc_{s}")), F.col(f"a_au_{s}") * (1 + F.col(f"ecc_{s}")))
-        near = near.where(radial_overlap(*reach("i"), *reach("j"), rules.threshold_au))
-    near = near.select("idx_i", "idx_j", F.col("t_jd_i").alias("t_coarse_jd"), (F.round("dist", rules.decimals - 1) if rules.decimals else F.col("dist")).alias("d_coarse_au"))
+    n = max(0, int(np.ceil((end_jd + 0.5 * rules.coarse_days - start_jd) / rules.coarse_days - 1e-9)))
+    t = start_jd + np.arange(n) * rules.coarse_days
+    per_part = max(1, min(128, int(64.0 / rules.coarse_days)))
+    parts = -(-n // per_part) * SECTORS
+    radius = rules.query_radius()
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            orbits = [frame[c].to_numpy(float) for c in ORBIT]
+            for block, k in enumerate(range(0, n, per_part)):
+                first, many = sectors_met(orbits, t[k], t[min(n, k + per_part) - 1], radius)
+                rows = np.repeat(np.arange(len(frame)), many)
+                turn = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
+                yield frame.iloc[rows].assign(part=block * SECTORS + (first[rows] + turn) % SECTORS)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_parts(frames):
+            yield from _scan_part(rows, ident, t, per_part, rules)
+
+    spread = shuffle_partitions(elements.sparkSession)
+    bodies = elements.select(F.col(ident).cast("bigint").alias(ident), *[F.col(c).cast("double").alias(c) for c in ORBIT]).dropna().repartition(spread, ident)
+    dealt = bodies.mapInPandas(deal, ", ".join([f"{ident} bigint", *[f"{c} double" for c in ORBIT], "part int"]))
+    near = dealt.repartition(max(1, min(parts, 8 * spread)), "part").sortWithinPartitions("part").mapInPandas(run, "idx_i bigint, idx_j bigint, t_coarse_jd double, d_coarse_au double")
     return min_per_pair(near, ["idx_i", "idx_j"], "d_coarse_au", "t_coarse_jd")
 
 

@@ -2,10 +2,39 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def rows_within(step: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers ``p, q`` and distance of finite places of equal ``step`` at most ``radius`` apart, each pair once.
+
+    Rows are sorted by step, column of edge ``radius`` and height; a row's partners stand in five runs of that order,
+    above it in its own column and within the radius in four neighbours. Columns repeat every 4096 and heights
+    end at 1000 radii: beyond, rows meet that the distance then parts. A step has at most 19 bits.
+    """
+    cx, cy = (np.mod(np.floor(c / radius), 4096.0).astype(np.int64) for c in (x, y))
+    height = ((np.clip(z / radius, -1000.0, 1000.0) + 1024.0) * 256.0).astype(np.int64)
+    step = step.astype(np.int64) << 24
+    key = (step + (cx << 12) + cy << 20) + height
+    order = np.argsort(key)
+    key, step, cx, cy, height, x, y, z = (c[order] for c in (key, step, cx, cy, height, x, y, z))
+    rows = np.arange(len(key))
+    out = []
+    for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)):
+        middle = key if dx == dy == 0 else (step + ((cx + dx & 4095) << 12) + (cy + dy & 4095) << 20) + height
+        low = rows + 1 if dx == dy == 0 else np.searchsorted(key, middle - 257)
+        many = np.searchsorted(key, middle + 257, "right") - low
+        p = np.repeat(rows, many)
+        q = np.arange(len(p)) + np.repeat(low - (np.cumsum(many) - many), many)
+        a, b, c = x[p] - x[q], y[p] - y[q], z[p] - z[q]
+        dist = np.sqrt(a * a + b * b + c * c)
+        near = np.flatnonzero(dist <= radius)
+        out.append((order[p[near]], order[q[near]], dist[near]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def radius_self_join(df: DataFrame, ident: str, dims: list[str], radius: float, by: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """``by..., idx_i, idx_j, dist`` of all pairs at most ``radius`` apart, each once with ``idx_i < idx_j``.
 

@@ -24,7 +24,7 @@ SHORT = Window(START, END)
 FULL = Window(2456863.5 + 67.184 / 86400, 2457901.5 + 69.184 / 86400)
 RADIUS = 0.05
 #: Positions that a block of time holds for each partition of the session's shuffles.
-BLOCK_ROWS = 500_000
+BLOCK_ROWS = 20_000_000
 _COLUMNS = ["designation", "h_mag", "g_slope", "epoch_jd", "mean_anomaly_deg", "argperi_deg", "node_deg", "i_deg", "ecc", "a_au"]
 
 
