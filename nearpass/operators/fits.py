@@ -17,6 +17,8 @@ from nearpass.session import shuffle_partitions, stage
 
 ORBIT = ["a_au", "ecc", "i_deg", "node_deg", "argperi_deg", "mean_anomaly_deg"]
 _EPS = np.radians(23.4392911)
+#: Steps of the numeric derivatives by the six elements.
+_SCALE = np.array([1e-7, 1e-7, 1e-5, 1e-5, 1e-5, 1e-5])
 
 
 @dataclass
@@ -149,6 +151,87 @@ def fit_orbit(seed: np.ndarray, epoch: float, t: np.ndarray, radec: np.ndarray,
     return fit, keep
 
 
+#: Observations, padded, that are fitted at a time.
+FIT_OBS = 60_000
+_FAILED = "SVD did not converge in Linear Least Squares"
+
+
+def _minimise(residual: Callable[[np.ndarray, np.ndarray], np.ndarray], x: np.ndarray, steps: int = 50, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``levenberg_marquardt`` of many bodies side by side, each with its own damping and end: x, covariance, chi-square, solved.
+
+    ``residual`` takes elements and the bodies they are of; a body that isn't solved has met no finite numbers.
+    """
+    n = len(x)
+    x, damp, good = x.copy(), np.full(n, 1e-3), np.ones(n, bool)
+    r = residual(x, np.arange(n))
+    chi2 = (r * r).sum(1)
+
+    def jacobian(who: np.ndarray) -> np.ndarray:
+        return np.stack([(residual(x[who] + d, who) - residual(x[who] - d, who)) / (2 * d.sum()) for d in np.diag(_SCALE)], 2)
+
+    left = np.arange(n)
+    for _ in range(steps):
+        j = jacobian(left)
+        h, g = j.swapaxes(1, 2) @ j, (j * r[left][:, :, None]).sum(1)
+        fine = np.isfinite(h).all((1, 2)) & np.isfinite(g).all(1)
+        good[left[~fine]] = False
+        left, h, g = left[fine], h[fine], g[fine]
+        diagonal = np.einsum("bii->bi", h) + 1e-30
+        tries, ended = np.arange(len(left)), np.ones(len(left), bool)
+        for _ in range(12):
+            who = left[tries]
+            normal = h[tries]
+            np.einsum("bii->bi", normal)[:] += damp[who, None] * diagonal[tries]
+            move = -(np.linalg.pinv(normal, 6 * np.finfo(float).eps, hermitian=True) @ g[tries][:, :, None])[:, :, 0]
+            trial = residual(x[who] + move, who)
+            now = (trial * trial).sum(1)
+            better = np.isfinite(trial).all(1) & (now <= chi2[who])
+            took, move, now = who[better], move[better], now[better]
+            gain = chi2[took] - now
+            x[took] += move
+            r[took], chi2[took], damp[took] = trial[better], now, np.maximum(damp[took] / 6, 1e-12)
+            ended[tries[better]] = (gain <= tol * np.maximum(now, 1e-300)) | (np.abs(move) <= tol * (np.abs(x[took]) + tol)).all(1)
+            tries = tries[~better]
+            damp[left[tries]] *= 4
+            if not len(tries):
+                break
+        left = left[~ended]
+        if not len(left):
+            break
+    j = jacobian(np.arange(n))
+    h = j.swapaxes(1, 2) @ j
+    good &= np.isfinite(h).all((1, 2))
+    return x, np.linalg.pinv(np.where(good[:, None, None], h, 0.0)), chi2, good
+
+
+def fit_orbits_together(seed: np.ndarray, epoch: np.ndarray, t: np.ndarray, radec: np.ndarray, observer: np.ndarray, seen: np.ndarray, sigma_mas: float, clip: float = 5.0, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``fit_orbit`` of many bodies with a row of observations each, padded where not ``seen``: elements, sigmas, reduced chi-square, kept, solved."""
+    n, most = t.shape
+
+    def offsets(p: np.ndarray, who: np.ndarray) -> np.ndarray:
+        places = positions(*(p[:, k, None] for k in range(6)), epoch[who, None], t[who]).reshape(-1, 3)
+        return (sky_residual_mas(radec[who].reshape(-1, 2), sky(places, observer[who].reshape(-1, 3))) / sigma_mas).reshape(len(who), most, 2)
+
+    x, keep = np.array(seed, float), seen.copy()
+    sigma, chi2_red, good = np.full((n, 6), np.nan), np.full(n, np.nan), np.ones(n, bool)
+    left = np.arange(n)
+    with np.errstate(all="ignore"):
+        for _ in range(5):
+            mine = lambda p, k: np.where(keep[left[k], :, None], offsets(p, left[k]), 0.0).reshape(len(k), -1)
+            x[left], covariance, chi2, fine = _minimise(mine, x[left])
+            good[left] = fine
+            sigma[left] = np.sqrt(np.clip(np.einsum("bii->bi", covariance), 0, None))
+            chi2_red[left] = chi2 / np.maximum(1, 2 * keep[left].sum(1) - 6)
+            left = left[fine]
+            now = seen[left] & (np.abs(offsets(x[left], left)).max(2) <= clip * np.maximum(1.0, np.sqrt(chi2_red[left]))[:, None])
+            again = (now.sum(1) >= least) & (now != keep[left]).any(1)
+            left = left[again]
+            keep[left] = now[again]
+            if not len(left):
+                break
+    return x, sigma, chi2_red, keep.sum(1), good
+
+
 def fit_mass(targets: list[dict], perturber: dict[str, float], gm0: float = 1e-14, planets: tuple[str, ...] = (), step: float = 2.0) -> Fit:
     """One perturber mass shared by all targets, each with its own six elements (1 + 6N unknowns).
 
@@ -288,7 +371,6 @@ def with_total_sigma(masses: DataFrame, mass: str, sigma: str, calibrators: Data
     return masses.withColumn("sigma_total", F.sqrt(F.pow(sigma, 2) + F.pow(F.coalesce(floor, F.lit(0.0)) * F.col(mass), 2)))
 
 
-_SCALE = np.array([1e-7, 1e-7, 1e-5, 1e-5, 1e-5, 1e-5])
 #: An observation is kept if its pull at these elements is within the limit.
 Rule = tuple[np.ndarray, float] | None
 #: Elements to evaluate at, the rule in force and one to compare with it; asked for by a fit in steps.
@@ -382,30 +464,49 @@ def _fit_spread(rows: DataFrame, key: str, sigma_mas: float) -> list[tuple]:
 def orbit_fits(observations: DataFrame, seeds: DataFrame, key: str, sigma_mas: float = 5.0, task_obs: int = 20_000) -> DataFrame:
     """``key``, six elements, their sigmas, reduced chi-square, observations kept and an error text.
 
-    Every observation counts. A body of up to ``task_obs`` observations is fitted in one task; of a larger one
+    Every observation counts. A body of up to ``task_obs`` observations is fitted in one task, many side by side; of a larger one
     the normal equations are summed over tasks in each step of the same fit. Failures are rows, not exceptions.
     """
     fields = ", ".join([*[f"{c} double" for c in ORBIT], *[f"sigma_{c} double" for c in ORBIT]])
     schema = f"{key} int, {fields}, chi2_red double, kept int, error string"
+    least = 8
+
+    def fitted_rows(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        head = np.flatnonzero(rows[key].ne(rows[key].shift()))
+        count = np.diff(head, append=len(rows))
+        values = rows[[*_OBSERVED, *ORBIT, "epoch_jd"]].to_numpy(float)
+        few = np.flatnonzero(count < least)
+        if len(few):
+            yield pd.DataFrame({key: rows[key].to_numpy()[head[few]], **dict.fromkeys([*ORBIT, *[f"sigma_{c}" for c in ORBIT], "chi2_red"]), "kept": 0, "error": [f"{k} observations; {least} are needed" for k in count[few]]})
+        enough = np.flatnonzero(count >= least)
+        enough = enough[np.argsort(count[enough], kind="stable")]
+        while len(enough):
+            size = max(1, int(np.searchsorted(np.arange(1, len(enough) + 1) * count[enough], FIT_OBS, "right")))
+            first, many, enough = head[enough[:size]], count[enough[:size]], enough[size:]
+            turn = np.arange(many.max())
+            seen = turn < many[:, None]
+            o = values[first[:, None] + np.where(seen, turn, 0)]
+            x, sigma, chi2_red, kept, good = fit_orbits_together(values[first, 6:12], values[first, 12], o[..., 0], o[..., 1:3], o[..., 3:6], seen, sigma_mas, least=least)
+            out = {**{c: x[:, k] for k, c in enumerate(ORBIT)}, **{f"sigma_{c}": sigma[:, k] for k, c in enumerate(ORBIT)}, "chi2_red": chi2_red}
+            yield pd.DataFrame({key: rows[key].to_numpy()[first], **{c: np.where(good, v, None) for c, v in out.items()}, "kept": np.where(good, kept, 0), "error": np.where(good, None, _FAILED)})
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ident = rows[key].iloc[0]
-        rows = rows.sort_values("jd")
-        out: dict[str, object] = {key: [ident], **{c: [None] for c in ORBIT}, **{f"sigma_{c}": [None] for c in ORBIT}, "chi2_red": [None], "kept": [0], "error": [None]}
-        try:
-            seed = rows[ORBIT].iloc[0].to_numpy(float)
-            fit, keep = fit_orbit(seed, float(rows["epoch_jd"].iloc[0]), rows["jd"].to_numpy(float), rows[["ra", "dec"]].to_numpy(float), rows[["x_gaia", "y_gaia", "z_gaia"]].to_numpy(float), np.full(len(rows), sigma_mas))
-            out |= {c: [v] for c, v in zip(ORBIT, fit.x, strict=True)} | {f"sigma_{c}": [v] for c, v in zip(ORBIT, fit.sigma, strict=True)}
-            out |= {"chi2_red": [fit.chi2 / fit.dof], "kept": [int(keep.sum())]}
-        except (ValueError, np.linalg.LinAlgError) as error:
-            out["error"] = [str(error)[:200]]
-        return pd.DataFrame(out)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            held.append(frame)
+            if sum(map(len, held)) >= 2 * FIT_OBS:
+                rows = pd.concat(held, ignore_index=True)
+                whole = (rows[key] != rows[key].iloc[-1]).to_numpy()  # the last body may go on
+                yield from fitted_rows(rows[whole].reset_index(drop=True)) if whole.any() else ()
+                held = [rows[~whole]]
+        if held:
+            yield from fitted_rows(pd.concat(held, ignore_index=True))
 
     spark = observations.sparkSession
-    joined = observations.join(seeds.select(key, *ORBIT, "epoch_jd"), key)
-    large = [r[0] for r in joined.groupBy(key).count().where(F.col("count") > task_obs).select(key).collect()]  # at most a row per task_obs
+    large = [r[0] for r in observations.groupBy(key).count().where(F.col("count") > task_obs).select(key).collect()]  # at most a row per task_obs
+    joined = observations.join(seeds.select(key, *ORBIT, "epoch_jd"), key).select(key, *_OBSERVED, *ORBIT, "epoch_jd")
     small = joined.where(~F.col(key).isin(large)) if large else joined
-    fitted = small.repartition(shuffle_partitions(spark), key).groupBy(key).applyInPandas(run, schema)
+    fitted = small.repartition(shuffle_partitions(spark), key).sortWithinPartitions(key, "jd").mapInPandas(run, schema)
     return fitted.unionByName(spark.createDataFrame(_fit_spread(joined.where(F.col(key).isin(large)), key, sigma_mas), schema)) if large else fitted
 
 

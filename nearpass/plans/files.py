@@ -12,7 +12,7 @@ from nearpass.operators import fits, validation
 from nearpass.plans.catalogue import raw, refined
 from nearpass.plans.detection import ELEMENTS_SQL, current_elements
 from nearpass.schema import CATALOG
-from nearpass.session import list_files, stage, stage_folder, table, write_text
+from nearpass.session import list_files, shuffle_partitions, stage, stage_folder, table, write_text
 from nearpass.sources import elements as src
 from nearpass.sources import observations as obs
 from nearpass.sources import sinks
@@ -143,18 +143,14 @@ def resumable_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.done_chunks(spark, path).join(counted, "chunk_id", "left").select("chunk_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def _watched(spark: SparkSession, sf: str) -> DataFrame:
-    """Twelve directions of every current body without noise, and elements a little off as the seed."""
-    bodies = current_elements(spark, sf).where("a_au < 6")
-    return stage(fits.observed(bodies, "number", [2457200.5 + 31.0 * k for k in range(12)]), "watched")
-
-
 def orbit_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """Orbits fitted to noise-free directions of every body: they come back."""
-    watched = _watched(spark, sf)
-    nudged = current_elements(spark, sf).where("a_au < 6").select("number", (F.col("a_au") + 1e-5).alias("a_au"), (F.col("ecc") + 1e-6).alias("ecc"), (F.col("i_deg") + 1e-4).alias("i_deg"), "node_deg", "argperi_deg", (F.col("mean_anomaly_deg") + 1e-4).alias("mean_anomaly_deg"), "epoch_jd")
+    """Orbits fitted to twelve noise-free directions of every body, from elements a little off: they come back."""
+    true = stage(current_elements(spark, sf), "bodies")  # read by the directions, the seeds and the comparison
+    bodies = true.where("a_au < 6")
+    watched = stage(fits.observed(bodies.repartition(shuffle_partitions(spark), "number"), "number", [2457200.5 + 31.0 * k for k in range(12)]), "watched")
+    nudged = bodies.select("number", (F.col("a_au") + 1e-5).alias("a_au"), (F.col("ecc") + 1e-6).alias("ecc"), (F.col("i_deg") + 1e-4).alias("i_deg"), "node_deg", "argperi_deg", (F.col("mean_anomaly_deg") + 1e-4).alias("mean_anomaly_deg"), "epoch_jd")
     found = fits.orbit_fits(watched, nudged, "number")
-    true = current_elements(spark, sf).select(F.col("number").alias("_n"), *[F.col(c).alias(f"_{c}") for c in ("a_au", "ecc", "i_deg")])
+    true = true.select(F.col("number").alias("_n"), *[F.col(c).alias(f"_{c}") for c in ("a_au", "ecc", "i_deg")])
     near = (F.abs(F.col("a_au") - F.col("_a_au")) < 1e-6) & (F.abs(F.col("ecc") - F.col("_ecc")) < 1e-6) & (F.abs(F.col("i_deg") - F.col("_i_deg")) < 1e-5)
     return found.join(true, found["number"] == true["_n"]).select(F.col("number").cast("bigint").alias("number"), F.coalesce(near, F.lit(False)).alias("recovered"), "kept")
 
