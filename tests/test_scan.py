@@ -62,3 +62,19 @@ def test_minima_taken_in_between_are_the_same(monkeypatch):
     monkeypatch.setattr(detect, "SCAN_ROWS", 3000)
     monkeypatch.setattr(detect, "FOUND_ROWS", 50)
     assert len(once) > 100 and least().equals(once)
+
+
+def test_orbital_filters_take_pairs_before_their_minimum(spark):
+    rng = np.random.default_rng(12)
+    n = 300
+    rows = [(k + 1, *map(float, rng.uniform([2.0, 0, 0, 0, 0, 0], [2.6, 0.01, 3, 360, 360, 40])), 2457000.0) for k in range(n)]
+    elements = spark.createDataFrame([(*r[:4], 0.0, 0.0, *r[6:]) for r in rows], "number int, " + ", ".join(f"{c} double" for c in detect.ORBIT))
+    orbit = {r[0]: r[1:4] for r in rows}
+    pairs = lambda **changes: {(r.idx_i, r.idx_j): r.d_coarse_au for r in scan(elements, "number", 2457000.0, 2457020.0, DetectRules(threshold_au=0.02, v_max_km_s=200.0, decimals=9, **changes)).collect()}
+    staged, everything = list(session._STAGED), pairs()
+    ends = {k: (a * (1 - e) - 0.02, a * (1 + e)) for k, (a, e, _) in orbit.items()}
+    radial = {k: d for k, d in everything.items() if ends[k[0]][0] <= ends[k[1]][1] and ends[k[1]][0] <= ends[k[0]][1]}
+    close = {k: d for k, d in everything.items() if abs(orbit[k[0]][0] - orbit[k[1]][0]) <= 0.01 and abs(orbit[k[0]][2] - orbit[k[1]][2]) <= 1}
+    assert 0 < len(radial) < len(everything) and pairs(radial=True) == radial
+    assert 0 < len(close) < len(everything) and pairs(max_da=0.01, max_di=1.0) == close
+    assert session._STAGED == staged
