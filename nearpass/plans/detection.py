@@ -86,8 +86,8 @@ def encounter_radial_overlap(spark: SparkSession, sf: str, window: Window = SHOR
 
 def encounter_refine_vertex(spark: SparkSession, sf: str, window: Window = SHORT) -> DataFrame:
     """Parabola through the coarse minimum and its neighbours, for minima inside the grid."""
-    elements = current_elements(spark, sf, window)
-    pairs = detect(spark, sf, window).select("idx_i", "idx_j", "t_jd")
+    elements = stage(current_elements(spark, sf, window), "bodies")  # read by the scan and for both bodies of a pair
+    pairs = candidates(elements, coarse_rules(), window).select("idx_i", "idx_j", F.col("t_coarse_jd").alias("t_jd"))
     rows = three_steps(pairs, elements, "number", window.start_jd, window.end_jd, STEP)
     t, d = vertex(*[F.col(c) for c in ("t0", "t1", "t2", "d0", "d1", "d2")])
     return rows.select("idx_i", "idx_j", F.round(t, 5).alias("t_jd"), F.round(d, 7).alias("dist_au"))

@@ -8,6 +8,7 @@ from nearpass.functions.kepler import positions, tracks
 from nearpass.operators import detect
 from nearpass.operators.detect import DetectRules, scan
 from nearpass.operators.spatial import rows_within
+from nearpass.plans import detection
 
 
 def test_rows_within_equals_brute_force_also_far_out():
@@ -78,3 +79,8 @@ def test_orbital_filters_take_pairs_before_their_minimum(spark):
     assert 0 < len(radial) < len(everything) and pairs(radial=True) == radial
     assert 0 < len(close) < len(everything) and pairs(max_da=0.01, max_di=1.0) == close
     assert session._STAGED == staged
+
+
+def test_vertex_query_reads_the_elements_once(spark, sf):
+    out = detection.encounter_refine_vertex(spark, sf)
+    assert not any("elements.parquet" in f for f in out.inputFiles())
