@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearpass.functions.kepler import GAUSS_K, positions, tracks
+from nearpass.functions.kepler import GAUSS_K, HIGH_ECC, positions, tracks
 from nearpass.functions.physics import AU_KM, DAY_S
 from nearpass.operators.spatial import min_per_pair, rows_within
 from nearpass.session import is_small, shuffle_partitions
@@ -19,8 +19,10 @@ ORBIT = ["a_au", "ecc", "i_deg", "node_deg", "argperi_deg", "mean_anomaly_deg",
 RECENTRES = 4
 #: Sectors of longitude that a scan is cut into; more than two.
 SECTORS = 12
-#: Places searched at a time, and rows of pairs at which minima are taken in between.
-SCAN_ROWS, FOUND_ROWS = 200_000, 2_000_000
+#: Places searched and pairs followed at a time, and rows of pairs at which minima are taken in between.
+SCAN_ROWS, PAIR_ROWS, FOUND_ROWS = 50_000, 100_000, 2_000_000
+#: Coarse steps told from one search, and how much wider its radius may become for that.
+STRIDE, WIDEST = 16, 2.0
 
 
 @dataclass(frozen=True)
@@ -141,48 +143,146 @@ def _least(key: np.ndarray, dist: np.ndarray, step: np.ndarray) -> tuple[np.ndar
     return key[heads], low, np.minimum.reduceat(first, heads)
 
 
+def _close_steps(orbits: list[np.ndarray], t: np.ndarray, first: np.ndarray, stride: int, last: int, edges: np.ndarray, radius: float, slack: float, rank: np.ndarray) -> list[tuple[np.ndarray, ...]] | None:
+    """``i, j, dist, error, step`` of pairs in runs of ``stride`` steps from ``first``: the steps that may be their closest in the run.
+
+    Places are searched once a run, at its middle, as far as a pair that is near at one of its steps can stand apart
+    there; None if that is too far. ``dist`` follows from place, speed and pull in the middle and is true within ``error``.
+    The smaller body by ``rank`` stands in the sector, or may at some step of the run.
+    """
+    a, ecc = orbits[:2]
+    size, days = len(a), (t[1] - t[0] if len(t) > 1 else 0.0)
+    half = (stride - 1) / 2 * days
+    reach = radius + slack
+    with np.errstate(all="ignore"):
+        xyz = tracks(orbits, t[first] + half, stride > 1).reshape(len(first) * size, -1)
+        peri = a * (1.0 - ecc)
+        speed = GAUSS_K * np.sqrt((1.0 + ecc) / peri) if stride > 1 else np.zeros(size)  # the most on the orbit, as the next two
+        pull, wobble = ((GAUSS_K / peri) ** 2, 2.0 * GAUSS_K**2 * speed / peri**3) if stride > 1 else (speed, speed)
+        drift = np.tile(speed * half, len(first))
+        before, after = (xyz[:, 1] * np.cos(e) - xyz[:, 0] * np.sin(e) for e in edges)
+        at = np.flatnonzero((before >= -reach - drift - 1e-6) & (after <= reach + drift + 1e-6) & np.isfinite(xyz[:, :3]).all(1))
+    if not len(at):
+        return []
+    group, body = at // size, at % size
+    home = ((before >= -drift) & (after <= drift))[at]
+    x = [np.ascontiguousarray(xyz[at, k]) for k in range(3)]
+    steps = np.arange(stride)[:, None]
+    if stride > 1:
+        v = [np.ascontiguousarray(xyz[at, k]) for k in range(3, 6)]
+        rho = np.hypot(x[0], x[1])
+        inner = rho.min() - reach - 2.0 * speed.max() * half  # no place between a pair is nearer to the axis
+        if inner <= 0:
+            return None
+        turn, shear = GAUSS_K * rho**-1.5, 1.0 - half * GAUSS_K * inner**-1.5
+        own = np.sqrt((v[0] + turn * x[1]) ** 2 + (v[1] - turn * x[0]) ** 2 + v[2] ** 2)  # against circular motion, in which neighbours stay
+        own = (0.5 * reach + half * (own + 0.5 * half * pull.max())) / shear + 1e-6
+        if not (shear > 0 and 2.0 * own.max() <= WIDEST * reach):
+            return None
+        fall = -0.5 * GAUSS_K**2 * (x[0] ** 2 + x[1] ** 2 + x[2] ** 2) ** -1.5
+        pulls = [c * fall for c in x]
+        tau = steps * days - half
+        p, q, dist = rows_within(group, *x, 2.0 * own.max())
+        ok = np.flatnonzero(dist <= own[p] + own[q])
+        p, q, dist = p[ok], q[ok], dist[ok]
+    else:
+        p, q, dist = rows_within(group, *x, reach)
+    out = []
+    for k in range(0, len(p), PAIR_ROWS):
+        m, n, d = (c[k : k + PAIR_ROWS] for c in (p, q, dist))
+        same = np.zeros(len(m), bool)
+        if stride > 1:
+            gap, pace = ([c[m] - c[n] for c in s] for s in (x, v))
+            dots = lambda s, u: s[0] * u[0] + s[1] * u[1] + s[2] * u[2]
+            xv, vv = dots(gap, pace), dots(pace, pace)
+            when = np.clip(-xv / (vv + 1e-300), -half, half)
+            ok = np.flatnonzero(d * d + when * (2.0 * xv + when * vv) <= (reach + half * half * pull.max()) ** 2)
+            m, n, d, xv, vv, gap, pace = m[ok], n[ok], d[ok], xv[ok], vv[ok], [c[ok] for c in gap], [c[ok] for c in pace]
+            bend = [c[m] - c[n] for c in pulls]
+            same = (d == 0) & (vv == 0)
+            d = (((dots(bend, bend) * tau + 2.0 * dots(pace, bend)) * tau + vv + 2.0 * dots(gap, bend)) * tau + 2.0 * xv) * tau + d * d
+            d = np.sqrt(np.maximum(d, 0.0))
+        else:
+            d = d[None].copy()
+        swap = rank[body[m]] > rank[body[n]]
+        m, n = np.where(swap, n, m), np.where(swap, m, n)
+        i, j = body[m], body[n]
+        error = (wobble[i] + wobble[j]) * (half**3 / 6.0) + slack
+        d[first[group[m]] + steps >= last] = np.inf
+        near = (d <= np.minimum(d.min(0) + 2.0 * error, radius + error)) & home[m] & (rank[i] != rank[j])
+        near[1:, same] = False  # one orbit: its first step tells all
+        step, row = np.nonzero(near)
+        out.append((i[row], j[row], d[step, row], error[row], first[group[m[row]]] + step))
+    return out
+
+
 def _scan_part(rows: pd.DataFrame, ident: str, t: np.ndarray, per_part: int, rules: DetectRules) -> Iterator[pd.DataFrame]:
-    """Smallest coarse distance of each pair in one part: some steps of one sector. A pair is met where its smaller id stands."""
+    """Smallest coarse distance of each pair in one part: some steps of one sector. A pair is met where its smaller id stands,
+    in both parts while that one passes from one to the other.
+    """
     block, sector = divmod(int(rows["part"].iloc[0]), SECTORS)
     orbits = [rows[c].to_numpy(float) for c in ORBIT]
     names, code = np.unique(rows[ident].to_numpy(), return_inverse=True)
     a, ecc, i_deg = orbits[:3]
     edges = 2 * np.pi / SECTORS * np.array([sector, (sector + 1) % SECTORS])
     radius, size = rules.query_radius(), len(rows)
+    slack = 1e-8 + (0.0 if rules.decimals is None else 2.0 * 10.0 ** (1 - rules.decimals))
     last = min(len(t), (block + 1) * per_part)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    maybe: list[tuple[np.ndarray, ...]] = []
+    found: list[tuple[np.ndarray, ...]] = []
 
     def pairs(key: np.ndarray, dist: np.ndarray, step: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"idx_i": names[key // len(names)], "idx_j": names[key % len(names)], "t_coarse_jd": t[step], "d_coarse_au": dist})
 
-    for k in range(block * per_part, last, max(1, SCAN_ROWS // size)):
-        steps = np.arange(k, min(last, k + max(1, SCAN_ROWS // size)))
-        with np.errstate(all="ignore"):
-            xyz = tracks(orbits, t[steps]).reshape(-1, 3)
-            xyz = xyz if rules.decimals is None else np.round(xyz, rules.decimals)
-            before, after = (xyz[:, 1] * np.cos(e) - xyz[:, 0] * np.sin(e) for e in edges)
-            at = np.flatnonzero((before >= -radius - 1e-6) & (after <= radius + 1e-6) & np.isfinite(xyz).all(1))
-        step, body = at // size, at % size
-        p, q, dist = rows_within(step, *(np.ascontiguousarray(xyz[at, d]) for d in range(3)), radius)
-        home = ((before >= 0) & (after < 0))[at]
-        swap = code[body[p]] > code[body[q]]
-        p, q = np.where(swap, q, p), np.where(swap, p, q)
-        i, j = body[p], body[q]
-        keep = home[p] & (code[i] != code[j])
-        if rules.max_da is not None:
-            keep &= (np.abs(a[i] - a[j]) <= rules.max_da) & (np.abs(i_deg[i] - i_deg[j]) <= (rules.max_di or 180.0))
-        if rules.radial:
-            keep &= (a[i] * (1 - ecc[i]) - rules.threshold_au <= a[j] * (1 + ecc[j])) & (a[j] * (1 - ecc[j]) - rules.threshold_au <= a[i] * (1 + ecc[i]))
-        p, i, j, dist = p[keep], i[keep], j[keep], dist[keep]
-        if rules.decimals:
-            dist = np.floor(dist * 10.0 ** (rules.decimals - 1) + 0.5) / 10.0 ** (rules.decimals - 1)
-        found.append((code[i].astype(np.int64) * len(names) + code[j], dist, steps[step[p]]))
-        if sum(len(f[0]) for f in found) > FOUND_ROWS:
-            found = [_least(*(np.concatenate(c) for c in zip(*found, strict=True)))]
-            if len(found[0][0]) > FOUND_ROWS // 2:  # minima so far; the rest of the pair's come later
-                yield pairs(*found.pop())
+    def settle() -> None:
+        """Distances of the steps that may be a pair's closest, from the places themselves."""
+        i, j, dist, error, step = (np.concatenate(c) for c in zip(*maybe, strict=True))
+        maybe.clear()
+        key = code[i].astype(np.int64) * len(names) + code[j]
+        order = np.argsort(key)
+        heads = np.flatnonzero(np.diff(key[order], prepend=-1))
+        if len(heads):
+            most = np.minimum.reduceat((dist + error)[order], heads)
+            order = order[(dist - error)[order] <= np.repeat(most, np.diff(heads, append=len(key)))]
+        for k in range(0, len(order), SCAN_ROWS):
+            at = order[k : k + SCAN_ROWS]
+            with np.errstate(all="ignore"):
+                here, there = (positions(*[c[s[at]] for c in orbits], t[step[at]]) for s in (i, j))
+            if rules.decimals is not None:
+                here, there = np.round(here, rules.decimals), np.round(there, rules.decimals)
+            x, y, z = (here - there).T
+            exact = np.sqrt(x * x + y * y + z * z)
+            at, exact = at[exact <= radius], exact[exact <= radius]
+            if rules.decimals:
+                exact = np.floor(exact * 10.0 ** (rules.decimals - 1) + 0.5) / 10.0 ** (rules.decimals - 1)
+            found.append((key[at], exact, step[at]))
+        if found:
+            found[:] = [_least(*(np.concatenate(c) for c in zip(*found, strict=True)))]
+
+    k, stride = block * per_part, STRIDE if ((a > 0) & (ecc >= 0) & (ecc < HIGH_ECC)).all() else 1
+    while k < last:
+        first = np.arange(k, last, stride)[: max(1, SCAN_ROWS // size)]
+        near = _close_steps(orbits, t, first, stride, last, edges, radius, slack, code)
+        if near is None:
+            stride //= 2
+            continue
+        k = first[-1] + stride
+        for part in near:
+            i, j = part[:2]
+            keep = np.ones(len(i), bool)
+            if rules.max_da is not None:
+                keep &= (np.abs(a[i] - a[j]) <= rules.max_da) & (np.abs(i_deg[i] - i_deg[j]) <= (rules.max_di or 180.0))
+            if rules.radial:
+                keep &= (a[i] * (1 - ecc[i]) - rules.threshold_au <= a[j] * (1 + ecc[j])) & (a[j] * (1 - ecc[j]) - rules.threshold_au <= a[i] * (1 + ecc[i]))
+            maybe.append(tuple(c[keep] for c in part))
+            if sum(len(m[0]) for m in maybe) > FOUND_ROWS:
+                settle()
+                if found and len(found[0][0]) > FOUND_ROWS // 2:  # minima so far; the rest of the pair's come later
+                    yield pairs(*found.pop())
+    if maybe:
+        settle()
     if found:
-        yield pairs(*_least(*(np.concatenate(c) for c in zip(*found, strict=True))))
+        yield pairs(*found[0])
 
 
 def scan(elements: DataFrame, ident: str, start_jd: float, end_jd: float, rules: DetectRules) -> DataFrame:

@@ -81,6 +81,35 @@ def test_orbital_filters_take_pairs_before_their_minimum(spark):
     assert session._STAGED == staged
 
 
+def test_places_are_made_once_a_run_and_give_every_step_s_minimum(monkeypatch):
+    """Calm, eccentric and inner orbits: runs of 16 steps down to four; an orbit twice, and one nearly."""
+    made, strides, t = [], [], 2457000.0 + 0.5 * np.arange(200)
+    make, close = detect.tracks, getattr(detect, "_close_steps", None)
+    monkeypatch.setattr(detect, "tracks", lambda orbits, at, *rest: made.append(len(at) * len(orbits[0])) or make(orbits, at, *rest))
+    monkeypatch.setattr(detect, "_close_steps", lambda *args: strides.append(args[3]) or close(*args), raising=False)
+    for seed, (axis, ecc, tilt, radius) in enumerate([((2.2, 3.2), 0.15, 8, 0.05), ((2.0, 3.2), 0.4, 20, 0.07), ((1.2, 1.5), 0.4, 20, 0.07), ((0.7, 1.3), 0.6, 40, 0.07)]):
+        rng = np.random.default_rng(seed)
+        low = np.array([axis[0], 0, 0, 0, 0, 0, 2457000.0])
+        orbits = rng.uniform(low, [axis[1], ecc, tilt, 360, 360, 360, 2457001.0], (900, 7))
+        orbits[1], orbits[2] = orbits[0], orbits[0] + [0, 1e-6, 0, 0, 0, 0, 0]
+        rows = pd.DataFrame(orbits, columns=detect.ORBIT).assign(number=np.arange(900))
+        rules = DetectRules(threshold_au=radius, v_max_km_s=0.0, refine=False, decimals=9)
+        made.clear()
+        found = [p for block in range(2) for k in range(detect.SECTORS) for p in detect._scan_part(rows.assign(part=block * detect.SECTORS + k), "number", t, 128, rules)]
+        if seed == 0:
+            assert sum(made) <= detect.SECTORS * len(rows) * len(t) / 8
+        got = pd.concat(found).sort_values(["d_coarse_au", "t_coarse_jd"]).groupby(["idx_i", "idx_j"]).first()
+        at = np.round(positions(*orbits.T[:, :, None], t), 9)
+        want = {}
+        for i in range(len(at)):
+            d = np.sqrt(((at[i] - at[i + 1 :]) ** 2).sum(-1))
+            d = np.where(d <= radius, np.floor(d * 1e8 + 0.5) / 1e8, np.inf)
+            want |= {(i, i + 1 + j): (t[d[j].argmin()], d[j].min()) for j in np.flatnonzero(np.isfinite(d).any(1))}
+        assert set(got.index) == set(want) and {(0, 1), (0, 2), (1, 2)} < set(want) and len(want) > 30
+        assert want[0, 1] == (t[0], 0.0) and all(tuple(got.loc[k]) == v for k, v in want.items())
+    assert {4, 16} < set(strides)
+
+
 def test_vertex_query_reads_the_elements_once(spark, sf):
     out = detection.encounter_refine_vertex(spark, sf)
     assert not any("elements.parquet" in f for f in out.inputFiles())
