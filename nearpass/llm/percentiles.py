@@ -72,9 +72,10 @@ def percentiles_of(counts: DataFrame, group: str, probs: dict[str, float]) -> Da
     )
     ranks = F.array(*[F.struct(F.lit(name).alias("prob"), F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("total"))).alias("rank")) for name, p in probs.items()])
     targets = blocks.withColumn("ranks", F.filter(ranks, lambda r: (r["rank"] > F.col("before")) & (r["rank"] <= F.col("before") + F.col("block_n")))).where(F.size("ranks") > 0)
+    targets = targets.select(F.col(group).alias("_group"), F.col("pid").alias("_pid"), "before", "total", "ranks")
     in_block = W.partitionBy(group, "pid").orderBy("value")
     running = (
-        rows.join(targets, [group, "pid"])
+        rows.join(targets, F.col(group).eqNullSafe(F.col("_group")) & (F.col("pid") == F.col("_pid")))  # null is a group too
         .withColumn("upto", F.col("before") + F.sum("n").over(in_block.rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("hit", F.filter("ranks", lambda r: (r["rank"] <= F.col("upto")) & (r["rank"] > F.col("upto") - F.col("n"))))
     )

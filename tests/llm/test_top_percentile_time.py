@@ -61,6 +61,21 @@ def test_bounded_state_keeps_its_error(spark, values):
             assert (a is None and b is None) or abs(a - b) <= 0.05 * abs(b) + 1e-12
 
 
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_null_is_a_group(spark, threshold):
+    """Rows without group are one group, whichever join finds its ranks."""
+    rows = [(i, [None, "a", "b"][i % 3], float(i % 50), 0, 0, "x") for i in range(600)] + [(600, "none", None, 0, 0, "x")]
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = spark.conf.get(names[0])
+    try:
+        for name in names:
+            spark.conf.set(name, threshold)
+        assert answers(percentiles_of(value_counts(spark.createDataFrame(rows, ROWS), "g", "v", ["rec"]), "g", PROBS)) == brute(rows)
+    finally:
+        spark.conf.set(names[0], before)
+        spark.conf.unset(names[1])
+
+
 def test_percentiles_of_nothing(spark):
     assert percentiles_of(value_counts(spark.createDataFrame([], ROWS), "g", "v", ["rec"]), "g", PROBS).count() == 0
 
